@@ -66,6 +66,23 @@ def kmeans_assign(rows: DataFrame, k: int, x_col: str = "x", seed: int = KMEANS_
     return [c for c in model.clusterCenters()], assign
 
 
+def first_rows_as_centres(rows: DataFrame, k: int, x_col: str = "x", id_col: str = "row_id") -> list[list[float]]:
+    """k fixed centres: the vectors of the k rows with the smallest ids
+    (k x d doubles of model state)."""
+    return [list(r[0]) for r in rows.orderBy(id_col).select(x_col).limit(k).collect()]
+
+
+def nearest_centre(df: DataFrame, centres: Sequence[Sequence[float]], x_col: str = "x", out: str = "cluster") -> DataFrame:
+    """M10 with given centres: index of the nearest centre (squared Euclidean,
+    first index on ties).  Centres are a literal array: no join, no shuffle."""
+    cen = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    dists = F.transform(
+        cen,
+        lambda c: F.aggregate(F.zip_with(F.col(x_col), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t),
+    )
+    return df.withColumn(out, (F.array_position(dists, F.array_min(dists)) - 1).cast("int"))
+
+
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     """Rows per cluster, empty clusters kept with 0."""
     spark = assigned.sparkSession

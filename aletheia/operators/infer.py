@@ -146,3 +146,20 @@ def standin_labeller() -> BatchFn:
         return pd.DataFrame({"response": out})
 
     return fn
+
+
+def standin_activation_first(prompt, gen_idx):
+    """Column: element [0][0] of the stand-in generator's activations, as a
+    Spark expression (used to check the activations joined downstream)."""
+    h = F.sha2(F.concat(prompt, F.lit("|"), gen_idx.cast("string")), 256)
+    return (F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) - F.lit(1) - F.lit(7.5)) / F.lit(7.5)
+
+
+def standin_label(answer, generation):
+    """Column: the stand-in judge's response as a Spark expression (J2 tests)."""
+    from aletheia.functions.text import strip_ws
+
+    a, g = F.lower(strip_ws(answer)), F.lower(strip_ws(generation))
+    return F.when(generation.isNull() | answer.isNull() | (g == "error"), F.lit(None).cast("string")).when(
+        g == a, "True"
+    ).otherwise("False")

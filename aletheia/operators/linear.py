@@ -111,3 +111,24 @@ def score(
     of ``rows``; coefficient table broadcast behind a size check."""
     j = checked_broadcast_join(rows, coefs, model_col, row_bytes=64 + 8 * 4096)
     return j.withColumn(score_col, sigmoid(dot(F.col(x_col), F.col("w")))).drop("w")
+
+
+def centroid_directions(rows: DataFrame, model_col: str = "model_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
+    """Closed-form probe per model: mean(x | y=1) − mean(x | y=0).
+
+    Data-derived coefficients with no solver (used where a fixed, exactly
+    reproducible probe is needed).  Element-wise means are a partially
+    aggregated groupBy on (model, dim); models missing a class get no row.
+    """
+    long = rows.select(model_col, F.col(y_col).cast("int").alias("__y"), F.posexplode(x_col).alias("__j", "__v"))
+    per_dim = long.groupBy(model_col, "__j").agg(
+        (F.avg(F.when(F.col("__y") == 1, F.col("__v"))) - F.avg(F.when(F.col("__y") == 0, F.col("__v")))).alias("__w")
+    )
+    vec = per_dim.groupBy(model_col).agg(
+        F.array_sort(F.collect_list(F.struct("__j", "__w"))).alias("__s"),
+        F.count(F.col("__w")).alias("__k"),
+        F.count(F.lit(1)).alias("__d"),
+    )
+    return vec.where(F.col("__k") == F.col("__d")).select(
+        F.col(model_col).alias("model_id"), F.transform("__s", lambda s: s["__w"]).alias("w")
+    )
