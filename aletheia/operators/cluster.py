@@ -106,7 +106,10 @@ def kmeans_sweep(
     """Per k, clusters fitted on the 'train' rows, one probe per
     cluster, routed AUC on train and on test.  Returns
     ``(table(num_clusters, roc_auc_train, roc_auc_test), coefs)``."""
-    train = rows.where(F.col("part") == "train")
+    from aletheia.operators.evaluate import cached
+
+    rows = cached(rows)
+    train = cached(rows.where(F.col("part") == "train"))
     assigned = []
     for k in ks:
         _, assign = kmeans_assign(train, k)
@@ -115,6 +118,7 @@ def kmeans_sweep(
     allk = assigned[0]
     for a in assigned[1:]:
         allk = allk.unionByName(a)
+    allk = cached(allk)
     coefs, _ = fit_many(allk.where(F.col("part") == "train").select("model_id", "x", "y"), C=C)
     scored = routed_scores(allk.select("k", "part", "model_id", "x", "y"), coefs)
     auc = grouped_auc(scored, ["k", "part"], "score", "y")

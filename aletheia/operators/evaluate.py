@@ -10,6 +10,7 @@ and matrix modes.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ MODES = ("separate", "all_vs_each", "leave_one_out")
 HOLDOUT_SEED = 42  # fixed value: seed of the stratified per-source hold-out
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Persist a frame that feeds several jobs (fit passes, scoring, AUC).
+
+    Recomputation after a lost executor is exact: every step upstream is
+    deterministic (hash orders, no RNG, no range-partition sampling)."""
+    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def sources_of(rows: DataFrame) -> list[str]:
     """Sorted distinct sources (the plans' only input; one name per source)."""
     return [r[0] for r in rows.select("source").where(F.col("source").isNotNull()).distinct().orderBy("source").collect()]
@@ -83,9 +94,10 @@ def evaluate_plans(
 def roc_auc_for_group(rows: DataFrame, mode: str = "separate", C: float = C_DEFAULT) -> DataFrame:
     """M3/M4/M5: ``(mode, source, auc, status)`` for one of the three modes."""
     spark = rows.sparkSession
+    rows = cached(rows)
     sources = sources_of(rows)
     if mode == "separate":
-        rows = with_holdout(rows)
+        rows = cached(with_holdout(rows))
         ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
         tr, te = P.separate_plans(spark, sources)
         tr = tr.where(F.col("source").isin(ok)) if ok else tr.limit(0)
@@ -112,7 +124,7 @@ def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFram
     M3); test on all rows of the other sources, on the hold-out on the
     diagonal."""
     spark = rows.sparkSession
-    rows = with_holdout(rows)
+    rows = cached(with_holdout(cached(rows)))
     sources = sources_of(rows)
     ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
     tr, _ = P.separate_plans(spark, sources)
@@ -129,6 +141,7 @@ def incremental_curve(rows: DataFrame, n_runs: int = 10, C: float = C_DEFAULT) -
     """M7 + A8: per (run, size) mean AUC over the remaining sources, then per
     size the mean and population std over runs.  Returns (per_run, curve)."""
     spark = rows.sparkSession
+    rows = cached(rows)
     sources = sources_of(rows)
     tr, te, mapping = P.incremental_plans(spark, sources, n_runs)
     scores, _ = evaluate_plans(rows, tr, te, C)

@@ -37,11 +37,13 @@ COEF_SCHEMA = T.StructType(
 )
 
 
-def fit_status(train: DataFrame, model_col: str = "model_id", y_col: str = "y") -> DataFrame:
-    """Per model: rows, positives and whether it can be fitted (two classes)."""
+def fit_status(train: DataFrame, model_col: str = "model_id", y_col: str = "y", x_col: str = "x") -> DataFrame:
+    """Per model: rows, positives, vector width and whether it can be fitted
+    (two classes).  One partially aggregated pass; one row per model."""
     return train.groupBy(model_col).agg(
         F.count(F.lit(1)).alias("n_train"),
         F.sum(F.col(y_col).cast("long")).alias("n_train_pos"),
+        F.max(F.size(x_col)).alias("dim"),
     ).withColumn(
         "fit_status",
         F.when((F.col("n_train_pos") > 0) & (F.col("n_train_pos") < F.col("n_train")), "ok").otherwise("one_class"),
@@ -64,17 +66,20 @@ def fit_many(
     model in ``train`` with its row counts and 'ok' / 'one_class'.
     """
     spark: SparkSession = train.sparkSession
-    status = fit_status(train, model_col, y_col).persist()
-    # The model list is the plan's model column: one short string per model.
-    ok_models = [r[0] for r in status.where("fit_status = 'ok'").select(model_col).orderBy(model_col).collect()]
+    status_rows = fit_status(train, model_col, y_col, x_col).collect()  # one row per model
+    status = spark.createDataFrame(
+        status_rows, "model_id string, n_train long, n_train_pos long, dim int, fit_status string"
+    ).withColumnRenamed("model_id", model_col)
+    ok = sorted((r for r in status_rows if r["fit_status"] == "ok"), key=lambda r: r[model_col])
+    ok_models = [r[model_col] for r in ok]
     if not ok_models:
         return spark.createDataFrame([], COEF_SCHEMA), status
     if dim is None:
-        dim = train.select(F.size(x_col)).first()[0]
+        dim = max(r["dim"] for r in ok)
     m = len(ok_models)
+    n_total = sum(r["n_train"] for r in ok)
     index = spark.createDataFrame([(k, float(i)) for i, k in enumerate(ok_models)], f"{model_col} string, __m double")
     rows = train.join(F.broadcast(index), model_col)  # index: one row per model
-    n_total = rows.count()
     nominal = {"ml_attr": {"type": "nominal", "name": "__m", "num_vals": m}}
     attrs = {"ml_attr": {"attrs": {"numeric": [{"idx": j, "name": f"x{j}"} for j in range(dim)]}, "num_attrs": dim}}
     design = rows.select(
@@ -82,7 +87,10 @@ def fit_many(
         array_to_vector(F.col(x_col)).alias("__xv", metadata=attrs),
         F.col(y_col).cast("double").alias("__y"),
     )
-    feats = Interaction(inputCols=["__m", "__xv"], outputCol="__f").transform(design).select("__f", "__y")
+    if m == 1:  # a one-category nominal would encode to an empty vector
+        feats = design.select(F.col("__xv").alias("__f"), "__y")
+    else:
+        feats = Interaction(inputCols=["__m", "__xv"], outputCol="__f").transform(design).select("__f", "__y")
     lr = LogisticRegression(
         featuresCol="__f",
         labelCol="__y",
