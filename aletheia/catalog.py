@@ -599,3 +599,67 @@ SELECT row_id, gen_idx,
   8 AS n_steps, round((instr({_HEX}, substr(h, 1, 1)) - 1 - 7.5) / 7.5, 6) AS h_first
 FROM g""",
 }
+
+
+# ---------------------------------------------------------------------------
+# Mixture of classifiers (rows-only: trained models)
+# ---------------------------------------------------------------------------
+
+
+_GRID_MEMO: dict[tuple[str, str], DataFrame] = {}
+
+
+def q_moc_grid(spark, sf):
+    """Mixture grid with the experiment's settings (500 epochs).  The trained
+    scores are kept per (session, sf_dir) so best_config/table_best reuse
+    them instead of retraining."""
+    from aletheia.operators import mixture as MX
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRID_MEMO:
+        scores, _ = MX.mixture_grid(E.cached(_prepared(spark, sf)), epochs=MX.EPOCHS)
+        _GRID_MEMO[key] = E.cached(scores)
+    return _GRID_MEMO[key]
+
+
+def q_best_config(spark, sf):
+    from aletheia.operators import report as RP
+
+    return RP.best_config(q_moc_grid(spark, sf))
+
+
+def q_table_best(spark, sf):
+    from aletheia.operators import report as RP
+
+    scores = q_moc_grid(spark, sf)
+    return RP.best_table(scores, RP.best_config(scores))
+
+
+def q_table_modes(spark, sf):
+    from aletheia.operators import report as RP
+
+    rows = E.cached(_prepared(spark, sf))
+    scores = E.roc_auc_for_group(rows, "separate")
+    for m in ("all_vs_each", "leave_one_out"):
+        scores = scores.unionByName(E.roc_auc_for_group(rows, m))
+    srcs = rows.select("source").distinct()
+    return RP.modes_table(scores, srcs)
+
+
+def q_table_matrix(spark, sf):
+    from aletheia.operators import report as RP
+
+    rows = E.cached(_prepared(spark, sf))
+    m, _ = E.cross_source_matrix(rows)
+    return RP.matrix_table(m, E.sources_of(rows))
+
+
+QUERIES.update(
+    {
+        "moc_grid": q_moc_grid,
+        "best_config": q_best_config,
+        "table_best": q_table_best,
+        "table_modes": q_table_modes,
+        "table_matrix": q_table_matrix,
+    }
+)

@@ -17,6 +17,8 @@ for them); ``fit_many`` reports them in its status table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction
@@ -31,6 +33,7 @@ from aletheia.operators.joins import checked_broadcast_join
 C_DEFAULT = 1e-4  # fixed value: inverse L2 strength of every probe
 MAX_ITER = 10_000  # fixed value: iteration budget of every probe
 TOL = 1e-9
+FIT_PARTITION_BYTES = 64 * 1024 * 1024
 
 COEF_SCHEMA = T.StructType(
     [T.StructField("model_id", T.StringType(), False), T.StructField("w", T.ArrayType(T.DoubleType()), False)]
@@ -91,6 +94,12 @@ def fit_many(
         feats = design.select(F.col("__xv").alias("__f"), "__y")
     else:
         feats = Interaction(inputCols=["__m", "__xv"], outputCol="__f").transform(design).select("__f", "__y")
+    # Partitions sized by volume (~64 MB of features each): each L-BFGS step
+    # is a few aggregate jobs, so tiny partitions only add scheduling cost,
+    # while large inputs keep one task per 64 MB.
+    target = max(1, int(math.ceil(n_total * (dim * 8 + 32) / FIT_PARTITION_BYTES)))
+    if target < feats.rdd.getNumPartitions():
+        feats = feats.coalesce(target)
     lr = LogisticRegression(
         featuresCol="__f",
         labelCol="__y",
