@@ -654,8 +654,16 @@ def q_table_matrix(spark, sf):
     return RP.matrix_table(m, E.sources_of(rows))
 
 
+def q_pca_clusters(spark, sf, k=3):
+    """PCA scatter data of the k-means assignment (PC1..PC3, cluster)."""
+    rows = E.cached(_prepared(spark, sf)).where(F.col("part") == "train")
+    _, assign = CL.kmeans_assign(rows, k)
+    return CL.pca3(assign(rows), "x", ("row_id", "cluster"))
+
+
 QUERIES.update(
     {
+        "pca_clusters": q_pca_clusters,
         "moc_grid": q_moc_grid,
         "best_config": q_best_config,
         "table_best": q_table_best,

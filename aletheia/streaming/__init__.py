@@ -1,0 +1,12 @@
+"""Streaming.
+
+The reference has no streaming operator: no watermark, window, session,
+state or timestamp column anywhere in it, so none is invented here.
+
+What carries over to Structured Streaming unchanged: every column function in
+``aletheia.functions`` and the stateless operators built from them (prompt
+building, response parsing, pooling, scoring with broadcast coefficients) and
+``operators.infer.batch_infer`` (``mapInPandas`` is supported on streaming
+DataFrames).  Operators that rank or aggregate whole groups (de-duplication,
+per-group sampling, splits, AUC, model fits) are batch by definition.
+"""

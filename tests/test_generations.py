@@ -66,3 +66,14 @@ def test_generate_then_annotate(spark):
     assert {r.label for r in lab.collect()} <= {"True", "False"}
     cs = G.classification_set(lab, gen)
     assert cs.count() == 15
+
+
+def test_save_load_tables_roundtrip(spark, tmp_path):
+    from aletheia.operators.mixture import init_params, params_table
+    from aletheia.sources.parquet import load_table, save_table
+
+    ptab = params_table(spark, {0: init_params(3, 2, 0, h=4)})
+    path = str(tmp_path / "params")
+    save_table(ptab, path)
+    back = {r.name: (r.shape, r["values"]) for r in load_table(spark, path).collect()}
+    assert back["We"][0] == [2, 2, 3] and len(back["We"][1]) == 12
