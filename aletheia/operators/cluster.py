@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -55,7 +56,11 @@ def kmeans_assign(rows: DataFrame, k: int, x_col: str = "x", seed: int = KMEANS_
             return df.withColumn("cluster", F.lit(0))
 
         return [mean], assign1
-    v = rows.select(array_to_vector(x_col).alias("__v"))
+    from aletheia.operators.joins import size_partitions
+
+    n = rows.count()
+    dim = len(rows.select(x_col).first()[0])
+    v = size_partitions(rows.select(array_to_vector(x_col).alias("__v")), n, dim * 8 + 32)
     model = KMeans(k=k, seed=seed, maxIter=KMEANS_MAX_ITER, tol=KMEANS_TOL, featuresCol="__v").fit(v)
 
     def assign(df: DataFrame) -> DataFrame:
@@ -110,9 +115,13 @@ def kmeans_sweep(
 
     rows = cached(rows)
     train = cached(rows.where(F.col("part") == "train"))
+    # The k fits are independent small iterative jobs: submit them together so
+    # the cluster runs them side by side instead of one after another.
+    ks = list(ks)
+    with ThreadPoolExecutor(max_workers=max(1, len(ks))) as pool:
+        fitted = list(pool.map(lambda k: kmeans_assign(train, k), ks))
     assigned = []
-    for k in ks:
-        _, assign = kmeans_assign(train, k)
+    for k, (_, assign) in zip(ks, fitted):
         a = assign(rows).withColumn("k", F.lit(int(k)))
         assigned.append(a.withColumn("model_id", F.concat(F.lit(f"k{k}:c"), F.col("cluster").cast("string"))))
     allk = assigned[0]

@@ -32,3 +32,19 @@ def checked_broadcast_join(
     if n <= max_rows and n * row_bytes <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+# Target bytes per partition for iterative MLlib / gradient inputs.
+ITERATIVE_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def size_partitions(df: DataFrame, n_rows: int, row_bytes: int, target: int = ITERATIVE_PARTITION_BYTES) -> DataFrame:
+    """Coalesce (no shuffle) to about ``target`` bytes per partition.
+
+    Iterative jobs (L-BFGS steps, k-means iterations, mixture epochs) pay a
+    scheduling cost per task and per pass; partitions far below ``target``
+    only add that cost, while large inputs keep one task per ``target``."""
+    import math
+
+    want = max(1, int(math.ceil(n_rows * row_bytes / target)))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
