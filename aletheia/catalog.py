@@ -661,8 +661,46 @@ def q_pca_clusters(spark, sf, k=3):
     return CL.pca3(assign(rows), "x", ("row_id", "cluster"))
 
 
+# Pooling grid (U1 x A9/V4): which pooling of the activations separates the
+# classes best, scored by the first pooled element, best top_n per method.
+POOL_GRID = [(m, n) for m in ("max", "mean", "first") for n in (1, 2, 3)]
+
+
+def _pool_grid_auc(spark, sf):
+    from aletheia.operators.joins import checked_broadcast_join
+
+    p = _probe(spark, sf)
+    sel = select_rows(p, 500, split_seed=None)
+    j = checked_broadcast_join(p.select("row_id", "hidden_states"), sel, "row_id")
+    cfg = F.array(
+        *[
+            F.struct(F.lit(m).alias("method"), F.lit(n).alias("top_n"), pool("hidden_states", m, n)[0].alias("score"))
+            for m, n in POOL_GRID
+        ]
+    )
+    scored = j.select("source", "y", F.explode(cfg).alias("c")).select("source", "y", "c.*")
+    return A.grouped_auc(scored, ["method", "top_n", "source"], "score", "y")
+
+
+def q_best_pooling(spark, sf):
+    from aletheia.operators import report as RP
+
+    b = RP.best_config(E.cached(_pool_grid_auc(spark, sf)), "method", "top_n")
+    return b.select("method", "top_n", F.round("mean_auc", R).alias("mean_auc"))
+
+
+def q_table_best_pooling(spark, sf):
+    from aletheia.operators import report as RP
+
+    auc = E.cached(_pool_grid_auc(spark, sf))
+    t = RP.best_table(auc, RP.best_config(auc, "method", "top_n"), "method", "top_n")
+    return t.select("method", "top_n", "source", F.round("auc", R).alias("auc"))
+
+
 QUERIES.update(
     {
+        "best_pooling": q_best_pooling,
+        "table_best_pooling": q_table_best_pooling,
         "pca_clusters": q_pca_clusters,
         "moc_grid": q_moc_grid,
         "best_config": q_best_config,
@@ -671,3 +709,33 @@ QUERIES.update(
         "table_matrix": q_table_matrix,
     }
 )
+
+
+_POOL_GRID_SQL = f"""WITH {prep_ctes(500, split=False)},
+sel AS (SELECT row_id, source, CASE WHEN lower(label) = 'true' THEN 1 ELSE 0 END AS y, hidden_states FROM e),
+g AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {n})" for m, n in POOL_GRID)}) v(method, top_n)),
+sc AS (SELECT s.source, s.y, g.method, g.top_n,
+    CASE g.method
+      WHEN 'max' THEN list_max(list_transform(s.hidden_states[1:g.top_n], lambda h: h[1]))
+      WHEN 'mean' THEN list_reduce(list_transform(s.hidden_states[1:g.top_n], lambda h: h[1]), lambda a, b: a + b)
+                       / len(s.hidden_states[1:g.top_n])
+      ELSE s.hidden_states[1][1] END AS score
+  FROM sel s CROSS JOIN g),
+{auc_sql('sc', ['method', 'top_n', 'source'], 'score')},
+means AS (SELECT method, top_n, avg(auc) AS mean_auc FROM auc GROUP BY method, top_n),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method
+           ORDER BY round(mean_auc, 12) DESC NULLS LAST, top_n) AS r_ FROM means) b0 WHERE r_ = 1)"""
+
+ORACLE.update(
+    {
+        "best_pooling": _POOL_GRID_SQL
+        + "\nSELECT method, CAST(top_n AS INTEGER) AS top_n, round(mean_auc, 6) AS mean_auc FROM best",
+        "table_best_pooling": _POOL_GRID_SQL
+        + """,
+sc2 AS (SELECT a.method, a.top_n, a.source, a.auc FROM auc a JOIN best b ON a.method = b.method AND a.top_n = b.top_n),
+labels AS (SELECT DISTINCT source FROM sc2)
+SELECT b.method, CAST(b.top_n AS INTEGER) AS top_n, l.source, round(coalesce(s.auc, 0.0), 6) AS auc
+FROM best b CROSS JOIN labels l
+LEFT JOIN sc2 s ON s.method = b.method AND s.top_n = b.top_n AND s.source = l.source""",
+    }
+)

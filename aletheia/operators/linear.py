@@ -17,8 +17,6 @@ for them); ``fit_many`` reports them in its status table.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction
@@ -28,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aletheia.functions.vectors import dot, sigmoid
-from aletheia.operators.joins import checked_broadcast_join
+from aletheia.operators.joins import checked_broadcast_join, size_partitions
 
 C_DEFAULT = 1e-4  # fixed value: inverse L2 strength of every probe
 MAX_ITER = 10_000  # fixed value: iteration budget of every probe
 TOL = 1e-9
-FIT_PARTITION_BYTES = 64 * 1024 * 1024
+MAX_COEFS_PER_FIT = 2_000_000  # models x dims per MLlib fit (driver-side solver state)
 
 COEF_SCHEMA = T.StructType(
     [T.StructField("model_id", T.StringType(), False), T.StructField("w", T.ArrayType(T.DoubleType()), False)]
@@ -79,9 +77,24 @@ def fit_many(
         return spark.createDataFrame([], COEF_SCHEMA), status
     if dim is None:
         dim = max(r["dim"] for r in ok)
-    m = len(ok_models)
-    n_total = sum(r["n_train"] for r in ok)
-    index = spark.createDataFrame([(k, float(i)) for i, k in enumerate(ok_models)], f"{model_col} string, __m double")
+    # The objective is separable per model, so models can be fitted in chunks
+    # without changing any coefficient: bound the driver-side solver state
+    # (L-BFGS keeps ~2·history vectors of M·d doubles) by MAX_COEFS_PER_FIT.
+    per_fit = max(1, MAX_COEFS_PER_FIT // max(1, dim))
+    pieces = []
+    for start in range(0, len(ok), per_fit):
+        chunk = ok[start : start + per_fit]
+        pieces.extend(_fit_block(train, [r[model_col] for r in chunk], sum(r["n_train"] for r in chunk),
+                                 dim, model_col, x_col, y_col, C, max_iter, tol))
+    coefs = spark.createDataFrame(pieces, COEF_SCHEMA)
+    return coefs, status
+
+
+def _fit_block(train, models, n_total, dim, model_col, x_col, y_col, C, max_iter, tol) -> list[tuple[str, list[float]]]:
+    """One MLlib fit for ``models`` on block-offset features."""
+    spark = train.sparkSession
+    m = len(models)
+    index = spark.createDataFrame([(k, float(i)) for i, k in enumerate(models)], f"{model_col} string, __m double")
     rows = train.join(F.broadcast(index), model_col)  # index: one row per model
     nominal = {"ml_attr": {"type": "nominal", "name": "__m", "num_vals": m}}
     attrs = {"ml_attr": {"attrs": {"numeric": [{"idx": j, "name": f"x{j}"} for j in range(dim)]}, "num_attrs": dim}}
@@ -97,9 +110,7 @@ def fit_many(
     # Partitions sized by volume (~64 MB of features each): each L-BFGS step
     # is a few aggregate jobs, so tiny partitions only add scheduling cost,
     # while large inputs keep one task per 64 MB.
-    target = max(1, int(math.ceil(n_total * (dim * 8 + 32) / FIT_PARTITION_BYTES)))
-    if target < feats.rdd.getNumPartitions():
-        feats = feats.coalesce(target)
+    feats = size_partitions(feats, n_total, dim * 8 + 32)
     lr = LogisticRegression(
         featuresCol="__f",
         labelCol="__y",
@@ -113,8 +124,7 @@ def fit_many(
     )
     model = lr.fit(feats)
     w = np.asarray(model.coefficients.toArray(), dtype=float).reshape(m, dim)
-    coefs = spark.createDataFrame([(k, [float(v) for v in w[i]]) for i, k in enumerate(ok_models)], COEF_SCHEMA)
-    return coefs, status
+    return [(k, [float(v) for v in w[i]]) for i, k in enumerate(models)]
 
 
 def score(

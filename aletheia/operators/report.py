@@ -26,7 +26,9 @@ def best_config(scores: DataFrame, group_col: str = "num_experts", key_col: str
     (NULL AUCs skipped); ties go to the first key (smallest key_col); a key
     whose scores are all NULL has a NULL mean and ranks last."""
     means = scores.groupBy(group_col, key_col).agg(F.avg("auc").alias("mean_auc"))
-    w = Window.partitionBy(group_col).orderBy(F.desc_nulls_last("mean_auc"), F.col(key_col))
+    # Means are compared at 1e-12 so that equal means summed in a different
+    # order (a last-bit difference) still tie and the first key wins.
+    w = Window.partitionBy(group_col).orderBy(F.desc_nulls_last(F.round("mean_auc", 12)), F.col(key_col))
     return means.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

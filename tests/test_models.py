@@ -125,3 +125,15 @@ def test_nearest_centre_ties_first(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([2.0, 0.0],)], "x array<double>")
     out = [r.cluster for r in CL.nearest_centre(df, [[1.0, 0.0], [1.0, 0.0], [3.0, 0.0]]).collect()]
     assert out == [0, 0]
+
+
+def test_chunked_fit_equals_single_fit(spark, rows, monkeypatch):
+    from aletheia.operators import linear as L
+
+    train = rows.withColumn("model_id", F.col("source")).select("model_id", "x", "y")
+    whole = {r.model_id: np.array(r.w) for r in L.fit_many(train)[0].collect()}
+    monkeypatch.setattr(L, "MAX_COEFS_PER_FIT", 8)  # d = 8: one model per MLlib fit
+    chunked = {r.model_id: np.array(r.w) for r in L.fit_many(train)[0].collect()}
+    assert set(whole) == set(chunked)
+    for k in whole:
+        assert np.abs(whole[k] - chunked[k]).max() <= 1e-4 * np.abs(whole[k]).max()

@@ -72,3 +72,18 @@ def test_split_stratified_parts(spark):
     fit = [r for r in out if r.part == "fit"]
     assert len(out) == 50 and len(fit) == 50 - 10
     assert sum(r.y for r in fit) == 10  # 13 positives: 40*13/50 = 10.4 -> 10
+
+
+def test_hot_group_is_split_into_buckets(spark):
+    # one group holds ~90% of the rows: ranks stay exact and the final window
+    # is partitioned by (group, bucket), not by the group alone
+    df = spark.range(20000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g")
+    )
+    r = rank_in_hash_order(df, ["g"], seed=3, limit=None)
+    hot = sorted(x.rn for x in r.where("g = 'hot'").select("rn").collect())
+    assert hot == list(range(1, 18001))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number()" in plan and "__b" in plan.split("Window [row_number()")[1].split("\n")[0]
+    top = prep.sample_by_group(df.withColumn("label", F.lit("x")), ["g", "label"], 100, seed=3)
+    assert {x.g: x["count"] for x in top.groupBy("g").count().collect()} == {"hot": 100, "cold": 100}
