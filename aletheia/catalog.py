@@ -739,3 +739,57 @@ FROM best b CROSS JOIN labels l
 LEFT JOIN sc2 s ON s.method = b.method AND s.top_n = b.top_n AND s.source = l.source""",
     }
 )
+
+
+# ---------------------------------------------------------------------------
+# Mixture forward pass with given weights (M17 hard routing, T4, F13)
+# ---------------------------------------------------------------------------
+
+MOC_FIXED = {"d": 8, "experts": 3, "seed": 0, "hidden": 64}
+
+
+def _moc_fixed_params():
+    from aletheia.operators import mixture as MX
+
+    return MX.init_params(MOC_FIXED["d"], MOC_FIXED["experts"], MOC_FIXED["seed"], MOC_FIXED["hidden"])
+
+
+def q_moc_hard_fixed(spark, sf):
+    """Hard routing of the prepared test rows through a mixture with seeded
+    initial weights: selected expert (router argmax, first on ties) and the
+    class-1 probability of that expert."""
+    from aletheia.operators import mixture as MX
+
+    rows = _prepared(spark, sf).where(F.col("part") == "test")
+    s = MX.score_mixtures(rows, {0: _moc_fixed_params()}, route="hard")
+    return s.select("row_id", "selected_expert", F.round("score", R).alias("score"))
+
+
+def _sql_list(a) -> str:
+    if hasattr(a, "tolist"):
+        a = a.tolist()
+    if isinstance(a, list):
+        return "[" + ", ".join(_sql_list(v) for v in a) + "]"
+    return repr(float(a))
+
+
+def _moc_hard_sql() -> str:
+    p = _moc_fixed_params()
+    d, e, h = MOC_FIXED["d"], MOC_FIXED["experts"], MOC_FIXED["hidden"]
+    return f"""WITH {prep_ctes(500)},
+prm AS (SELECT CAST({_sql_list(p['W1'])} AS DOUBLE[][]) AS W1, CAST({_sql_list(p['b1'])} AS DOUBLE[]) AS b1,
+               CAST({_sql_list(p['W2'])} AS DOUBLE[][]) AS W2, CAST({_sql_list(p['b2'])} AS DOUBLE[]) AS b2,
+               CAST({_sql_list(p['We'])} AS DOUBLE[][][]) AS We, CAST({_sql_list(p['be'])} AS DOUBLE[][]) AS be),
+hid AS (SELECT t.row_id, t.x, list_transform(range(1, {h + 1}), lambda i: greatest(list_reduce(list_transform(range(1, {d + 1}),
+          lambda j: prm.W1[i][j] * t.x[j]), lambda a, b: a + b) + prm.b1[i], 0.0)) AS hv
+        FROM prep t, prm WHERE t.part = 'test'),
+rt AS (SELECT hid.row_id, hid.x, list_transform(range(1, {e + 1}), lambda k: list_reduce(list_transform(range(1, {h + 1}),
+          lambda i: prm.W2[k][i] * hid.hv[i]), lambda a, b: a + b) + prm.b2[k]) AS r FROM hid, prm),
+sl AS (SELECT row_id, x, list_position(r, list_max(r)) AS s1 FROM rt),
+zz AS (SELECT sl.row_id, sl.s1 - 1 AS sel, list_transform(range(1, 3), lambda c: list_reduce(list_transform(range(1, {d + 1}),
+          lambda j: prm.We[sl.s1][c][j] * sl.x[j]), lambda a, b: a + b) + prm.be[sl.s1][c]) AS z FROM sl, prm)
+SELECT row_id, CAST(sel AS INTEGER) AS selected_expert, round(1.0 / (1.0 + exp(-(z[2] - z[1]))), 6) AS score FROM zz"""
+
+
+QUERIES["moc_hard_fixed"] = q_moc_hard_fixed
+ORACLE["moc_hard_fixed"] = _moc_hard_sql()

@@ -18,19 +18,28 @@ from aletheia.operators.auc import grouped_auc
 from aletheia.operators.linear import C_DEFAULT, fit_many, score
 from aletheia.operators.split import split_stratified
 from aletheia.plans import plans as P
+from aletheia.session import materialize
 
 MODES = ("separate", "all_vs_each", "leave_one_out")
 HOLDOUT_SEED = 42  # fixed value: seed of the stratified per-source hold-out
 
 
 def cached(df: DataFrame) -> DataFrame:
-    """Persist a frame that feeds several jobs (fit passes, scoring, AUC).
+    """Materialise a frame that feeds several jobs (fit passes, scoring, AUC).
 
-    Recomputation after a lost executor is exact: every step upstream is
+    Lineage is cut with a reliable ``checkpoint()`` into the session's
+    ``spark.checkpoint.dir`` and the result is persisted, so a lost executor
+    re-reads the checkpoint instead of replaying the preparation plan.  If a
+    cluster session has no checkpoint directory, the frame is only persisted:
+    recomputation is still exact because every upstream step is
     deterministic (hash orders, no RNG, no range-partition sampling)."""
-    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    try:
+        df = materialize(df)
+    except RuntimeError:
+        pass
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def sources_of(rows: DataFrame) -> list[str]:

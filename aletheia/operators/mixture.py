@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from aletheia.operators.auc import grouped_auc
 from aletheia.plans.plans import param_grid
+from aletheia.session import materialize
 
 HIDDEN = 64  # fixed value: router hidden units
 EPOCHS = 500  # fixed value: epochs per config in the experiment
@@ -224,7 +225,12 @@ def train_mixtures(
     n_rows = data.count()
     d = len(data.select("x").first()[0])
     parts = max(1, int(math.ceil(n_rows * (d * 8 + 24) / (64 * 1024 * 1024))))
-    data = data.coalesce(min(parts, max(1, data.rdd.getNumPartitions()))).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.coalesce(min(parts, max(1, data.rdd.getNumPartitions())))
+    try:  # hundreds of passes: cut lineage at a reliable checkpoint first
+        data = materialize(data)
+    except RuntimeError:  # no shared checkpoint dir: deterministic recompute
+        pass
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     params = {cid: flatten(init_params(d, e, seed + cid)) for cid, e, _, _ in grid}
     hist = []
     for epoch in range(epochs):
