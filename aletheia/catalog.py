@@ -745,13 +745,18 @@ LEFT JOIN sc2 s ON s.method = b.method AND s.top_n = b.top_n AND s.source = l.so
 # Mixture forward pass with given weights (M17 hard routing, T4, F13)
 # ---------------------------------------------------------------------------
 
-MOC_FIXED = {"d": 8, "experts": 3, "seed": 0, "hidden": 64}
+MOC_FIXED = {"d": 8, "experts": 3, "seed": 8, "hidden": 64}
 
 
 def _moc_fixed_params():
     from aletheia.operators import mixture as MX
 
-    return MX.init_params(MOC_FIXED["d"], MOC_FIXED["experts"], MOC_FIXED["seed"], MOC_FIXED["hidden"])
+    p = MX.init_params(MOC_FIXED["d"], MOC_FIXED["experts"], MOC_FIXED["seed"], MOC_FIXED["hidden"])
+    # Given weights: seeded init with the router's input layer scaled up and no
+    # output bias, so the selected expert depends on x (all three get rows).
+    p["W1"] = p["W1"] * 20.0
+    p["b2"] = p["b2"] * 0.0
+    return p
 
 
 def q_moc_hard_fixed(spark, sf):
