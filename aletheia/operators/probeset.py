@@ -56,11 +56,15 @@ def attach_vectors(
     pool_fn: Callable[[Column], Column] | None = None,
     x_col: str = "x",
 ) -> DataFrame:
-    """Join pooled vectors to selected row ids (vectors are read and pooled
-    in one projection of the scan; the id side is the small one)."""
+    """Join activations to the selected row ids, then pool.
+
+    The id side is bounded by cap x groups and broadcast behind a size check;
+    the join runs in the scan's stage, so only selected rows are pooled (the
+    activations of dropped rows are read but never expanded or shuffled)."""
     pool_fn = pool_fn or (lambda hs: pool(hs, "max", 3))
-    vecs = df.select("row_id", pool_fn(F.col("hidden_states")).alias(x_col))
-    return checked_broadcast_join(vecs, selected, "row_id", row_bytes=96)
+    acts = df.select("row_id", "hidden_states")
+    j = checked_broadcast_join(acts, selected, "row_id", row_bytes=96)
+    return j.withColumn(x_col, pool_fn(F.col("hidden_states"))).drop("hidden_states")
 
 
 def probe_set(
