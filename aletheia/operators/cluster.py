@@ -99,7 +99,7 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
 def routed_scores(rows: DataFrame, coefs: DataFrame, model_col: str = "model_id") -> DataFrame:
     """Score with the row's cluster model; 0.0 where that model is absent."""
     have = coefs.select(model_col).withColumn("__has", F.lit(True))
-    with_flag = rows.join(F.broadcast(have), model_col, "left")
+    with_flag = rows.join(F.broadcast(have), model_col, "left")  # one row per fitted model
     scored = score(with_flag.where(F.col("__has")), coefs, model_col)
     missing = with_flag.where(F.col("__has").isNull()).withColumn("score", F.lit(0.0))
     return scored.drop("__has").unionByName(missing.drop("__has"))

@@ -109,7 +109,7 @@ def roc_auc_for_group(rows: DataFrame, mode: str = "separate", C: float = C_DEFA
         rows = cached(with_holdout(rows))
         ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
         tr, te = P.separate_plans(spark, sources)
-        tr = tr.where(F.col("source").isin(ok)) if ok else tr.limit(0)
+        tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
         scores, _ = evaluate_plans(rows, tr, te, C)
         too_few = rows.where("split_status = 'too_few'").select("source").distinct().withColumn("__tf", F.lit(True))
         scores = scores.join(too_few, "source", "left").withColumn(
@@ -137,7 +137,7 @@ def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFram
     sources = sources_of(rows)
     ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
     tr, _ = P.separate_plans(spark, sources)
-    tr = tr.where(F.col("source").isin(ok)) if ok else tr.limit(0)
+    tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
     te = P.matrix_test_plan(spark, sources)
     scores, coefs = evaluate_plans(rows, tr, te, C)
     out = scores.select(
