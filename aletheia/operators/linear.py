@@ -20,7 +20,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,18 +145,17 @@ def centroid_directions(rows: DataFrame, model_col: str = "model_id", x_col: str
     """Closed-form probe per model: mean(x | y=1) − mean(x | y=0).
 
     Data-derived coefficients with no solver (used where a fixed, exactly
-    reproducible probe is needed).  Element-wise means are a partially
-    aggregated groupBy on (model, dim); models missing a class get no row.
+    reproducible probe is needed).  Class means are MLlib ``Summarizer``
+    vector aggregates per (model, class) — partially aggregated, no explode
+    of the vectors; models missing a class get no row.
     """
-    long = rows.select(model_col, F.col(y_col).cast("int").alias("__y"), F.posexplode(x_col).alias("__j", "__v"))
-    per_dim = long.groupBy(model_col, "__j").agg(
-        (F.avg(F.when(F.col("__y") == 1, F.col("__v"))) - F.avg(F.when(F.col("__y") == 0, F.col("__v")))).alias("__w")
+    means = rows.groupBy(model_col, F.col(y_col).cast("int").alias("__y")).agg(
+        Summarizer.mean(array_to_vector(F.col(x_col))).alias("__mean")
     )
-    vec = per_dim.groupBy(model_col).agg(
-        F.array_sort(F.collect_list(F.struct("__j", "__w"))).alias("__s"),
-        F.count(F.col("__w")).alias("__k"),
-        F.count(F.lit(1)).alias("__d"),
-    )
-    return vec.where(F.col("__k") == F.col("__d")).select(
-        F.col(model_col).alias("model_id"), F.transform("__s", lambda s: s["__w"]).alias("w")
+    means = means.select(model_col, "__y", vector_to_array("__mean").alias("__mean"))
+    pos = means.where("__y = 1").select(model_col, F.col("__mean").alias("__p"))
+    neg = means.where("__y = 0").select(model_col, F.col("__mean").alias("__n"))
+    both = pos.join(neg, model_col)  # one row per model and class on each side
+    return both.select(
+        F.col(model_col).alias("model_id"), F.zip_with("__p", "__n", lambda a, b: a - b).alias("w")
     )
