@@ -71,3 +71,40 @@ def test_plan_join_is_broadcast(spark):
     tr, _ = P.leave_one_out_plans(spark, ["src0", "src1"])
     plan = _plan(E.apply_plan(rows, tr))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_global_auc_window_is_split_by_score_bucket(spark, monkeypatch):
+    """Above SCORE_BUCKET_ROWS distinct scores a global AUC runs its running
+    sum per score bucket, not in one partition (small inputs use one bucket
+    by design and Catalyst folds the constant key)."""
+    from pyspark.sql import functions as F
+
+    from aletheia.operators import rank
+    from aletheia.operators.auc import global_auc
+
+    monkeypatch.setattr(rank, "SCORE_BUCKET_ROWS", 500)
+    df = spark.range(5000).select(F.col("id").cast("double").alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    a = global_auc(df)
+    assert a.first().auc == pytest.approx(0.5, abs=0.01)
+    rowlevel = [line for line in _plan(a).split("\n") if "Window [sum(__n" in line]
+    assert rowlevel and all("__sb" in line.split("windowspecdefinition(")[1] for line in rowlevel)
+
+
+def test_keep_first_is_partially_aggregated(spark):
+    from aletheia.operators.prep import dedup_first
+
+    d = dedup_first(fixtures.probe(spark, SF_SMALL).drop("hidden_states"))
+    d.collect()
+    plan = _plan(d)
+    assert "partial_min" in plan or "PartialMerge" in plan or plan.count("Aggregate") >= 2
+
+
+def test_pooling_runs_after_selection_join(spark):
+    from aletheia.operators.probeset import probe_set
+
+    ps = probe_set(fixtures.probe(spark, SF_SMALL))
+    ps.collect()
+    plan = _plan(ps)
+    join_at = plan.index("BroadcastHashJoin")
+    pool_at = plan.index("forall(")  # the pooling guard
+    assert pool_at < join_at  # printed above the join = evaluated after it
