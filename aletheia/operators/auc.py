@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ def grouped_auc(
         .groupBy(*keys, score_col)
         .agg(F.sum(y).alias("__p"), F.sum(F.lit(1) - y).alias("__n"))
     )
+    # Read three times (bucket sizing, cut points, prefix sums): keep the
+    # narrow aggregate instead of re-scanning and re-aggregating the input.
+    per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
     pref = exclusive_prefix_by_score(per_score, keys, score_col, "__n", "__nb")
     agg = pref.groupBy(*keys) if keys else pref.groupBy()
     out = agg.agg(
