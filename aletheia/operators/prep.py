@@ -62,13 +62,16 @@ def sample_by_group(
 
 
 def value_counts(df: DataFrame, keys: Sequence[str] | str, count_col: str = "count") -> DataFrame:
-    """A2/A3: counts per key, NULL keys excluded, largest first."""
+    """A2/A3 with T2 order: counts per key, NULL keys excluded, largest
+    first — within each leading key for several keys (source, then count
+    descending, then label).  The result is small (one row per key)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     cond = None
     for k in keys:
         c = F.col(k).isNotNull()
         cond = c if cond is None else cond & c
-    return df.where(cond).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
+    counts = df.where(cond).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
+    return counts.orderBy(*keys[:-1], F.desc(count_col), keys[-1])
 
 
 def distinct_sorted(df: DataFrame, col: str = "source") -> DataFrame:
