@@ -61,7 +61,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     epochs = int(os.environ.get("BENCH_EPOCHS", "20"))
-    repeats = max(1, int(os.environ.get("BENCH_REPEATS", "1")))
+    repeats = max(1, int(os.environ.get("BENCH_REPEATS", "3")))
     warmup_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="aletheia-bench")
     notes = []
