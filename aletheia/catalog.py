@@ -639,9 +639,7 @@ def q_table_modes(spark, sf):
     from aletheia.operators import report as RP
 
     rows = E.cached(_prepared(spark, sf))
-    scores = E.roc_auc_for_group(rows, "separate")
-    for m in ("all_vs_each", "leave_one_out"):
-        scores = scores.unionByName(E.roc_auc_for_group(rows, m))
+    scores = E.all_modes(rows)
     srcs = rows.select("source").distinct()
     return RP.modes_table(scores, srcs)
 

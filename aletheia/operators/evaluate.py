@@ -126,6 +126,22 @@ def roc_auc_for_group(rows: DataFrame, mode: str = "separate", C: float = C_DEFA
     return scores.select(F.lit(mode).alias("mode"), "source", "auc", "status")
 
 
+def all_modes(rows: DataFrame, modes=MODES, C: float = C_DEFAULT) -> DataFrame:
+    """M3-M5 together: ``(mode, source, auc, status)`` for every mode.
+
+    The modes are independent chains of small jobs (one block fit each), so
+    they are submitted concurrently and share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = cached(rows)
+    with ThreadPoolExecutor(max_workers=len(modes)) as pool:
+        parts = list(pool.map(lambda m: cached(roc_auc_for_group(rows, m, C)), modes))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFrame, DataFrame]:
     """M6: long ``(train_source, test_source, auc, status)`` and the coefs.
 
