@@ -70,10 +70,10 @@ def evaluate_plans(
     test_plan: DataFrame,
     C: float = C_DEFAULT,
     coefs: DataFrame | None = None,
+    status: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit (unless ``coefs`` given) and score; returns (scores, coefs) with
     ``scores(model_id, source, n_pos, n_neg, auc, status)``."""
-    status = None
     if coefs is None:
         coefs, status = fit_many(apply_plan(rows, train_plan).select("model_id", "x", "y"), C=C)
     scored = score(apply_plan(rows, test_plan).select("model_id", "source", "x", "y"), coefs)
@@ -100,21 +100,44 @@ def evaluate_plans(
     return out.select("model_id", "source", "n_pos", "n_neg", "auc", "status"), coefs
 
 
+_HOLDOUT_FITS: dict[tuple[int, float], tuple] = {}
+
+
+def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
+    """Per-source probes on the stratified 'fit' rows (M3), shared by the
+    per-source mode and the cross-source matrix (M6) of the same frame.
+
+    Returns ``(rows_with_holdout, sources, coefs, status, too_few)``; kept per
+    input frame object for the session (the frame is referenced, so its id
+    cannot be reused)."""
+    key = (id(rows), C)
+    hit = _HOLDOUT_FITS.get(key)
+    if hit is not None and hit[0] is rows:
+        return hit[1:]
+    spark = rows.sparkSession
+    h = cached(with_holdout(cached(rows)))
+    sources = sources_of(h)
+    ok = [r[0] for r in h.where("split_status = 'ok'").select("source").distinct().collect()]
+    tr, _ = P.separate_plans(spark, sources)
+    tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
+    coefs, status = fit_many(apply_plan(h, tr).select("model_id", "x", "y"), C=C)
+    too_few = [s for s in sources if s not in set(ok)]
+    _HOLDOUT_FITS[key] = (rows, h, sources, coefs, status, too_few)
+    return h, sources, coefs, status, too_few
+
+
 def roc_auc_for_group(rows: DataFrame, mode: str = "separate", C: float = C_DEFAULT) -> DataFrame:
     """M3/M4/M5: ``(mode, source, auc, status)`` for one of the three modes."""
     spark = rows.sparkSession
     rows = cached(rows)
     sources = sources_of(rows)
     if mode == "separate":
-        rows = cached(with_holdout(rows))
-        ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
+        h, sources, coefs, status, too_few = holdout_fits(rows, C)
         tr, te = P.separate_plans(spark, sources)
-        tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
-        scores, _ = evaluate_plans(rows, tr, te, C)
-        too_few = rows.where("split_status = 'too_few'").select("source").distinct().withColumn("__tf", F.lit(True))
-        scores = scores.join(too_few, "source", "left").withColumn(
-            "status", F.when(F.col("__tf"), F.lit("too_few")).otherwise(F.col("status"))
-        ).drop("__tf")
+        scores, _ = evaluate_plans(h, tr, te, C, coefs=coefs, status=status)
+        scores = scores.withColumn(
+            "status", F.when(F.col("source").isin(too_few), F.lit("too_few")).otherwise(F.col("status"))
+        ) if too_few else scores
     elif mode == "all_vs_each":
         tr, te = P.all_vs_each_plans(spark, sources)
         scores, _ = evaluate_plans(rows, tr, te, C)
@@ -149,13 +172,14 @@ def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFram
     M3); test on all rows of the other sources, on the hold-out on the
     diagonal."""
     spark = rows.sparkSession
-    rows = cached(with_holdout(cached(rows)))
-    sources = sources_of(rows)
-    ok = [r[0] for r in rows.where("split_status = 'ok'").select("source").distinct().collect()]
+    h, sources, coefs, status, too_few = holdout_fits(rows, C)
     tr, _ = P.separate_plans(spark, sources)
-    tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
     te = P.matrix_test_plan(spark, sources)
-    scores, coefs = evaluate_plans(rows, tr, te, C)
+    scores, coefs = evaluate_plans(h, tr, te, C, coefs=coefs, status=status)
+    if too_few:
+        scores = scores.withColumn(
+            "status", F.when(F.col("model_id").isin(too_few), F.lit("too_few")).otherwise(F.col("status"))
+        )
     out = scores.select(
         F.col("model_id").alias("train_source"), F.col("source").alias("test_source"), "auc", "status"
     )

@@ -137,3 +137,30 @@ def test_chunked_fit_equals_single_fit(spark, rows, monkeypatch):
     assert set(whole) == set(chunked)
     for k in whole:
         assert np.abs(whole[k] - chunked[k]).max() <= 1e-4 * np.abs(whole[k]).max()
+
+
+def test_separate_mode_statuses_on_natural_sources(spark):
+    """20 real sources: single-class ones get NULL ('one_class'), sources the
+    stratified splitter refuses get NULL ('too_few'), the rest an AUC."""
+    from aletheia.functions.text import label_binary
+    from aletheia.operators.split import stratified_allocation
+
+    nat = fixtures.natural(spark, SF_MID)
+    rows = E.cached(probe_set(nat, sample_size=None))
+    out = {r.source: (r.auc, r.status) for r in E.roc_auc_for_group(rows, "separate").collect()}
+    assert len(out) == 20
+    alloc = stratified_allocation(nat.select("row_id", "source", label_binary("label").alias("y")))
+    classes = {}
+    for r in alloc.collect():
+        classes.setdefault(r.source, []).append(r)
+    for src, (auc, status) in out.items():
+        cls = classes[src]
+        if len(cls) == 1:
+            assert auc is None and status == "one_class"
+        elif cls[0].status == "too_few":
+            assert auc is None and status == "too_few"
+        else:
+            assert status in ("ok", "one_class_test") and (auc is None) == (status != "ok")
+    m, _ = E.cross_source_matrix(rows)  # reuses the same fits
+    diag = {r.train_source: r.auc for r in m.collect() if r.train_source == r.test_source}
+    assert all(diag[s] == out[s][0] for s in out if out[s][1] == "ok")
