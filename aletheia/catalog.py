@@ -108,12 +108,11 @@ auc AS (SELECT {kc}CAST(sum(p_) AS BIGINT) AS n_pos, CAST(sum(n_) AS BIGINT) AS
 
 
 GENS_CTE = """gens AS (
-  SELECT user_id AS row_id, concat('q', CAST(user_id AS VARCHAR)) AS Question,
-    CASE user_id % 3 WHEN 0 THEN ' Click ' WHEN 1 THEN 'VIEW' ELSE 'purchase' END AS Answer,
-    CAST(gen_idx AS INTEGER) AS gen_idx,
+  SELECT event_id // 20 AS row_id, concat('q', CAST(event_id // 20 AS VARCHAR)) AS Question,
+    CASE (event_id // 20) % 3 WHEN 0 THEN ' Click ' WHEN 1 THEN 'VIEW' ELSE 'purchase' END AS Answer,
+    CAST(event_id % 20 + 1 AS INTEGER) AS gen_idx,
     CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 5 = 0 THEN concat('  ', event_type, ' ') ELSE event_type END AS generation
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gen_idx FROM events) g0
-  WHERE gen_idx <= 20)"""
+  FROM events)"""
 
 GENS_DEDUP_CTE = GENS_CTE + """,
 gd AS (SELECT row_id, Question, Answer, gen_idx,

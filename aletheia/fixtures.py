@@ -17,8 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from aletheia.sources.parquet import table
 
 
@@ -68,25 +66,24 @@ def natural(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFr
 def gens(spark: SparkSession, sf_dir: str, n_generations: int = 20) -> DataFrame:
     """Long generations ``(row_id, Question, Answer, gen_idx, generation)``.
 
-    gen_idx numbers a user's events in time order; the first ``n_generations``
-    are that user's generations (N is the reference's generation count).
+    Every event is one generation: blocks of ``n_generations`` consecutive
+    event ids form one question (row_id = event_id div N, gen_idx = event_id
+    mod N + 1), so the whole table is used and no per-user window is needed.
+    Generations carry NULLs and stray spaces; answers vary in case/spacing.
     """
-    ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = ev.withColumn("gen_idx", F.row_number().over(w)).where(F.col("gen_idx") <= n_generations)
-    answer = (
-        F.when(F.col("user_id") % 3 == 0, " Click ").when(F.col("user_id") % 3 == 1, "VIEW").otherwise("purchase")
-    )
+    ev = table(spark, sf_dir, "events", ["event_id", "event_type"])
+    row_id = F.floor(F.col("event_id") / F.lit(n_generations)).cast("long")
+    answer = F.when(row_id % 3 == 0, " Click ").when(row_id % 3 == 1, "VIEW").otherwise("purchase")
     generation = (
         F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("string"))
         .when(F.col("event_id") % 5 == 0, F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))
         .otherwise(F.col("event_type"))
     )
-    return g.select(
-        F.col("user_id").alias("row_id"),
-        F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("Question"),
+    return ev.select(
+        row_id.alias("row_id"),
+        F.concat(F.lit("q"), row_id.cast("string")).alias("Question"),
         answer.alias("Answer"),
-        F.col("gen_idx").cast("int").alias("gen_idx"),
+        (F.col("event_id") % n_generations + 1).cast("int").alias("gen_idx"),
         generation.alias("generation"),
     )
 
