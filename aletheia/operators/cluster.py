@@ -5,7 +5,7 @@
   by making each component's largest-magnitude loading positive.
 * k-means (M9/M10): MLlib ``KMeans(seed=42)``; k=1 is rejected by MLlib, so
   it is the constant cluster 0 with the mean as centre.
-* Per-cluster probes (M12): all clusters of all k in ONE block fit
+* Per-cluster probes (M12): all clusters of all k through one block-fit call
   (``linear.fit_many`` with model_id = 'k<k>:c<cluster>').
 * Routed AUC (M13/J4): each row scored by its cluster's model, 0.0 where the
   cluster has no model, one AUC over all rows (per k and part).
