@@ -40,9 +40,23 @@ def hash_order(seed: int | str, id_col: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join on ``keys`` where NULL matches NULL (group keys may be NULL)."""
-    lft, rgt = left.alias("__l"), right.alias("__r")
+def _small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
+    """Persist a per-group/per-bucket table and say whether it may be
+    broadcast (counted rows and bytes under the join limits)."""
+    from pyspark import StorageLevel
+
+    from aletheia.operators.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    return df, n <= BROADCAST_MAX_ROWS and n * row_bytes <= BROADCAST_MAX_BYTES
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner equi-join on ``keys`` where NULL matches NULL (group keys may be
+    NULL).  ``broadcast`` joins map-side, so left rows without a partner are
+    dropped before any shuffle."""
+    lft, rgt = left.alias("__l"), (F.broadcast(right) if broadcast else right).alias("__r")
     cond = None
     for k in keys:
         c = F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}"))
@@ -82,7 +96,9 @@ def rank_in_hash_order(
     )
     if limit is not None:
         offsets = offsets.where(F.col("__off") < limit)
-    x = _null_safe_join(x, offsets, keys + [b])
+    # one row per (group, bucket); for a top-n only the buckets it needs
+    offsets, small = _small_side(offsets, 64)
+    x = _null_safe_join(x, offsets, keys + [b], broadcast=small)
     local = F.row_number().over(Window.partitionBy(*keys, b).orderBy(h, id_col))
     x = x.withColumn(rank_col, (F.col("__off") + local).cast("long"))
     if limit is not None:
@@ -119,13 +135,15 @@ def exclusive_prefix_by_score(
         fracs = [i / n_buckets for i in range(1, n_buckets)]
         acc = max(10_000, 4 * n_buckets)
         cuts = df.groupBy(*keys).agg(F.percentile_approx(score_col, fracs, acc).alias("__cuts"))
-        x = _null_safe_join(df, cuts, keys)
+        cuts, small = _small_side(cuts, 64 + 8 * n_buckets)  # one row of cut points per group
+        x = _null_safe_join(df, cuts, keys, broadcast=small)
         # bucket = number of cut points strictly below the score (monotone in score)
         x = x.withColumn(bcol, F.size(F.filter("__cuts", lambda c: c < F.col(score_col)))).drop("__cuts")
     totals = x.groupBy(*keys, bcol).agg(F.sum(sum_col).alias("__t"))
     wk = Window.partitionBy(*keys).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, bcol, F.coalesce(F.sum("__t").over(wk), F.lit(0)).alias("__off"))
-    x = _null_safe_join(x, offsets, keys + [bcol])
+    offsets, small = _small_side(offsets, 64)  # one row per (group, bucket)
+    x = _null_safe_join(x, offsets, keys + [bcol], broadcast=small)
     wl = Window.partitionBy(*keys, bcol).orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn(out_col, F.col("__off") + F.coalesce(F.sum(sum_col).over(wl), F.lit(0)))
     return x.drop(bcol, "__off")
