@@ -164,3 +164,9 @@ def test_separate_mode_statuses_on_natural_sources(spark):
     m, _ = E.cross_source_matrix(rows)  # reuses the same fits
     diag = {r.train_source: r.auc for r in m.collect() if r.train_source == r.test_source}
     assert all(diag[s] == out[s][0] for s in out if out[s][1] == "ok")
+
+
+def test_all_modes_concurrent_equals_sequential(spark, rows):
+    seq = sorted(tuple(r) for m in E.MODES for r in E.roc_auc_for_group(rows, m).collect())
+    con = sorted(tuple(r) for r in E.all_modes(rows).collect())
+    assert seq == con and len(con) == 12
