@@ -144,7 +144,7 @@ def _probe(spark, sf):
 
 
 def _canon_probe(spark, sf):
-    return _probe(spark, sf).withColumn("source", canonical_source("source"))
+    return prep.with_canonical_source(_probe(spark, sf))
 
 
 def _prepared(spark, sf, cap=500):
