@@ -6,8 +6,9 @@ objective of M models,  Σ_m ½‖w_m‖² + C Σ_{i∈m} logloss(w_m·x_i, y_i)
 is separable, so it equals ONE model on block-offset features: a training
 row of model m becomes a sparse vector of length M·d holding x at offset m·d.
 MLlib builds that vector JVM-side with ``Interaction`` (a nominal model index
-times the dense x), and a single ``LogisticRegression`` fit returns all M
-coefficient vectors.  MLlib minimises mean logloss + regParam·½‖w‖², hence
+times the dense x), and one ``LogisticRegression`` fit returns the coefficient
+vectors of a whole chunk of models (up to MAX_MODELS_PER_FIT; chunks run
+concurrently and, the objective being separable, give the same result).  MLlib minimises mean logloss + regParam·½‖w‖², hence
 ``regParam = 1 / (C · n_total)``, ``standardization=False``,
 ``fitIntercept=False``; ``tol=1e-9`` because weights are ~1e-4 at C=1e-4.
 
