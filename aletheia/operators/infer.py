@@ -24,6 +24,24 @@ from aletheia.functions.text import echo_answer, generation_prompt
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def freeze(df: DataFrame) -> DataFrame:
+    """Materialise model outputs once.
+
+    Generators and judges are expensive and usually non-deterministic
+    (sampling, remote calls): re-running them on a second action or after a
+    lost executor could change answers.  A reliable checkpoint writes the
+    outputs to the shared checkpoint folder; without one, they are
+    persisted (a lost block would then re-call the model for that partition)."""
+    from pyspark import StorageLevel
+
+    from aletheia.session import materialize
+
+    try:
+        return materialize(df)
+    except RuntimeError:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def batch_infer(
     df: DataFrame,
     make_fn: Callable[[], BatchFn],
@@ -87,7 +105,7 @@ def generate(
             T.StructField("hidden_states", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
-    res = batch_infer(long_q, make_generator, out, keep=[*keep, "gen_idx", "prompt"], batch_size=batch_size)
+    res = freeze(batch_infer(long_q, make_generator, out, keep=[*keep, "gen_idx", "prompt"], batch_size=batch_size))
     return res.withColumn("generation", echo_answer("decoded", "prompt")).select(
         *keep, "gen_idx", "generation", "hidden_states", "error"
     )
@@ -102,7 +120,7 @@ def annotate(
     joined back to every ``(row_id, gen_idx)``: ``(row_id, gen_idx, response, error)``."""
     distinct = prompts.select("prompt").where(F.col("prompt").isNotNull()).distinct()
     out = T.StructType([T.StructField("response", T.StringType())])
-    answered = batch_infer(distinct, make_labeller, out, keep=["prompt"], batch_size=batch_size)
+    answered = freeze(batch_infer(distinct, make_labeller, out, keep=["prompt"], batch_size=batch_size))
     return prompts.join(answered, "prompt", "left").select("row_id", "gen_idx", "response", "error")
 
 
