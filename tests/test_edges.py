@@ -72,3 +72,23 @@ def test_materialize_cuts_lineage(spark):
     m = materialize(df)
     assert "LogicalRDD" in m._jdf.queryExecution().logical().toString()
     assert m.agg(F.sum("v")).first()[0] == 9900
+
+
+def test_model_outputs_are_frozen(spark):
+    """A non-deterministic generator is called once: two actions on the
+    result see the same answers."""
+    q = spark.createDataFrame([(i, f"question {i}", "a", "s") for i in range(6)], "row_id long, Question string, Answer string, source string")
+
+    def make():
+        def fn(b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({
+                "decoded": [p + uuid.uuid4().hex for p in b["prompt"]],
+                "hidden_states": [[[0.0]] for _ in range(len(b))],
+            })
+
+        return fn
+
+    out = I.generate(q, make, n_generations=2)
+    first = sorted((r.row_id, r.gen_idx, r.generation) for r in out.collect())
+    second = sorted((r.row_id, r.gen_idx, r.generation) for r in out.collect())
+    assert len(first) == 12 and first == second
