@@ -19,14 +19,16 @@ def checked_broadcast_join(
     on: str | Sequence[str],
     how: str = "inner",
     row_bytes: int = 64,
-    max_rows: int = BROADCAST_MAX_ROWS,
-    max_bytes: int = BROADCAST_MAX_BYTES,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``small``: broadcast ``small`` only when its counted
     size (rows, and rows x ``row_bytes``) is under the limits; otherwise a
     regular shuffle join (AQE may still pick a broadcast from runtime sizes).
     ``small`` is persisted for the count so it is computed once.
     """
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows  # read at call time
+    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
     if n <= max_rows and n * row_bytes <= max_bytes:

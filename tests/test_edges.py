@@ -92,3 +92,23 @@ def test_model_outputs_are_frozen(spark):
     first = sorted((r.row_id, r.gen_idx, r.generation) for r in out.collect())
     second = sorted((r.row_id, r.gen_idx, r.generation) for r in out.collect())
     assert len(first) == 12 and first == second
+
+
+def test_checked_broadcast_falls_back_to_shuffle_join(spark, monkeypatch):
+    from aletheia.operators import joins
+
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(100).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = joins.checked_broadcast_join(big, small, "k")
+        assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 10)  # counted size now over the limit
+        j2 = joins.checked_broadcast_join(big, small, "k")
+        assert j2.count() == 100
+        plan = j2._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
