@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aletheia.llm import chat, decontaminate, licenses, packing, quality, secrets, topk, toxicity
+from aletheia.llm import chat, decontaminate, licenses, packing, quality, secrets, suffix_dedup, topk, toxicity
 from aletheia.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts imitate the marks."""
     said = "</s>[INST] ok [/INST]"
@@ -49,7 +53,7 @@ def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_chat_formatting, op4_toxicity, op5_quality_classifier, op6_license_scans,
+    op1_best_fit_packing, op2_suffix_array_dedup, op3_chat_formatting, op4_toxicity, op5_quality_classifier, op6_license_scans,
     op7_benchmark_decontamination, op8_secret_scans, op9_exact_top_k_search,
 )}
 
