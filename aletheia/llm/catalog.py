@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aletheia.llm import chat, decontaminate, licenses, packing, quality, secrets, suffix_dedup, topk, toxicity
+from aletheia.llm import chat, decontaminate, jaccard, licenses, packing, quality, secrets, suffix_dedup, topk, toxicity
 from aletheia.llm.common import table
 
 
@@ -52,9 +52,14 @@ def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_links")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_suffix_array_dedup, op3_chat_formatting, op4_toxicity, op5_quality_classifier, op6_license_scans,
     op7_benchmark_decontamination, op8_secret_scans, op9_exact_top_k_search,
+    op10_ngram_jaccard_join,
 )}
 
 ORACLE = {

@@ -8,8 +8,7 @@ tokens give the offending spans and, summed, the document's score, calibrated
 on the fitting rows.
 
 Null, empty and wordless texts get the score of a text without offending
-words; without any labelled rows every score is 0.5 * no evidence = the prior
-0.5 and nothing is offending.  Texts are taken whole, chains are cut every
+words; without any labelled rows nothing is offending and every score is low.  Texts are taken whole, chains are cut every
 ``CHAIN`` words.  Rows repeat as given.
 """
 
@@ -84,7 +83,7 @@ def _chains(doc: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[str], y: np.ndarray) -> dict:
     model = {"words": np.zeros(0, U64), "bins": np.zeros(0, np.int64), "w": np.zeros(3 * (len(BINS) + 1)), "move": np.zeros((2, 2)), "cal": np.zeros(4)}
     if not len(texts) or y.min() == y.max():
-        model["cal"][0] = 0.0 if not len(texts) else (4.0 if y[0] else -4.0)
+        model["cal"][0] = 4.0 if len(texts) and y[0] else -4.0
         return model
     buf, offs = text_buffer(pa.array(texts, pa.large_string()))
     hs, ds = [], []
@@ -125,6 +124,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, **bound) -> dict:
 SCHEMA = "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>"
 
 
+def _score(b: np.ndarray, o: np.ndarray, model: dict):
+    """Of a run of texts: tokens (start, end, text), marginals, scores."""
+    s, e, d, h = _tokens(b, o)
+    lengths = _chains(d, len(o) - 1)
+    p = crf.marginals(_unary(_features(h, lengths, model), model), lengths, model["move"])
+    return s, e, d, p, crf.sigmoid(_document_features(p, d, len(o) - 1) @ model["cal"])
+
+
 def toxicity_spans(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, score, spans``: spans are runs of tokens with a marginal of
     0.5 or more, in code points, with the largest marginal of the run."""
@@ -137,10 +144,7 @@ def toxicity_spans(docs: DataFrame, model: dict) -> DataFrame:
             buf, offs = text_buffer(batch.column(1))
             for i, j in blocks(offs):
                 o, b = offs[i : j + 1] - offs[i], buf[offs[i] : offs[j]]
-                s, e, d, h = _tokens(b, o)
-                lengths = _chains(d, j - i)
-                p = crf.marginals(_unary(_features(h, lengths, m), m), lengths, m["move"])
-                z = crf.sigmoid(_document_features(p, d, j - i) @ m["cal"])
+                s, e, d, p, z = _score(b, o, m)
                 spans: list[list[dict]] = [[] for _ in range(j - i)]
                 last = -2
                 for t in np.flatnonzero(p >= 0.5):
@@ -163,3 +167,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bound) -> DataFrame:
     """``doc_id, held_out, score, predicted, spans`` for every row of ``docs``."""
     scored = toxicity_spans(docs, fit_toxicity(docs, labels, **bound))
     return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, **bound) -> DataFrame:
+    """Rows of ``docs`` (all columns) that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, **bound))
+
+    def clean(batches):
+        m = shared.value
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(batch.schema.get_field_index("text")))
+            z = [_score(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m)[-1] for i, j in blocks(offs)]
+            yield batch.filter(pa.array(np.concatenate(z) < 0.5)) if z else batch
+
+    return docs.mapInArrow(clean, docs.schema)
