@@ -6,6 +6,7 @@ caller (also such with clashing names) never meet an internal column.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aletheia.session import materialize  # noqa: F401  (reliable checkpoint, shared folder)
+from aletheia.session import ensure_checkpoint_dir, materialize  # noqa: F401  (reliable checkpoint, shared folder)
 
 #: Bytes handled per vectorised step; bounds the temporary arrays of a task.
 BLOCK_BYTES = 1 << 20
@@ -30,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as compressed Parquet in the shared checkpoint
+    folder and read back: wide intermediate rows take a fraction of a
+    checkpoint's space, and a reader takes only the columns it needs."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``; a null text is the empty text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

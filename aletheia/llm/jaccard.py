@@ -16,15 +16,15 @@ of distinct k-word shingles; the result is the components of all links.
 4. In a cell an R-tree over the points (packed by size, then counts) joins with
    itself: pairs of boxes whose summed coordinate minima cannot reach the
    overlap their sizes ask for are left out with everything below them.
-5. Rounds: first each member with its cell's most central member and its best
-   bounded partner, verified on the exact sets; then every pair that still
-   passes the bound but lies in different components.  So a group of copies
-   costs one verification a member, and no link between different texts is lost.
+5. Rounds: first each document with its best bounded partner, verified on the
+   exact sets; then every other pair that passes the bound and lies in different
+   components.  So a group of near copies costs about one verification a member,
+   and no link between different texts is lost.
 
 Words are runs of other than white space, A-Z lower-cased.  A text of fewer
 than k words has its whole sequence as its one shingle; null, empty and blank
 texts have no set and link with nothing.  Rows that repeat a doc_id are one
-document (the largest set stands, then the least digest); null ids get a null
+document (the largest set stands; other rows' sets are classes of their own); null ids get a null
 component.  Texts are taken whole.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aletheia.llm.common import LOWER, NOT_SPACE, U64, _BASE, blocks, find_words, hash_words, id_text, materialize, mix, shingles, text_buffer
+from aletheia.llm.common import LOWER, NOT_SPACE, U64, _BASE, blocks, find_words, hash_words, id_text, materialize, mix, shingles, stored, text_buffer
 from aletheia.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -47,6 +47,9 @@ HOT_MOST = 4_000_000
 LEAF = 32
 ID_BROADCAST_ROWS = 2_000_000
 
+BUCKETS_PER_PARTITION = 4
+POSTING = np.dtype([("token", "<u8"), ("doc", "<i8")])
+
 SETS = "doc_id long, n long, d1 long, d2 long, counts binary, first array<long>"
 
 
@@ -212,87 +215,126 @@ def _cells(batches):
 
 def candidates(cells: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of different components that pass the bound:
-    all of them, or for each member its cell's centre and its best partner."""
-
-    def search(batches):
-        a, b = [], []
+    all of them, or only each member's best partner over all its cells."""
 
-        def rows():
-            x, y = np.concatenate(a), np.concatenate(b)
-            a.clear(), b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def rows(*cols):
+        types = (pa.int64(), pa.int64(), pa.float64())
+        arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types)]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "score"])
 
+    def search(batches):
+        a, b, scores, held = [], [], [], 0
         for doc, n, c, root in _cells(batches):
-            m = len(doc)
-            best, partner = np.full(m, -1.0), np.zeros(m, np.int64)
-            if not every and m > 2:
-                middle = np.median(c, axis=0)
-                centre = int(np.argmin(np.abs(c - middle).sum(axis=1)))
-                others = np.flatnonzero(np.arange(m) != centre)
-                ok = _may(n[others], n[others], c[others], *(np.repeat(x[centre : centre + 1], m - 1, axis=0) for x in (n, n, c)), percent)
-                ok &= root[others] != root[centre]
-                a.append(doc[others[ok]])
-                b.append(np.full(int(ok.sum()), doc[centre]))
+            best, partner = np.full(len(doc), -1.0), np.zeros(len(doc), np.int64)
             for x, y in cell_pairs(n, c, percent):
                 ok = root[x] != root[y]
                 x, y = x[ok], y[ok]
+                score = np.minimum(c[x], c[y]).sum(axis=1) / (n[x] + n[y])
                 if every:
-                    a.append(doc[x])
-                    b.append(doc[y])
-                    if sum(map(len, a)) > 100_000:
-                        yield rows()
+                    a.append(np.minimum(doc[x], doc[y]))
+                    b.append(np.maximum(doc[x], doc[y]))
+                    scores.append(score)
+                    held += len(x)
                 else:
-                    score = np.minimum(c[x], c[y]).sum(axis=1) / (n[x] + n[y])
                     for p, q in ((x, y), (y, x)):
-                        o = np.lexsort((doc[q], -score))[::-1]  # the best is written last
-                        better = score[o] > best[p[o]]
-                        best[p[o][better]], partner[p[o][better]] = score[o][better], q[o][better]
+                        o = np.lexsort((-doc[q], score))  # the best is written last
+                        p, q, v = p[o], q[o], score[o]
+                        up = (v > best[p]) | ((v == best[p]) & (doc[q] < doc[partner[p]]))
+                        best[p[up]], partner[p[up]] = v[up], q[up]
+                if held > 100_000:
+                    yield rows(a, b, scores)
+                    a, b, scores, held = [], [], [], 0
             if not every:
                 has = np.flatnonzero(best >= 0)
                 a.append(doc[has])
                 b.append(doc[partner[has]])
-            if len(a) > 1000:
-                yield rows()
-        if a:
-            yield rows()
+                scores.append(best[has])
+                held += len(has)
+        yield rows(a, b, scores)
 
-    return cells.mapInArrow(search, "a long, b long").distinct()
+    found = cells.mapInArrow(search, "a long, b long, score double")
+    if not every:
+        found = found.groupBy("a").agg(F.max(F.struct("score", -F.col("b"))).alias("s")).select("a", (-F.col("s.col2")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # --- verification ----------------------------------------------------------------
 
 
 def verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` that link, on their exact sets: ``(u, v)``."""
+    """Those of ``pairs`` that link, on the exact sets of their texts: ``(u, v)``."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = F.broadcast(ids) if ids.count() <= ID_BROADCAST_ROWS else ids
+    own = text.join(side, "doc_id", "left_semi")
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def members(col):
+        for _, m, h, d in doc_sets(col, k):
+            cut = np.searchsorted(d, np.arange(m + 1))
+            yield from (h[cut[i] : cut[i + 1]] for i in range(m))
 
-    def sets(batches):
+    def test(batches):
         for batch in batches:
-            for i, m, h, d in doc_sets(batch.column(1), k):
-                cut = np.searchsorted(d, np.arange(m + 1))
-                rows = [h[cut[x] : cut[x + 1]].tobytes() for x in range(m)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(rows, pa.binary())], names=["doc_id", "members"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keep = []
+                for x, y in zip(members(part.column(2)), members(part.column(3))):
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
 
-    # several rows of one id: the largest set stands, as in the features
-    own = text.join(side, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, members binary")
-    own = own.groupBy("doc_id").agg(F.max(F.struct(F.length("members"), "members")).alias("s")).select("doc_id", F.col("s.members").alias("members"))
-    own = materialize(own)
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
-    both = both.join(own.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(test, "u long, v long").distinct()
 
-    def test(batches):
+
+def shared_cells(reps: DataFrame, n_buckets: int, parts: int) -> DataFrame:
+    """``(cell, doc_id)``: the documents that share a first shingle, once for
+    each set of members (``cell`` names the set).  Postings move packed."""
+
+    def deal(batches):
+        for batch in batches:
+            first = batch.column(1)
+            token = first.values.to_numpy()[first.offsets[0].as_py() : first.offsets[-1].as_py()].view(U64)
+            r = np.empty(len(token), POSTING)
+            r["token"] = token
+            r["doc"] = np.repeat(batch.column(0).to_numpy(), np.diff(first.offsets.to_numpy()))
+            bucket = (r["token"] % U64(n_buckets)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[o], np.arange(n_buckets + 1))
+            r = r[o]
+            keep = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keep.astype(np.int32)), pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in keep], pa.binary())], names=["bucket", "postings"]
+            )
+
+    def meet(batches):
+        def cells(held):
+            r = np.frombuffer(b"".join(held), POSTING)
+            r = r[np.lexsort((r["doc"], r["token"]))]
+            new = np.concatenate(([True], r["token"][1:] != r["token"][:-1]))
+            at = np.flatnonzero(new)
+            size = np.diff(np.concatenate((at, [len(r)])))
+            name = mix(np.add.reduceat(mix(r["doc"].astype(U64) + _BASE), at) + size.astype(U64))
+            some = np.flatnonzero(size > 1)
+            some = some[np.unique(name[some], return_index=True)[1]]  # each member set once
+            rows = np.repeat(at[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            cell = np.repeat(name[some], size[some]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(r["doc"][rows])], names=["cell", "doc_id"])
+
+        at, held = None, []
         for batch in batches:
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for x, y in zip(xs, ys):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at and held:
+                    yield cells(held)
+                    held = []
+                at = bucket
+                held.append(blob)
+        if held:
+            yield cells(held)
 
-    return both.mapInArrow(test, "u long, v long")
+    packed = reps.select("doc_id", "first").mapInArrow(deal, "bucket int, postings binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cell long, doc_id long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -306,28 +348,27 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     text = id_text(docs)
     known = text.where(F.col("doc_id").isNotNull())
     hot = hot_shingles(known, k, known.count())
-    every = materialize(features(text, k, percent, hot))
+    every = stored(features(text, k, percent, hot))
     # one row per document, one document per class
     one = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     own = one.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
-    classes = materialize(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = one.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"]).dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "n", "counts", "first"))
-    # cells: members of each shared first shingle; equal cells once
-    post = reps.select("doc_id", F.explode("first").alias("token"))
-    per = post.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"))
-    shared = per.where("m > 1").groupBy("m", "h").agg(F.min("token").alias("token"))
-    cells = post.join(shared.select("token"), "token").join(reps.select("doc_id", "n", "counts"), "doc_id")
-    cells = materialize(cells.select(F.col("token").alias("cell"), "doc_id", "n", "counts"))
+    classes = materialize(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    copies = own.join(classes.where("copies > 1"), ["n", "d1", "d2"]).where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    copies = materialize(copies)
+    side = F.broadcast(copies) if copies.count() <= ID_BROADCAST_ROWS else copies
+    reps = one.join(side, "doc_id", "left_anti")
+    cells = shared_cells(reps, BUCKETS_PER_PARTITION * parts + 1, parts)
+    points = reps.groupBy("doc_id").agg(F.max(F.struct("n", "counts")).alias("s")).select("doc_id", "s.*")
+    cells = stored(cells.join(points, "doc_id").select("cell", "doc_id", "n", "counts"))
     sort = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")
-    links = verified(materialize(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False)), known, k, percent)
-    links = materialize(links)
+    best = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False))
+    links = materialize(verified(best, known, k, percent))
     roots = materialize(components(links))
     # what is left: cells of several components, all pairs between those
     at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
     rest = candidates(sort(at.join(mixed, "cell").select("cell", "doc_id", "n", "counts", "root")), percent, True)
-    tried = materialize(rest.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"))
+    tried = stored(rest.join(best, ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(verified(tried, known, k, percent)).distinct())
     roots = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
