@@ -40,6 +40,9 @@ from aletheia.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
+#: Groups of the finer count vectors (a byte each) of documents that have a
+#: candidate; a document with 255 or more in one group goes without.
+FINE_GROUPS = 1024
 #: A shingle held by more than one in so many documents is put last in the order.
 HOT_ONE_IN = 1000
 #: Hot shingles that may be broadcast (8 bytes each); rarer ones go first.
@@ -50,7 +53,7 @@ ID_BROADCAST_ROWS = 2_000_000
 BUCKETS_PER_PARTITION = 4
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8")])
 
-SETS = "doc_id long, n long, d1 long, d2 long, counts binary, first array<long>"
+SETS = "doc_id long, n long, d1 long, d2 long, counts binary, fine binary, first array<long>"
 
 
 def doc_sets(col: pa.Array, k: int):
@@ -100,6 +103,8 @@ def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
             for i, m, h, d in doc_sets(batch.column(1), k):
                 n = np.bincount(d, minlength=m)
                 counts = np.bincount(d * GROUPS + (mix(h) % U64(GROUPS)).astype(np.int64), minlength=m * GROUPS).astype(np.uint32).reshape(m, GROUPS)
+                fine = np.bincount(d * FINE_GROUPS + (mix(h ^ U64(GROUPS)) % U64(FINE_GROUPS)).astype(np.int64), minlength=m * FINE_GROUPS)
+                fine = np.minimum(fine, 255).astype(np.uint8).reshape(m, FINE_GROUPS)
                 begin = np.concatenate(([0], np.cumsum(n)))
                 total = lambda x: np.diff(np.concatenate((np.zeros(1, U64), np.cumsum(x, dtype=U64)))[begin])
                 d1 = mix(total(mix(h ^ _BASE)) + n.astype(U64)).view(np.int64)
@@ -116,6 +121,7 @@ def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
                     [
                         batch.column(0).slice(i, m), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2),
                         pa.array([c.tobytes() for c in counts], pa.binary()),
+                        pa.array([c.tobytes() if c.max() < 255 else b"" for c in fine], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64))),
                     ],
                     names=[x.split()[0] for x in SETS.split(", ")],
@@ -147,6 +153,16 @@ def _may(lo_a, hi_a, top_a, lo_b, hi_b, top_b, percent):
     return ok
 
 
+def _fine_may(x, y, n, fine, known, percent):
+    """The same bound on the finer counts, where both have them."""
+    ok = np.ones(len(x), bool)
+    for b in range(0, len(x), 4096):
+        p, q = x[b : b + 4096], y[b : b + 4096]
+        bound = np.minimum(fine[p], fine[q]).sum(axis=1, dtype=np.int64)
+        ok[b : b + 4096] = ~(known[p] & known[q]) | (bound >= need(n[p] + n[q], percent))
+    return ok
+
+
 def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int):
     """Index pairs (a < b) of a cell that pass the bound, in bounded pieces."""
     m = len(n)
@@ -185,7 +201,8 @@ def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int):
 
 
 def _cells(batches):
-    """Cells (rows sorted by cell) one after another: doc, n, counts, root."""
+    """Cells (rows sorted by cell) one after another: doc, n, counts, root and,
+    if there is such a column, fine counts and which rows have them."""
     held = []
 
     def cut(table):
@@ -194,9 +211,14 @@ def _cells(batches):
         n = table.column("n").to_numpy()
         doc, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
         c = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).reshape(len(cell), GROUPS)
+        fine = known = None
+        if "fine" in table.column_names:
+            raw = table.column("fine").to_pylist()
+            known = np.array([len(x) > 0 for x in raw])
+            fine = np.frombuffer(b"".join(x or bytes(FINE_GROUPS) for x in raw), np.uint8).reshape(len(cell), FINE_GROUPS)
         b = 0
         for e in ends:
-            yield doc[b:e], n[b:e], c[b:e], root[b:e]
+            yield doc[b:e], n[b:e], c[b:e], root[b:e], None if fine is None else (fine[b:e], known[b:e])
             b = e
 
     for batch in batches:
@@ -224,11 +246,14 @@ def candidates(cells: DataFrame, percent: int, every: bool) -> DataFrame:
 
     def search(batches):
         a, b, scores, held = [], [], [], 0
-        for doc, n, c, root in _cells(batches):
+        for doc, n, c, root, fine in _cells(batches):
             best, partner = np.full(len(doc), -1.0), np.zeros(len(doc), np.int64)
             for x, y in cell_pairs(n, c, percent):
                 ok = root[x] != root[y]
                 x, y = x[ok], y[ok]
+                if fine is not None:
+                    ok = _fine_may(x, y, n, *fine, percent)
+                    x, y = x[ok], y[ok]
                 score = np.minimum(c[x], c[y]).sum(axis=1) / (n[x] + n[y])
                 if every:
                     a.append(np.minimum(doc[x], doc[y]))
@@ -364,10 +389,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     best = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False))
     links = materialize(verified(best, known, k, percent))
     roots = materialize(components(links))
-    # what is left: cells of several components, all pairs between those
+    # what is left: cells of several components, all pairs between those of
+    # documents with any candidate, now under the finer bound as well
+    active = materialize(best.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    near = F.broadcast(active) if active.count() <= ID_BROADCAST_ROWS else active
+    cells = cells.join(near, "doc_id", "left_semi")
+    points = reps.join(near, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", "fine")).alias("s")).select("doc_id", "s.fine")
     at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    rest = candidates(sort(at.join(mixed, "cell").select("cell", "doc_id", "n", "counts", "root")), percent, True)
+    at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
+    rest = candidates(sort(at), percent, True)
     tried = stored(rest.join(best, ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(verified(tried, known, k, percent)).distinct())
     roots = components(links)
