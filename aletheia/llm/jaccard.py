@@ -16,9 +16,9 @@ of distinct k-word shingles; the result is the components of all links.
 4. In a cell an R-tree over the points (packed by size, then counts) joins with
    itself: pairs of boxes whose summed coordinate minima cannot reach the
    overlap their sizes ask for are left out with everything below them.
-5. Rounds: first each document with its best bounded partner, verified on the
-   exact sets; then every other pair that passes the bound and lies in different
-   components.  So a group of near copies costs about one verification a member,
+5. Rounds: each document with its best bounded partner in another component,
+   verified on the exact sets, until a round adds no link; then every other pair
+   that passes the bound and still lies in different components.  So a group of near copies costs about one verification a member,
    and no link between different texts is lost.
 
 Words are runs of other than white space, A-Z lower-cased.  A text of fewer
@@ -386,21 +386,30 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     points = reps.groupBy("doc_id").agg(F.max(F.struct("n", "counts")).alias("s")).select("doc_id", "s.*")
     cells = stored(cells.join(points, "doc_id").select("cell", "doc_id", "n", "counts"))
     sort = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")
-    best = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False))
-    links = materialize(verified(best, known, k, percent))
-    roots = materialize(components(links))
-    # what is left: cells of several components, all pairs between those of
-    # documents with any candidate, now under the finer bound as well
-    active = materialize(best.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    tried = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False))
+    links = materialize(verified(tried, known, k, percent))
+    # from here on only documents with any candidate, under the finer bound as well
+    active = materialize(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     near = F.broadcast(active) if active.count() <= ID_BROADCAST_ROWS else active
     cells = cells.join(near, "doc_id", "left_semi")
     points = reps.join(near, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", "fine")).alias("s")).select("doc_id", "s.fine")
-    at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
-    rest = candidates(sort(at), percent, True)
-    tried = stored(rest.join(best, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(verified(tried, known, k, percent)).distinct())
+    points = stored(points)
+    # best partners in other components until they add no link, then all pairs
+    # of different components that are left
+    every_pair = False
+    while True:
+        roots = materialize(components(links))
+        at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+        at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
+        fresh = stored(candidates(sort(at), percent, every_pair).join(tried, ["a", "b"], "left_anti"))
+        more = materialize(verified(fresh, known, k, percent))
+        found = more.count()
+        links = materialize(links.unionByName(more))
+        tried = tried.unionByName(fresh)
+        if every_pair:
+            break
+        every_pair = not found
     roots = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     tree = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
