@@ -73,8 +73,8 @@ POOL_SQL = {
 }
 
 
-def prep_ctes(cap: int = 500, split: bool = True) -> str:
-    """probe → canonical → keep-first → cap per (source,label) → 80/20 → max-pool."""
+def prep_ctes(split: bool = True) -> str:
+    """probe → canonical → keep-first → 80/20 → max-pool, over all rows."""
     canon = CANON_SQL.format(c="source")
     part = (
         ", CASE WHEN p_ <= CAST(floor(n_ * CAST(0.8 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS part"
@@ -84,9 +84,7 @@ def prep_ctes(cap: int = 500, split: bool = True) -> str:
     return f"""{PROBE_CTE},
 c AS (SELECT row_id, Question, Answer, {canon} AS source, label, hidden_states FROM probe),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Question, Answer ORDER BY row_id) AS r_ FROM c) d0 WHERE r_ = 1),
-e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, label
-        ORDER BY md5(concat('0|', CAST(row_id AS VARCHAR))), row_id) AS rn_
-      FROM d WHERE source IS NOT NULL AND label IS NOT NULL) e1 WHERE rn_ <= {cap}),
+e AS (SELECT * FROM d WHERE source IS NOT NULL AND label IS NOT NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(concat('1|', CAST(row_id AS VARCHAR))), row_id) AS p_,
         count(*) OVER (PARTITION BY source, label) AS n_ FROM e),
 prep AS (SELECT row_id, source, label, CASE WHEN lower(label) = 'true' THEN 1 ELSE 0 END AS y{part},
@@ -147,8 +145,9 @@ def _canon_probe(spark, sf):
     return prep.with_canonical_source(_probe(spark, sf))
 
 
-def _prepared(spark, sf, cap=500):
-    return probe_set(_probe(spark, sf), sample_size=cap)
+def _prepared(spark, sf):
+    """All rows: nothing is capped, neither for fitting nor for evaluation."""
+    return probe_set(_probe(spark, sf), sample_size=None)
 
 
 def q_source_canonical(spark, sf):
@@ -170,12 +169,12 @@ def q_value_counts_source(spark, sf):
 
 
 def q_value_counts_source_label(spark, sf):
-    sel = select_rows(_probe(spark, sf), 500, split_seed=None)
+    sel = select_rows(_probe(spark, sf), None, split_seed=None)
     return prep.value_counts(sel, ["source", "label"], "n")
 
 
 def q_distinct_sources(spark, sf):
-    sel = select_rows(_probe(spark, sf), 500, split_seed=None)
+    sel = select_rows(_probe(spark, sf), None, split_seed=None)
     return prep.distinct_sorted(sel, "source")
 
 
@@ -191,12 +190,12 @@ def q_sample_by_group(spark, sf):
 
 
 def q_split_prefix(spark, sf):
-    sel = select_rows(_probe(spark, sf), 500, split_seed=None)
+    sel = select_rows(_probe(spark, sf), None, split_seed=None)
     return split_prefix(sel, ["source", "label"], seed=1).select("row_id", "source", "label", "part")
 
 
 def q_split_stratified(spark, sf):
-    nat = fixtures.natural(spark, sf).select("row_id", "source", label_binary("label").alias("y"))
+    nat = fixtures.labelled(spark, sf).select("row_id", "source", label_binary("label").alias("y"))
     s = split_stratified(nat, "source", "y", seed=42, part_col="spart")
     return s.select("row_id", "source", "y", "spart", "split_status")
 
@@ -271,8 +270,13 @@ def _pool_query(method):
     return q
 
 
+def _total(x):
+    """Fixed score: the sum of all elements."""
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 def q_auc_by_source(spark, sf):
-    ps = _prepared(spark, sf).withColumn("score", F.col("x")[0])
+    ps = _prepared(spark, sf).withColumn("score", _total("x"))
     a = A.grouped_auc(ps, ["source"], "score", "y")
     return a.select("source", "n_pos", "n_neg", F.round("auc", R).alias("auc"))
 
@@ -297,7 +301,7 @@ def q_auc_global(spark, sf):
 
 
 def _sources(spark, sf):
-    return E.sources_of(select_rows(_probe(spark, sf), 500, split_seed=None))
+    return E.sources_of(select_rows(_probe(spark, sf), None, split_seed=None))
 
 
 def q_plan_loo(spark, sf):
@@ -312,7 +316,7 @@ def q_plan_incremental(spark, sf):
 
 def _fixed_source_auc(spark, sf):
     """AUC per source of the fixed score x[0] on the prepared set."""
-    ps = _prepared(spark, sf).withColumn("score", F.col("x")[0])
+    ps = _prepared(spark, sf).withColumn("score", _total("x"))
     return A.grouped_auc(ps, ["source"], "score", "y").select("source", "auc")
 
 
@@ -474,7 +478,7 @@ _HEX = "'0123456789abcdef'"
 _CANON_C = "c AS (SELECT row_id, Question, Answer, " + CANON_SQL.format(c="source") + " AS source, label FROM probe)"
 _DEDUP_D = "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Question, Answer ORDER BY row_id) AS r_ FROM c) d0 WHERE r_ = 1)"
 _NAT = """nat AS (SELECT dd.doc_id AS row_id, dd.source, CASE WHEN lb.quality = 1 THEN 1 ELSE 0 END AS y
-  FROM documents dd JOIN labels lb ON dd.doc_id = lb.doc_id JOIN embeddings em ON dd.doc_id = em.vec_id)"""
+  FROM documents dd JOIN labels lb ON dd.doc_id = lb.doc_id)"""
 _SRCS = "srcs AS (SELECT DISTINCT source FROM e)"
 _ORD = """ord AS (SELECT CAST(r.run AS INTEGER) AS run, s.source,
     CAST(row_number() OVER (PARTITION BY r.run ORDER BY md5(concat(CAST(r.run AS VARCHAR), '|', s.source)), s.source) AS INTEGER) AS pos
@@ -508,14 +512,14 @@ ORACLE: dict[str, str] = {
     "label_binary": f"WITH {PROBE_CTE}\nSELECT row_id, label, CASE WHEN label IS NULL THEN NULL WHEN lower(label) = 'true' THEN 1 ELSE 0 END AS y FROM probe",
     "dedup_first": f"WITH {PROBE_CTE}, {_CANON_C}, {_DEDUP_D}\nSELECT row_id, Question, Answer, source, label FROM d",
     "value_counts_source": f"WITH {PROBE_CTE}, {_CANON_C}\nSELECT source, count(*) AS n FROM c WHERE source IS NOT NULL GROUP BY source",
-    "value_counts_source_label": f"WITH {prep_ctes(500, split=False)}\nSELECT source, label, count(*) AS n FROM e GROUP BY source, label",
-    "distinct_sources": f"WITH {prep_ctes(500, split=False)}\nSELECT DISTINCT source FROM e",
+    "value_counts_source_label": f"WITH {prep_ctes(split=False)}\nSELECT source, label, count(*) AS n FROM e GROUP BY source, label",
+    "distinct_sources": f"WITH {prep_ctes(split=False)}\nSELECT DISTINCT source FROM e",
     "count_nonnull_generations": f"WITH {GENS_DEDUP_CTE}\nSELECT count(DISTINCT row_id) AS n_rows, count(generation) AS n_nonnull FROM gd",
     "sample_by_group": f"""WITH {PROBE_CTE}, {_CANON_C}, {_DEDUP_D}
 SELECT row_id, source, label FROM (SELECT *, row_number() OVER (PARTITION BY source, label
     ORDER BY md5(concat('0|', CAST(row_id AS VARCHAR))), row_id) AS rn FROM d
   WHERE source IS NOT NULL AND label IS NOT NULL) s0 WHERE rn <= {SAMPLE_CAP_TEST}""",
-    "split_prefix": f"WITH {prep_ctes(500)}\nSELECT row_id, source, label, part FROM prep",
+    "split_prefix": f"WITH {prep_ctes()}\nSELECT row_id, source, label, part FROM prep",
     "split_stratified": f"""WITH {_NAT},
 cls AS (SELECT source, y, count(*) AS n_c FROM nat GROUP BY source, y),
 g1 AS (SELECT *, sum(n_c) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source) AS n_classes,
@@ -551,7 +555,7 @@ FROM lab WHERE label IS NOT NULL""",
     "pool_max": _pool_sql("max"),
     "pool_mean": _pool_sql("mean"),
     "pool_first": _pool_sql("first"),
-    "auc_by_source": f"""WITH {prep_ctes(500)}, t AS (SELECT source, y, x[1] AS sc FROM prep), {auc_sql('t', ['source'], 'sc')}
+    "auc_by_source": f"""WITH {prep_ctes()}, t AS (SELECT source, y, list_reduce(x, lambda a, b: a + b) AS sc FROM prep), {auc_sql('t', ['source'], 'sc')}
 SELECT source, n_pos, n_neg, round(auc, 6) AS auc FROM auc""",
     "auc_by_returnflag": f"""WITH li AS (SELECT l_returnflag, l_extendedprice AS sc, CAST(l_linestatus = 'F' AS INTEGER) AS y FROM lineitem),
 {auc_sql('li', ['l_returnflag'], 'sc')}
@@ -559,30 +563,30 @@ SELECT l_returnflag, n_pos, n_neg, round(auc, 6) AS auc FROM auc""",
     "auc_global": f"""WITH li AS (SELECT l_extendedprice AS sc, CAST(l_linestatus = 'F' AS INTEGER) AS y FROM lineitem),
 {auc_sql('li', [], 'sc')}
 SELECT n_pos, n_neg, round(auc, 6) AS auc FROM auc""",
-    "plan_loo": f"WITH {prep_ctes(500, split=False)}, {_SRCS}\nSELECT h.source AS model_id, s.source FROM srcs h JOIN srcs s ON h.source <> s.source",
-    "plan_incremental": f"WITH {prep_ctes(500, split=False)}, {_SRCS}, {_ORD}\nSELECT run, source, pos FROM ord",
-    "curve_stats": f"""WITH {prep_ctes(500)}, {_SRCS}, {_ORD},
-t AS (SELECT source, y, x[1] AS sc FROM prep), {auc_sql('t', ['source'], 'sc')},
+    "plan_loo": f"WITH {prep_ctes(split=False)}, {_SRCS}\nSELECT h.source AS model_id, s.source FROM srcs h JOIN srcs s ON h.source <> s.source",
+    "plan_incremental": f"WITH {prep_ctes(split=False)}, {_SRCS}, {_ORD}\nSELECT run, source, pos FROM ord",
+    "curve_stats": f"""WITH {prep_ctes()}, {_SRCS}, {_ORD},
+t AS (SELECT source, y, list_reduce(x, lambda a, b: a + b) AS sc FROM prep), {auc_sql('t', ['source'], 'sc')},
 sz AS (SELECT DISTINCT pos AS i FROM ord WHERE pos < (SELECT count(*) FROM srcs)),
 pr AS (SELECT o.run, z.i AS train_size, avg(a.auc) AS mean_auc
        FROM ord o JOIN sz z ON o.pos > z.i JOIN auc a ON a.source = o.source GROUP BY o.run, z.i)
 SELECT CAST(train_size AS INTEGER) AS train_size, round(avg(mean_auc), 6) AS mean, round(stddev_pop(mean_auc), 6) AS std,
   round(avg(mean_auc) - stddev_pop(mean_auc), 6) AS lower, round(avg(mean_auc) + stddev_pop(mean_auc), 6) AS upper
 FROM pr GROUP BY train_size""",
-    "score_fixed_coefs": f"""WITH {prep_ctes(500)},
+    "score_fixed_coefs": f"""WITH {prep_ctes()},
 {_CENTROID.format(s='', m='source', src="prep WHERE part = 'train'")}
 SELECT p.row_id, p.source, round({_SIG.format(a='p.x', b='c.w')}, 6) AS score
 FROM prep p JOIN coef c ON c.m = p.source WHERE p.part = 'test'""",
-    "cosine_matrix_fixed": f"""WITH {prep_ctes(500)},
+    "cosine_matrix_fixed": f"""WITH {prep_ctes()},
 {_CENTROID.format(s='', m='source', src="prep WHERE part = 'train'")},
 lw AS (SELECT m, unnest(range(len(w))) AS j, unnest(w) AS v FROM coef),
 dots AS (SELECT a.m AS a, b.m AS b, sum(a.v * b.v) AS dot FROM lw a JOIN lw b ON a.j = b.j GROUP BY a.m, b.m),
 nrm AS (SELECT a AS m, sqrt(dot) AS nrm FROM dots WHERE a = b)
 SELECT d.a, d.b, round(coalesce(d.dot / nullif(na.nrm * nb.nrm, 0), 0), 6) AS cosine
 FROM dots d JOIN nrm na ON na.m = d.a JOIN nrm nb ON nb.m = d.b""",
-    "cluster_assign_fixed": f"""WITH {prep_ctes(500)}, {_CEN}
+    "cluster_assign_fixed": f"""WITH {prep_ctes()}, {_CEN}
 SELECT row_id, CAST(list_position(dists, list_min(dists)) - 1 AS INTEGER) AS cluster FROM asg""",
-    "cluster_routed_auc_fixed": f"""WITH {prep_ctes(500)}, {_CEN},
+    "cluster_routed_auc_fixed": f"""WITH {prep_ctes()}, {_CEN},
 asg2 AS (SELECT row_id, part, y, x, 'c' || CAST(list_position(dists, list_min(dists)) - 1 AS VARCHAR) AS model_id FROM asg),
 {_CENTROID.format(s='2', m='model_id', src="asg2 WHERE part = 'train'")},
 sc AS (SELECT a.part, a.y, CASE WHEN c.w IS NULL THEN 0.0 ELSE {_SIG.format(a='a.x', b='c.w')} END AS score
@@ -667,7 +671,7 @@ def _pool_grid_auc(spark, sf):
     from aletheia.operators.joins import checked_broadcast_join
 
     p = _probe(spark, sf)
-    sel = select_rows(p, 500, split_seed=None)
+    sel = select_rows(p, None, split_seed=None)
     j = checked_broadcast_join(p.select("row_id", "hidden_states"), sel, "row_id")
     cfg = F.array(
         *[
@@ -708,7 +712,7 @@ QUERIES.update(
 )
 
 
-_POOL_GRID_SQL = f"""WITH {prep_ctes(500, split=False)},
+_POOL_GRID_SQL = f"""WITH {prep_ctes(split=False)},
 sel AS (SELECT row_id, source, CASE WHEN lower(label) = 'true' THEN 1 ELSE 0 END AS y, hidden_states FROM e),
 g AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {n})" for m, n in POOL_GRID)}) v(method, top_n)),
 sc AS (SELECT s.source, s.y, g.method, g.top_n,
@@ -731,7 +735,7 @@ ORACLE.update(
         + """,
 sc2 AS (SELECT a.method, a.top_n, a.source, a.auc FROM auc a JOIN best b ON a.method = b.method AND a.top_n = b.top_n),
 labels AS (SELECT DISTINCT source FROM sc2)
-SELECT b.method, CAST(b.top_n AS INTEGER) AS top_n, l.source, round(coalesce(s.auc, 0.0), 6) AS auc
+SELECT b.method, CAST(b.top_n AS INTEGER) AS top_n, l.source, round(CASE WHEN s.source IS NULL THEN 0.0 ELSE s.auc END, 6) AS auc
 FROM best b CROSS JOIN labels l
 LEFT JOIN sc2 s ON s.method = b.method AND s.top_n = b.top_n AND s.source = l.source""",
     }
@@ -778,7 +782,7 @@ def _sql_list(a) -> str:
 def _moc_hard_sql() -> str:
     p = _moc_fixed_params()
     d, e, h = MOC_FIXED["d"], MOC_FIXED["experts"], MOC_FIXED["hidden"]
-    return f"""WITH {prep_ctes(500)},
+    return f"""WITH {prep_ctes()},
 prm AS (SELECT CAST({_sql_list(p['W1'])} AS DOUBLE[][]) AS W1, CAST({_sql_list(p['b1'])} AS DOUBLE[]) AS b1,
                CAST({_sql_list(p['W2'])} AS DOUBLE[][]) AS W2, CAST({_sql_list(p['b2'])} AS DOUBLE[]) AS b2,
                CAST({_sql_list(p['We'])} AS DOUBLE[][][]) AS We, CAST({_sql_list(p['be'])} AS DOUBLE[][]) AS be),

@@ -63,6 +63,13 @@ def natural(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFr
     )
 
 
+def labelled(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
+    """documents ⋈ labels: every labelled document, no vectors."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "source"])
+    j = d.join(table(spark, sf_dir, "labels", ["doc_id", target]), "doc_id")
+    return j.select(F.col("doc_id").alias("row_id"), "source", F.when(F.col(target) == 1, "True").otherwise("False").alias("label"))
+
+
 def gens(spark: SparkSession, sf_dir: str, n_generations: int = 20) -> DataFrame:
     """Long generations ``(row_id, Question, Answer, gen_idx, generation)``.
 

@@ -45,8 +45,9 @@ def size_partitions(df: DataFrame, n_rows: int, row_bytes: int, target: int = IT
 
     Iterative jobs (L-BFGS steps, k-means iterations, mixture epochs) pay a
     scheduling cost per task and per pass; partitions far below ``target``
-    only add that cost, while large inputs keep one task per ``target``."""
+    only add that cost, while large inputs keep one task per ``target``.  Never
+    below the cluster's parallelism: these jobs are bound by computing."""
     import math
 
-    want = max(1, int(math.ceil(n_rows * row_bytes / target)))
+    want = max(df.sparkSession.sparkContext.defaultParallelism, int(math.ceil(n_rows * row_bytes / target)))
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df

@@ -35,7 +35,6 @@ EPOCHS = 500  # fixed value: epochs per config in the experiment
 TEMPERATURE = 1.0  # forward() temperature actually used by the reference
 EPS = 1e-8  # fixed value: Gumbel epsilon
 BLOCK = 4096  # gradient doubles per output row
-DRIVER_SUM_MAX_PARTS = 4
 PARAM_NAMES = ("W1", "b1", "W2", "b2", "We", "be")
 
 
@@ -176,13 +175,10 @@ def _epoch_gradients(data: DataFrame, bc, epoch: int, seed: int) -> dict[int, tu
                 yield pd.DataFrame(rows, columns=["config_id", "block", "g", "loss", "n"])
 
     parts = data.mapInPandas(run, _GRAD_SCHEMA)
-    if data.rdd.getNumPartitions() <= DRIVER_SUM_MAX_PARTS:
-        # few partitions: their partial sums are as small as the reduced result
-        summed = parts
-    else:
-        summed = parts.groupBy("config_id", "block").agg(
+    gathered = parts.groupBy("config_id", "block").agg(
         F.collect_list("g").alias("gs"), F.sum("loss").alias("loss"), F.sum("n").alias("n")
-        ).select(
+    )
+    summed = gathered.select(
         "config_id",
         "block",
         F.aggregate(
@@ -192,7 +188,7 @@ def _epoch_gradients(data: DataFrame, bc, epoch: int, seed: int) -> dict[int, tu
         ).alias("g"),
         "loss",
         "n",
-        )
+    )
     out: dict[int, list] = {}
     for r in summed.collect():  # one gradient per config (parameter-sized)
         out.setdefault(r.config_id, []).append((r.block, np.asarray(r.g), r.loss, r.n))
@@ -224,7 +220,7 @@ def train_mixtures(
     data = train.select("row_id", F.col(x_col).alias("x"), F.col("y").cast("int").alias("y"))
     n_rows = data.count()
     d = len(data.select("x").first()[0])
-    parts = max(1, int(math.ceil(n_rows * (d * 8 + 24) / (64 * 1024 * 1024))))
+    parts = max(spark.sparkContext.defaultParallelism, int(math.ceil(n_rows * (d * 8 + 24) / (64 * 1024 * 1024))))
     data = data.coalesce(min(parts, max(1, data.rdd.getNumPartitions())))
     try:  # hundreds of passes: cut lineage at a reliable checkpoint first
         data = materialize(data)
@@ -315,5 +311,7 @@ def mixture_grid(
     params, _ = train_mixtures(rows.where(F.col("part") == "train"), grid, epochs, seed)
     scored = score_mixtures(rows.where(F.col("part") == "test"), params, route, seed)
     auc = grouped_auc(scored, ["config_id", "source"], "score", "y")
-    scores = grid_df.join(auc.select("config_id", "source", "auc"), "config_id")
+    # every source for every config; NULL where it has no test rows
+    named = grid_df.crossJoin(rows.select("source").distinct())  # configs x sources is the result itself
+    scores = named.join(auc.select("config_id", "source", "auc"), ["config_id", "source"], "left").select(*grid_df.columns, "source", "auc")
     return scores, params_table(spark, params)

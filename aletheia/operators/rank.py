@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 HASH_BUCKET_DIGITS = 3
 # Target rows per score bucket for the AUC prefix sums.
 SCORE_BUCKET_ROWS = 200_000
-MAX_SCORE_BUCKETS = 4096
+# Every group is bucketed, small ones too, so one path serves all sizes.
+MIN_SCORE_BUCKETS = 4
 
 
 def hash_order(seed: int | str, id_col: str = "row_id") -> Column:
@@ -127,18 +128,15 @@ def exclusive_prefix_by_score(
             df.withColumn("__g", F.lit(0)), ["__g"], score_col, sum_col, out_col
         ).drop("__g")
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    n_buckets = int(min(MAX_SCORE_BUCKETS, max(1, -(-int(largest or 0) // SCORE_BUCKET_ROWS))))
+    n_buckets = max(MIN_SCORE_BUCKETS, -(-int(largest or 0) // SCORE_BUCKET_ROWS))
     bcol = "__sb"
-    if n_buckets == 1:
-        x = df.withColumn(bcol, F.lit(0))
-    else:
-        fracs = [i / n_buckets for i in range(1, n_buckets)]
-        acc = max(10_000, 4 * n_buckets)
-        cuts = df.groupBy(*keys).agg(F.percentile_approx(score_col, fracs, acc).alias("__cuts"))
-        cuts, small = _small_side(cuts, 64 + 8 * n_buckets)  # one row of cut points per group
-        x = _null_safe_join(df, cuts, keys, broadcast=small)
-        # bucket = number of cut points strictly below the score (monotone in score)
-        x = x.withColumn(bcol, F.size(F.filter("__cuts", lambda c: c < F.col(score_col)))).drop("__cuts")
+    fracs = [i / n_buckets for i in range(1, n_buckets)]
+    acc = max(10_000, 4 * n_buckets)
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(score_col, fracs, acc).alias("__cuts"))
+    cuts, small = _small_side(cuts, 64 + 8 * n_buckets)  # one row of cut points per group
+    x = _null_safe_join(df, cuts, keys, broadcast=small)
+    # bucket = number of cut points strictly below the score (monotone in score)
+    x = x.withColumn(bcol, F.size(F.filter("__cuts", lambda c: c < F.col(score_col)))).drop("__cuts")
     totals = x.groupBy(*keys, bcol).agg(F.sum(sum_col).alias("__t"))
     wk = Window.partitionBy(*keys).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, bcol, F.coalesce(F.sum("__t").over(wk), F.lit(0)).alias("__off"))

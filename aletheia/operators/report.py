@@ -35,11 +35,10 @@ def best_config(scores: DataFrame, group_col: str = "num_experts", key_col: str
 def best_table(scores: DataFrame, best: DataFrame, group_col: str = "num_experts", key_col: str = "config_id") -> DataFrame:
     """V4: for each group's best key, its AUC per source label; labels are the
     union of sources in the best keys' scores (one name per source); a label
-    the key has no score for gets 0.0, as in the chart."""
+    the key has no row for gets 0.0, as in the chart; an undefined (NULL) AUC
+    stays NULL."""
     sc = scores.join(best.select(group_col, key_col), [group_col, key_col])
-    labels = [r[0] for r in sc.select("source").distinct().orderBy("source").collect()]
-    if not labels:
-        return sc.select(group_col, key_col, "source", "auc")
-    wide = sc.groupBy(group_col, key_col).pivot("source", labels).agg(F.first("auc"))
-    long = wide.unpivot([group_col, key_col], labels, "source", "auc")
-    return long.select(group_col, key_col, "source", F.coalesce("auc", F.lit(0.0)).alias("auc"))
+    wanted = best.select(group_col, key_col).distinct().crossJoin(sc.select("source").distinct())  # the chart's grid
+    found = sc.select(group_col, key_col, "source", F.col("auc").alias("__auc"), F.lit(True).alias("__has"))
+    auc = F.when(F.col("__has"), F.col("__auc")).otherwise(F.lit(0.0))
+    return wanted.join(found, [group_col, key_col, "source"], "left").select(group_col, key_col, "source", auc.alias("auc"))

@@ -64,8 +64,11 @@ def wide_generations(
     value_cols: Sequence[str] = ("generation",),
     prefixes: Sequence[str] = ("Generation_",),
 ) -> DataFrame:
-    """Long -> wide ``Generation_1..N`` (one aggregate, fixed pivot values)."""
+    """Long -> wide ``Generation_1..N`` (one aggregate, fixed pivot values).
+    A ``gen_idx`` beyond N raises: no generation is left out unseen."""
     keys = [k for k in key_cols if k in long_df.columns]
+    inside = F.col("gen_idx").isNull() | F.col("gen_idx").between(1, n_generations)
+    long_df = long_df.where(F.assert_true(inside, F.lit(f"gen_idx outside 1..{n_generations}")).isNull())
     aggs = []
     for v, p in zip(value_cols, prefixes):
         for i in range(1, n_generations + 1):

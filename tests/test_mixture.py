@@ -79,7 +79,24 @@ def test_grid_scores_and_best(spark):
     assert ptab.where("name = 'We'").count() == 2
     best = RP.best_config(scores).collect()
     assert len(best) == 2
-    assert RP.best_table(scores, RP.best_config(scores)).where(F.col("auc").isNull()).count() == 0
+    assert RP.best_table(scores, RP.best_config(scores)).count() == 2 * rows.select("source").distinct().count()
+
+
+def test_grid_lists_sources_without_test_rows(spark):
+    rows = E.cached(probe_set(fixtures.probe(spark, SF_SMALL)))
+    gone = E.cached(rows.where("not (source = 'src0' and part = 'test')"))
+    scores, _ = MX.mixture_grid(gone, num_experts=(1,), epochs=1)
+    got = {r.source: r.auc for r in scores.collect()}
+    assert set(got) == {r[0] for r in rows.select("source").distinct().collect()} and got["src0"] is None
+
+
+def test_best_table_keeps_undefined_apart_from_absent(spark):
+    sc = spark.createDataFrame(
+        [(1, 0, "a", 0.7), (1, 0, "b", None), (2, 2, "a", 0.4), (2, 2, "c", 0.9)],
+        "num_experts int, config_id int, source string, auc double",
+    )
+    got = {(r.num_experts, r.source): r.auc for r in RP.best_table(sc, RP.best_config(sc)).collect()}
+    assert got == {(1, "a"): 0.7, (1, "b"): None, (1, "c"): 0.0, (2, "a"): 0.4, (2, "b"): 0.0, (2, "c"): 0.9}
 
 
 def test_best_config_ties_and_all_null(spark):

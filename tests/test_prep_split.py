@@ -1,3 +1,4 @@
+from tests.conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from aletheia.operators import prep
@@ -87,3 +88,15 @@ def test_hot_group_is_split_into_buckets(spark):
     assert "Window [row_number()" in plan and "__b" in plan.split("Window [row_number()")[1].split("\n")[0]
     top = prep.sample_by_group(df.withColumn("label", F.lit("x")), ["g", "label"], 100, seed=3)
     assert {x.g: x["count"] for x in top.groupBy("g").count().collect()} == {"hot": 100, "cold": 100}
+
+
+def test_fit_bound_cuts_train_rows_only(spark):
+    from aletheia import fixtures
+    from aletheia.operators.probeset import select_rows
+
+    df = fixtures.probe(spark, SF_SMALL)
+    full = select_rows(df, None).groupBy("source", "label", "part").count().collect()
+    cut = select_rows(df, 5).groupBy("source", "label", "part").count().collect()
+    full, cut = ({tuple(r)[:3]: r["count"] for r in x} for x in (full, cut))
+    assert any(n > 5 for (_, _, part), n in full.items() if part == "train")
+    assert cut == {k: min(n, 5) if k[2] == "train" else n for k, n in full.items()}
