@@ -16,10 +16,12 @@ of distinct k-word shingles; the result is the components of all links.
 4. In a cell an R-tree over the points (packed by size, then counts) joins with
    itself: pairs of boxes whose summed coordinate minima cannot reach the
    overlap their sizes ask for are left out with everything below them.
-5. Rounds: each document with its best bounded partner in another component,
+5. Rounds: each document with its best bounded partner in another component
+   (in the first round also with the least document of each of its cells),
    verified on the exact sets, until a round adds no link; then every other pair
-   that passes the bound and still lies in different components.  So a group of near copies costs about one verification a member,
-   and no link between different texts is lost.
+   that passes the bound and still lies in different components.  Boxes that hold
+   one and the same component are left out too.  So a group of near copies costs
+   a few verifications a member, and no link between different texts is lost.
 
 Words are runs of other than white space, A-Z lower-cased.  A text of fewer
 than k words has its whole sequence as its one shingle; null, empty and blank
@@ -133,23 +135,27 @@ def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
 # --- cells ---------------------------------------------------------------------
 
 
-def _boxes(n, c, order):
-    """Levels of an R-tree over points in ``order``: (least n, largest n, largest counts)."""
-    cut = np.arange(0, len(order), LEAF)
-    levels = [(np.minimum.reduceat(n[order], cut), np.maximum.reduceat(n[order], cut), np.maximum.reduceat(c[order], cut, axis=0))]
-    while len(levels[-1][0]) > LEAF:
-        lo, hi, top = levels[-1]
+def _boxes(n, c, root):
+    """Levels of an R-tree over points in their order, the points first: (least
+    n, largest n, largest counts, least root, largest root)."""
+    levels = [(n, n, c, root, root)]
+    while len(levels) == 1 or len(levels[-1][0]) > LEAF:
+        lo, hi, top, first, last = levels[-1]
         cut = np.arange(0, len(lo), LEAF)
-        levels.append((np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(top, cut, axis=0)))
+        least, most = np.minimum.reduceat, np.maximum.reduceat
+        levels.append((least(lo, cut), most(hi, cut), most(top, cut, axis=0), least(first, cut), most(last, cut)))
     return levels
 
 
-def _may(lo_a, hi_a, top_a, lo_b, hi_b, top_b, percent):
-    """Boxes (or points) that may hold a linked pair, a block of pairs at a time."""
-    ok = (100 * hi_b >= percent * lo_a) & (100 * hi_a >= percent * lo_b)
+def _may(boxes, x, y, percent):
+    """Which pairs of boxes (or points) may hold a link between two components."""
+    lo, hi, top, first, last = boxes
+    ok = (100 * hi[y] >= percent * lo[x]) & (100 * hi[x] >= percent * lo[y])
+    ok &= (first[x] != last[x]) | (first[y] != last[y]) | (first[x] != first[y])
     at = np.flatnonzero(ok)
-    bound = np.minimum(top_a[at], top_b[at]).sum(axis=1, dtype=np.int64)
-    ok[at] = bound >= need(lo_a[at] + lo_b[at], percent)
+    x, y = x[at], y[at]
+    bound = np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64)
+    ok[at] = bound >= need(lo[x] + lo[y], percent)
     return ok
 
 
@@ -163,15 +169,18 @@ def _fine_may(x, y, n, fine, known, percent):
     return ok
 
 
-def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int):
-    """Index pairs (a < b) of a cell that pass the bound, in bounded pieces."""
-    m = len(n)
-    order = np.lexsort((*(c[:, g] for g in range(min(4, c.shape[1]))), n))
-    levels = _boxes(n, c, order)
+def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int, root: np.ndarray | None = None):
+    """Index pairs of a cell that pass the bound, of different roots if there
+    are such, in bounded pieces."""
+    root = np.arange(len(n)) if root is None else root
+    _, at, size = np.unique(root, return_inverse=True, return_counts=True)
+    large = np.where(size[at] >= LEAF, at, -1)  # members of a large component share boxes
+    order = np.lexsort((*(c[:, g] for g in range(min(4, c.shape[1]))), n, large))
+    levels = _boxes(n[order], c[order], root[order])
 
     def below(level, a, b):
         """Pairs of children of boxes (a, b) one level down."""
-        size = m if level == 0 else len(levels[level - 1][0])
+        size = len(levels[level - 1][0])
         ia = a[:, None] * LEAF + np.arange(LEAF)
         ib = b[:, None] * LEAF + np.arange(LEAF)
         x, y = np.broadcast_arrays(ia[:, :, None], ib[:, None, :])
@@ -181,22 +190,16 @@ def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int):
     def walk(level, a, b):
         for k in range(0, len(a), 16):  # 16 * LEAF^2 pairs at once
             x, y = below(level, a[k : k + 16], b[k : k + 16])
-            if level == 0:
-                x, y = x[x < y], y[x < y]
-                p, q = order[x], order[y]
-                ok = _may(n[p], n[p], c[p], n[q], n[q], c[q], percent)
-                if ok.any():
-                    yield p[ok], q[ok]
+            ok = _may(levels[level - 1], x, y, percent)
+            if not ok.any():
+                continue
+            if level == 1:
+                yield order[x[ok]], order[y[ok]]
             else:
-                lo, hi, top = levels[level - 1]
-                ok = _may(lo[x], hi[x], top[x], lo[y], hi[y], top[y], percent)
-                if ok.any():
-                    yield from walk(level - 1, x[ok], y[ok])
-
-    tops = len(levels[-1][0])
-    a, b = np.triu_indices(tops)
-    lo, hi, top = levels[-1]
-    ok = _may(lo[a], hi[a], top[a], lo[b], hi[b], top[b], percent)
+                yield from walk(level - 1, x[ok], y[ok])
+
+    a, b = np.triu_indices(len(levels[-1][0]))
+    ok = _may(levels[-1], a, b, percent)
     yield from walk(len(levels) - 1, a[ok], b[ok])
 
 
@@ -235,22 +238,31 @@ def _cells(batches):
             yield from cut(whole)
 
 
-def candidates(cells: DataFrame, percent: int, every: bool) -> DataFrame:
+def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of different components that pass the bound:
-    all of them, or only each member's best partner over all its cells."""
+    all of them, or only each member's best partner over all its cells; with
+    ``stars`` also each member with the least document of each of its cells."""
 
     def rows(*cols):
-        types = (pa.int64(), pa.int64(), pa.float64())
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
         arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types)]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "score"])
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "score", "star"])
 
     def search(batches):
-        a, b, scores, held = [], [], [], 0
+        a, b, scores, star, held = [], [], [], [], 0
         for doc, n, c, root, fine in _cells(batches):
             best, partner = np.full(len(doc), -1.0), np.zeros(len(doc), np.int64)
-            for x, y in cell_pairs(n, c, percent):
-                ok = root[x] != root[y]
-                x, y = x[ok], y[ok]
+            if stars:
+                x = np.arange(len(doc))
+                y = np.full(len(doc), np.argmin(doc))
+                x = x[_may((n, n, c, root, root), x, y, percent)]
+                y = y[: len(x)]
+                a.append(doc[x])
+                b.append(doc[y])
+                scores.append(np.zeros(len(x)))
+                star.append(doc[y])
+                held += len(x)
+            for x, y in cell_pairs(n, c, percent, root):
                 if fine is not None:
                     ok = _fine_may(x, y, n, *fine, percent)
                     x, y = x[ok], y[ok]
@@ -259,6 +271,7 @@ def candidates(cells: DataFrame, percent: int, every: bool) -> DataFrame:
                     a.append(np.minimum(doc[x], doc[y]))
                     b.append(np.maximum(doc[x], doc[y]))
                     scores.append(score)
+                    star.append(np.full(len(x), -1))
                     held += len(x)
                 else:
                     for p, q in ((x, y), (y, x)):
@@ -267,19 +280,22 @@ def candidates(cells: DataFrame, percent: int, every: bool) -> DataFrame:
                         up = (v > best[p]) | ((v == best[p]) & (doc[q] < doc[partner[p]]))
                         best[p[up]], partner[p[up]] = v[up], q[up]
                 if held > 100_000:
-                    yield rows(a, b, scores)
-                    a, b, scores, held = [], [], [], 0
+                    yield rows(a, b, scores, star)
+                    a, b, scores, star, held = [], [], [], [], 0
             if not every:
                 has = np.flatnonzero(best >= 0)
                 a.append(doc[has])
                 b.append(doc[partner[has]])
                 scores.append(best[has])
+                star.append(np.full(len(has), -1))
                 held += len(has)
-        yield rows(a, b, scores)
+        yield rows(a, b, scores, star)
 
-    found = cells.mapInArrow(search, "a long, b long, score double")
+    # the star's centre is a key of its own (with ids below 0, -1 too: then the
+    # best of both is taken, and the other is met in a later round)
+    found = cells.mapInArrow(search, "a long, b long, score double, star long")
     if not every:
-        found = found.groupBy("a").agg(F.max(F.struct("score", -F.col("b"))).alias("s")).select("a", (-F.col("s.col2")).alias("b"))
+        found = found.groupBy("a", "star").agg(F.max(F.struct("score", -F.col("b"))).alias("s")).select("a", (-F.col("s.col2")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -386,7 +402,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     points = reps.groupBy("doc_id").agg(F.max(F.struct("n", "counts")).alias("s")).select("doc_id", "s.*")
     cells = stored(cells.join(points, "doc_id").select("cell", "doc_id", "n", "counts"))
     sort = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")
-    tried = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False))
+    tried = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False, True))
     links = materialize(verified(tried, known, k, percent))
     # from here on only documents with any candidate, under the finer bound as well
     active = materialize(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -397,20 +413,25 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     # best partners in other components until they add no link, then all pairs
     # of different components that are left
     every_pair = False
+    joined = links
     while True:
-        roots = materialize(components(links))
+        roots = components(joined)
         at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
         at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
-        fresh = stored(candidates(sort(at), percent, every_pair).join(tried, ["a", "b"], "left_anti"))
+        pairs = stored(candidates(sort(at), percent, every_pair))
+        if pairs.isEmpty():
+            break
+        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         more = materialize(verified(fresh, known, k, percent))
         found = more.count()
-        links = materialize(links.unionByName(more))
+        links = links.unionByName(more)
+        joined = roots.toDF("u", "v").unionByName(more)
         tried = tried.unionByName(fresh)
         if every_pair:
+            roots = components(joined) if found else roots
             break
         every_pair = not found
-    roots = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     tree = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     tree = tree.select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"), "n_links")
