@@ -413,9 +413,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     # best partners in other components until they add no link, then all pairs
     # of different components that are left
     every_pair = False
-    joined = links
+    roots = components(links)
     while True:
-        roots = components(joined)
         at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
         at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
@@ -426,10 +425,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         more = materialize(verified(fresh, known, k, percent))
         found = more.count()
         links = links.unionByName(more)
-        joined = roots.toDF("u", "v").unionByName(more)
         tried = tried.unionByName(fresh)
+        if found:
+            roots = components(roots.toDF("u", "v").unionByName(more))
         if every_pair:
-            roots = components(joined) if found else roots
             break
         every_pair = not found
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
