@@ -204,8 +204,8 @@ def cell_pairs(n: np.ndarray, c: np.ndarray, percent: int, root: np.ndarray | No
 
 
 def _cells(batches):
-    """Cells (rows sorted by cell) one after another: doc, n, counts, root and,
-    if there is such a column, fine counts and which rows have them."""
+    """Cells (rows sorted by cell) one after another: cell, doc, n, counts, root
+    and, if there is such a column, fine counts and which rows have them."""
     held = []
 
     def cut(table):
@@ -221,7 +221,7 @@ def _cells(batches):
             fine = np.frombuffer(b"".join(x or bytes(FINE_GROUPS) for x in raw), np.uint8).reshape(len(cell), FINE_GROUPS)
         b = 0
         for e in ends:
-            yield doc[b:e], n[b:e], c[b:e], root[b:e], None if fine is None else (fine[b:e], known[b:e])
+            yield cell[b], doc[b:e], n[b:e], c[b:e], root[b:e], None if fine is None else (fine[b:e], known[b:e])
             b = e
 
     for batch in batches:
@@ -239,39 +239,31 @@ def _cells(batches):
 
 
 def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of different components that pass the bound:
-    all of them, or only each member's best partner over all its cells; with
-    ``stars`` also each member with the least document of each of its cells."""
+    """Pairs ``(a, b)`` of different components that pass the bound, with their
+    cell: all of them, or only each member's best partner; with ``stars`` also
+    each member with the least document of its cell (``star``, else null)."""
 
-    def rows(*cols):
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types)]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "score", "star"])
+    def rows(found, star):
+        a, b, score, cell = (np.concatenate(x) for x in zip(*found))
+        centre = pa.array(b) if star else pa.nulls(len(b), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a), pa.array(b), pa.array(score), centre], names=["cell", "a", "b", "score", "star"])
 
     def search(batches):
-        a, b, scores, star, held = [], [], [], [], 0
-        for doc, n, c, root, fine in _cells(batches):
+        found, held = [], 0
+        for cell, doc, n, c, root, fine in _cells(batches):
             best, partner = np.full(len(doc), -1.0), np.zeros(len(doc), np.int64)
             if stars:
-                x = np.arange(len(doc))
-                y = np.full(len(doc), np.argmin(doc))
-                x = x[_may((n, n, c, root, root), x, y, percent)]
-                y = y[: len(x)]
-                a.append(doc[x])
-                b.append(doc[y])
-                scores.append(np.zeros(len(x)))
-                star.append(doc[y])
-                held += len(x)
+                x, y = np.arange(len(doc)), np.full(len(doc), np.argmin(doc))
+                ok = _may((n, n, c, root, root), x, y, percent)
+                if ok.any():
+                    yield rows([(doc[x[ok]], doc[y[ok]], np.zeros(ok.sum()), np.full(ok.sum(), cell))], True)
             for x, y in cell_pairs(n, c, percent, root):
                 if fine is not None:
                     ok = _fine_may(x, y, n, *fine, percent)
                     x, y = x[ok], y[ok]
                 score = np.minimum(c[x], c[y]).sum(axis=1) / (n[x] + n[y])
                 if every:
-                    a.append(np.minimum(doc[x], doc[y]))
-                    b.append(np.maximum(doc[x], doc[y]))
-                    scores.append(score)
-                    star.append(np.full(len(x), -1))
+                    found.append((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), score, np.full(len(x), cell)))
                     held += len(x)
                 else:
                     for p, q in ((x, y), (y, x)):
@@ -280,20 +272,21 @@ def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False)
                         up = (v > best[p]) | ((v == best[p]) & (doc[q] < doc[partner[p]]))
                         best[p[up]], partner[p[up]] = v[up], q[up]
                 if held > 100_000:
-                    yield rows(a, b, scores, star)
-                    a, b, scores, star, held = [], [], [], [], 0
-            if not every:
-                has = np.flatnonzero(best >= 0)
-                a.append(doc[has])
-                b.append(doc[partner[has]])
-                scores.append(best[has])
-                star.append(np.full(len(has), -1))
+                    yield rows(found, False)
+                    found, held = [], 0
+            has = np.flatnonzero(best >= 0)
+            if len(has):
+                found.append((doc[has], doc[partner[has]], best[has], np.full(len(has), cell)))
                 held += len(has)
-        yield rows(a, b, scores, star)
+        if held:
+            yield rows(found, False)
+
+    return cells.mapInArrow(search, "cell long, a long, b long, score double, star long")
+
 
-    # the star's centre is a key of its own (with ids below 0, -1 too: then the
-    # best of both is taken, and the other is met in a later round)
-    found = cells.mapInArrow(search, "a long, b long, score double, star long")
+def best_pairs(found: DataFrame, every: bool) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of the candidates: all, or each member's best
+    over all its cells and its stars."""
     if not every:
         found = found.groupBy("a", "star").agg(F.max(F.struct("score", -F.col("b"))).alias("s")).select("a", (-F.col("s.col2")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -399,38 +392,39 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     side = F.broadcast(copies) if copies.count() <= ID_BROADCAST_ROWS else copies
     reps = one.join(side, "doc_id", "left_anti")
     cells = shared_cells(reps, BUCKETS_PER_PARTITION * parts + 1, parts)
-    points = reps.groupBy("doc_id").agg(F.max(F.struct("n", "counts")).alias("s")).select("doc_id", "s.*")
-    cells = stored(cells.join(points, "doc_id").select("cell", "doc_id", "n", "counts"))
+    one_row = lambda df, *cols: df.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", *cols)).alias("s")).select("doc_id", "s.n", *(f"s.{x}" for x in cols))
+    cells = stored(cells.join(one_row(reps, "counts"), "doc_id").select("cell", "doc_id", "n", "counts"))
     sort = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")
-    tried = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False, True))
+    found = stored(candidates(sort(cells.withColumn("root", F.col("doc_id"))), percent, False, True))
+    tried = stored(best_pairs(found, False))
     links = materialize(verified(tried, known, k, percent))
     # from here on only documents with any candidate, under the finer bound as well
     active = materialize(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     near = F.broadcast(active) if active.count() <= ID_BROADCAST_ROWS else active
-    cells = cells.join(near, "doc_id", "left_semi")
-    points = reps.join(near, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", "fine")).alias("s")).select("doc_id", "s.fine")
-    points = stored(points)
+    points = stored(one_row(reps.join(near, "doc_id", "left_semi"), "counts", "fine"))
     # best partners in other components until they add no link, then all pairs
-    # of different components that are left
+    # of different components that are left; a member without a candidate in a
+    # cell has none there later either, since components only grow
     every_pair = False
     roots = components(links)
     while True:
+        cells = found.where("star is null").select("cell", F.col("a").alias("doc_id"))
         at = cells.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         mixed = at.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
         at = at.join(mixed, "cell").join(points, "doc_id").select("cell", "doc_id", "n", "counts", "root", "fine")
         pairs = stored(candidates(sort(at), percent, every_pair))
         if pairs.isEmpty():
             break
-        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        fresh = stored(best_pairs(pairs, every_pair).join(tried, ["a", "b"], "left_anti"))
         more = materialize(verified(fresh, known, k, percent))
-        found = more.count()
+        new = more.count()
         links = links.unionByName(more)
         tried = tried.unionByName(fresh)
-        if found:
+        if new:
             roots = components(roots.toDF("u", "v").unionByName(more))
         if every_pair:
             break
-        every_pair = not found
+        found, every_pair = pairs, not new
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     tree = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     tree = tree.select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"), "n_links")
