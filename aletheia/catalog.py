@@ -305,13 +305,11 @@ def _sources(spark, sf):
 
 
 def q_plan_loo(spark, sf):
-    tr, _ = P.leave_one_out_plans(spark, _sources(spark, sf))
-    return tr.select("model_id", "source")
+    return P.leave_one_out_table(q_distinct_sources(spark, sf))
 
 
 def q_plan_incremental(spark, sf):
-    orders = P.incremental_orders(_sources(spark, sf), 10)
-    return spark.createDataFrame(orders, "run int, source string, pos int")
+    return P.incremental_order_table(q_distinct_sources(spark, sf), 10)
 
 
 def _fixed_source_auc(spark, sf):
@@ -381,27 +379,32 @@ def q_batch_generate(spark, sf):
     )
 
 
-# rows-only (fitted models; no SQL equivalent)
+# fitted models: the SQL side runs the probes' fixed-point map (see _fit_sql)
+
+
+def _rounded_auc(df):
+    return df.withColumn("auc", F.round("auc", R))
 
 
 def q_eval_separate(spark, sf):
-    return E.roc_auc_for_group(_prepared(spark, sf), "separate")
+    return _rounded_auc(E.roc_auc_for_group(_prepared(spark, sf), "separate"))
 
 
 def q_eval_all_vs_each(spark, sf):
-    return E.roc_auc_for_group(_prepared(spark, sf), "all_vs_each")
+    return _rounded_auc(E.roc_auc_for_group(_prepared(spark, sf), "all_vs_each"))
 
 
 def q_eval_loo(spark, sf):
-    return E.roc_auc_for_group(_prepared(spark, sf), "leave_one_out")
+    return _rounded_auc(E.roc_auc_for_group(_prepared(spark, sf), "leave_one_out"))
 
 
 def q_eval_matrix(spark, sf):
-    return E.cross_source_matrix(_prepared(spark, sf))[0]
+    return _rounded_auc(E.cross_source_matrix(_prepared(spark, sf))[0])
 
 
 def q_eval_incremental(spark, sf):
-    return E.incremental_curve(_prepared(spark, sf), 10)[1]
+    curve = E.incremental_curve(_prepared(spark, sf), 10)[1]
+    return curve.select("train_size", *(F.round(c, R).alias(c) for c in ("mean", "std", "lower", "upper")))
 
 
 def q_pca3(spark, sf):
@@ -419,7 +422,8 @@ def q_cluster_models(spark, sf):
 
 def q_coef_similarity(spark, sf):
     _, coefs = E.cross_source_matrix(_prepared(spark, sf))
-    return SIM.cosine_matrix(coefs)
+    # the solver stops within some 1e-6 of a coefficient: four decimals are kept
+    return SIM.cosine_matrix(coefs).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -609,20 +613,12 @@ FROM g""",
 # ---------------------------------------------------------------------------
 
 
-_GRID_MEMO: dict[tuple[str, str], DataFrame] = {}
-
-
 def q_moc_grid(spark, sf):
-    """Mixture grid with the experiment's settings (500 epochs).  The trained
-    scores are kept per (session, sf_dir) so best_config/table_best reuse
-    them instead of retraining."""
+    """Mixture grid with the experiment's settings (500 epochs)."""
     from aletheia.operators import mixture as MX
 
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _GRID_MEMO:
-        scores, _ = MX.mixture_grid(E.cached(_prepared(spark, sf)), epochs=MX.EPOCHS)
-        _GRID_MEMO[key] = E.cached(scores)
-    return _GRID_MEMO[key]
+    scores, _ = MX.mixture_grid(E.cached(_prepared(spark, sf)), epochs=MX.EPOCHS)
+    return E.cached(scores)
 
 
 def q_best_config(spark, sf):
@@ -642,9 +638,8 @@ def q_table_modes(spark, sf):
     from aletheia.operators import report as RP
 
     rows = E.cached(_prepared(spark, sf))
-    scores = E.all_modes(rows)
-    srcs = rows.select("source").distinct()
-    return RP.modes_table(scores, srcs)
+    t = RP.modes_table(E.all_modes(rows), rows.select("source").distinct())
+    return t.select("source", *(F.round(m, R).alias(m) for m in E.MODES))
 
 
 def q_table_matrix(spark, sf):
@@ -652,7 +647,7 @@ def q_table_matrix(spark, sf):
 
     rows = E.cached(_prepared(spark, sf))
     m, _ = E.cross_source_matrix(rows)
-    return RP.matrix_table(m, E.sources_of(rows))
+    return RP.matrix_table(_rounded_auc(m), E.sources_of(rows))
 
 
 def q_pca_clusters(spark, sf, k=3):
@@ -799,3 +794,122 @@ SELECT row_id, CAST(sel AS INTEGER) AS selected_expert, round(1.0 / (1.0 + exp(-
 
 QUERIES["moc_hard_fixed"] = q_moc_hard_fixed
 ORACLE["moc_hard_fixed"] = _moc_hard_sql()
+
+
+# ---------------------------------------------------------------------------
+# Fitted probes
+# ---------------------------------------------------------------------------
+
+# A probe's minimum is the fixed point of w = C * sum((y - sigmoid(w.x)) * x).
+# At C = 1e-4 the map is a strong contraction on these rows, so a few steps
+# reach it to double precision.
+FIT_STEPS = 10
+PROBE_SOURCES = ("src0", "src1", "src2", "src_3")  # the fixture's canonical names
+
+
+def _fit_sql(train: str, test: str, planned: str, s: str = "") -> str:
+    """CTEs: probes of relation ``train (m, y, x)``, scored on ``test (m, source,
+    y, x)``; ``res{s}(model_id, source, auc, status)`` per row of ``planned``."""
+    steps = [
+        f"tr{s} AS MATERIALIZED ({train})",
+        f"st{s} AS (SELECT m, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN 'ok' ELSE 'one_class' END AS fit FROM tr{s} GROUP BY m)",
+        f"ft{s} AS MATERIALIZED (SELECT tr{s}.* FROM tr{s} JOIN st{s} USING (m) WHERE fit = 'ok')",
+        f"w{s}_0 AS MATERIALIZED (SELECT m, list_transform(any_value(x), lambda v: CAST(0 AS DOUBLE)) AS w FROM ft{s} GROUP BY m)",
+    ]
+    for k in range(FIT_STEPS):
+        steps.append(
+            f"r{s}_{k} AS (SELECT t.m, unnest(range(len(t.x))) AS j, (t.y - {_SIG.format(a='t.x', b='w.w')}) * unnest(t.x) AS g"
+            f" FROM ft{s} t JOIN w{s}_{k} w ON t.m = w.m)"
+        )
+        steps.append(
+            f"w{s}_{k + 1} AS MATERIALIZED (SELECT m, list(w ORDER BY j) AS w FROM"
+            f" (SELECT m, j, 1e-4 * sum(g) AS w FROM r{s}_{k} GROUP BY m, j) GROUP BY m)"
+        )
+    scored = f"sc{s} AS (SELECT t.m, t.source, t.y, {_SIG.format(a='t.x', b='w.w')} AS score FROM ({test}) t JOIN w{s}_{FIT_STEPS} w ON t.m = w.m)"
+    auc = auc_sql(f"sc{s}", ["m", "source"], "score")
+    for name in ("auc_a", "auc_b", "auc AS"):
+        auc = auc.replace(name, name.replace("auc", f"auc{s}"))
+    steps += [scored, auc]
+    steps.append(
+        f"""res{s} AS (SELECT p.m AS model_id, p.source, CASE WHEN st{s}.fit = 'ok' THEN a.auc END AS auc,
+  CASE WHEN st{s}.fit IS NULL THEN 'no_train_rows' WHEN st{s}.fit <> 'ok' THEN st{s}.fit
+       WHEN a.auc IS NULL THEN 'one_class_test' ELSE 'ok' END AS status
+  FROM ({planned}) p LEFT JOIN st{s} ON st{s}.m = p.m LEFT JOIN auc{s} a ON a.m = p.m AND a.source = p.source)"""
+    )
+    return ",\n".join(steps)
+
+
+_HOLD = """cls AS (SELECT source, y, count(*) AS n_c FROM prep GROUP BY source, y),
+g1 AS (SELECT *, sum(n_c) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source) AS n_classes,
+         min(n_c) OVER (PARTITION BY source) AS min_c FROM cls),
+g2 AS (SELECT *, CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n_test FROM g1),
+g3 AS (SELECT *, n - n_test AS n_train, CAST(n_c AS DOUBLE) / n * (n - n_test) AS cont FROM g2),
+g4 AS (SELECT *, CAST(floor(cont) AS BIGINT) AS base, cont - floor(cont) AS rem FROM g3),
+g5 AS (SELECT *, n_train - sum(base) OVER (PARTITION BY source) AS need,
+         row_number() OVER (PARTITION BY source ORDER BY rem DESC, y) AS rr FROM g4),
+alloc AS (SELECT source, y, base + CASE WHEN rr <= need THEN 1 ELSE 0 END AS n_fit,
+         min_c >= 2 AND n_train >= n_classes AND n_test >= n_classes AS enough FROM g5),
+rk AS (SELECT *, row_number() OVER (PARTITION BY source, y ORDER BY md5(concat('42|', CAST(row_id AS VARCHAR))), row_id) AS rn FROM prep),
+hold AS MATERIALIZED (SELECT rk.*, alloc.enough, rk.rn <= alloc.n_fit AS fit FROM rk JOIN alloc ON rk.source = alloc.source AND rk.y = alloc.y),
+few AS (SELECT DISTINCT source FROM hold WHERE NOT enough)"""
+_START = f"WITH {prep_ctes().replace('prep AS (', 'prep AS MATERIALIZED (')}, {_SRCS}"
+_FIT_ROWS = "SELECT source AS m, y, x FROM hold WHERE fit AND enough"
+_ALL = _fit_sql(
+    "SELECT 'all' AS m, y, x FROM prep WHERE part = 'train'",
+    "SELECT 'all' AS m, source, y, x FROM prep WHERE part = 'test'",
+    "SELECT 'all' AS m, source FROM srcs", "_a",
+)
+_LOO = _fit_sql(
+    "SELECT h.source AS m, p.y, p.x FROM prep p JOIN srcs h ON h.source <> p.source",
+    "SELECT source AS m, source, y, x FROM prep",
+    "SELECT source AS m, source FROM srcs", "_l",
+)
+_SEP = _fit_sql(_FIT_ROWS, "SELECT source AS m, source, y, x FROM hold WHERE NOT fit", "SELECT source AS m, source FROM srcs", "_s")
+_MATRIX = _fit_sql(
+    _FIT_ROWS,
+    "SELECT h.source AS m, p.source, p.y, p.x FROM hold p JOIN srcs h ON h.source <> p.source OR NOT p.fit",
+    "SELECT a.source AS m, b.source FROM srcs a CROSS JOIN srcs b", "_m",
+)
+_INC = _fit_sql(
+    "SELECT o.run * 1000 + z.i AS m, p.y, p.x FROM ord o JOIN sz z ON o.pos <= z.i JOIN prep p ON p.source = o.source",
+    "SELECT o.run * 1000 + z.i AS m, p.source, p.y, p.x FROM ord o JOIN sz z ON o.pos > z.i JOIN prep p ON p.source = o.source",
+    "SELECT o.run * 1000 + z.i AS m, o.source FROM ord o JOIN sz z ON o.pos > z.i", "_i",
+)
+_SEP_STATUS = "CASE WHEN {c} IN (SELECT source FROM few) THEN 'too_few' ELSE status END AS status"
+
+ORACLE.update(
+    {
+        "eval_separate": f"""{_START}, {_HOLD},
+{_SEP}
+SELECT 'separate' AS mode, source, round(auc, 6) AS auc, {_SEP_STATUS.format(c='source')} FROM res_s""",
+        "eval_all_vs_each": f"{_START},\n{_ALL}\nSELECT 'all_vs_each' AS mode, source, round(auc, 6) AS auc, status FROM res_a",
+        "eval_loo": f"{_START},\n{_LOO}\nSELECT 'leave_one_out' AS mode, source, round(auc, 6) AS auc, status FROM res_l",
+        "eval_matrix": f"""{_START}, {_HOLD},
+{_MATRIX}
+SELECT model_id AS train_source, source AS test_source, round(auc, 6) AS auc, {_SEP_STATUS.format(c='model_id')} FROM res_m""",
+        "eval_incremental": f"""{_START}, {_ORD},
+sz AS (SELECT DISTINCT pos AS i FROM ord WHERE pos < (SELECT count(*) FROM srcs)),
+{_INC},
+pr AS (SELECT model_id % 1000 AS train_size, avg(auc) AS mean_auc FROM res_i GROUP BY model_id)
+SELECT CAST(train_size AS INTEGER) AS train_size, round(avg(mean_auc), 6) AS mean, round(stddev_pop(mean_auc), 6) AS std,
+  round(avg(mean_auc) - stddev_pop(mean_auc), 6) AS lower, round(avg(mean_auc) + stddev_pop(mean_auc), 6) AS upper
+FROM pr GROUP BY train_size""",
+        "coef_similarity": f"""{_START}, {_HOLD},
+{_MATRIX},
+lw AS (SELECT m, unnest(range(len(w))) AS j, unnest(w) AS v FROM w_m_{FIT_STEPS}),
+dots AS (SELECT a.m AS a, b.m AS b, sum(a.v * b.v) AS dot FROM lw a JOIN lw b ON a.j = b.j GROUP BY a.m, b.m),
+nrm AS (SELECT a AS m, sqrt(dot) AS nrm FROM dots WHERE a = b)
+SELECT d.a, d.b, round(coalesce(d.dot / nullif(na.nrm * nb.nrm, 0), 0), 4) AS cosine
+FROM dots d JOIN nrm na ON na.m = d.a JOIN nrm nb ON nb.m = d.b""",
+        "table_modes": f"""{_START}, {_HOLD},
+{_SEP},
+{_ALL},
+{_LOO}
+SELECT srcs.source, round(s.auc, 6) AS separate, round(a.auc, 6) AS all_vs_each, round(l.auc, 6) AS leave_one_out
+FROM srcs LEFT JOIN res_s s ON s.source = srcs.source LEFT JOIN res_a a ON a.source = srcs.source LEFT JOIN res_l l ON l.source = srcs.source""",
+        "table_matrix": f"""{_START}, {_HOLD},
+{_MATRIX}
+SELECT model_id AS train_source, {', '.join(f"round(max(CASE WHEN source = '{c}' THEN auc END), 6) AS {c}" for c in PROBE_SOURCES)}
+FROM res_m GROUP BY model_id""",
+    }
+)

@@ -100,20 +100,11 @@ def evaluate_plans(
     return out.select("model_id", "source", "n_pos", "n_neg", "auc", "status"), coefs
 
 
-_HOLDOUT_FITS: dict[tuple[int, float], tuple] = {}
-
-
 def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
-    """Per-source probes on the stratified 'fit' rows (M3), shared by the
-    per-source mode and the cross-source matrix (M6) of the same frame.
-
-    Returns ``(rows_with_holdout, sources, coefs, status, too_few)``; kept per
-    input frame object for the session (the frame is referenced, so its id
-    cannot be reused)."""
-    key = (id(rows), C)
-    hit = _HOLDOUT_FITS.get(key)
-    if hit is not None and hit[0] is rows:
-        return hit[1:]
+    """Per-source probes on the stratified 'fit' rows (M3), the models of the
+    per-source mode and of the cross-source matrix (M6).
+
+    Returns ``(rows_with_holdout, sources, coefs, status, too_few)``."""
     spark = rows.sparkSession
     h = cached(with_holdout(cached(rows)))
     sources = sources_of(h)
@@ -122,7 +113,6 @@ def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
     tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
     coefs, status = fit_many(apply_plan(h, tr).select("model_id", "x", "y"), C=C)
     too_few = [s for s in sources if s not in set(ok)]
-    _HOLDOUT_FITS[key] = (rows, h, sources, coefs, status, too_few)
     return h, sources, coefs, status, too_few
 
 

@@ -25,9 +25,10 @@ def dedup_first(
 ) -> DataFrame:
     """A1: keep the first row (smallest ``order_col``) of each ``subset`` key.
 
-    Implemented as ``min(struct(order_col, ...))`` per key: a hash aggregate
-    with map-side partial aggregation, so a key holding a third of all rows
-    costs one row per map task, never a group in one task.  NULL keys compare
+    Implemented as ``min(struct(order_col, ...))`` per key: a sort aggregate
+    (a struct does not fit a hash buffer) with map-side partial aggregation, so
+    a key holding a third of all rows costs one row per map task, never a group
+    in one task.  NULL keys compare
     equal (as in the reference).  Wide ``payload`` columns (vectors) are not
     carried through the aggregate: they are joined back by ``order_col``.
     """

@@ -9,9 +9,11 @@ distinct source names (S of them: at most S² rows), never on row counts.
 from aletheia.plans.plans import (  # noqa: F401
     PLAN_SCHEMA,
     all_vs_each_plans,
+    incremental_order_table,
     incremental_orders,
     incremental_plans,
     leave_one_out_plans,
+    leave_one_out_table,
     matrix_test_plan,
     param_grid,
     separate_plans,

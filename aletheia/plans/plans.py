@@ -6,7 +6,9 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PLAN_SCHEMA = T.StructType(
     [
@@ -45,6 +47,22 @@ def leave_one_out_plans(spark: SparkSession, sources: Sequence[str]) -> tuple[Da
     )
 
 
+def leave_one_out_table(sources: DataFrame) -> DataFrame:
+    """M5/P4 as a table: ``(model_id, source)`` for every ordered pair of
+    different sources.  ``sources(source)`` holds each name once."""
+    held = sources.select(F.col("source").alias("model_id"))
+    return held.join(sources.select("source"), F.col("model_id") != F.col("source"))
+
+
+def incremental_order_table(sources: DataFrame, n_runs: int = 10) -> DataFrame:
+    """W6 as a table: ``(run, source, pos)``, per run the sources in the order
+    of md5('<run>|<source>'), pos from 1."""
+    runs = sources.select(F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"), "source")
+    key = F.md5(F.concat(F.col("run").cast("string"), F.lit("|"), F.col("source")))
+    pos = F.row_number().over(Window.partitionBy("run").orderBy(key, "source"))
+    return runs.select("run", "source", pos.alias("pos"))
+
+
 def matrix_test_plan(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
     """M6: separate-mode models tested on all rows of every other source and on
     their own hold-out ('eval') on the diagonal."""
