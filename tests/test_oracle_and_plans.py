@@ -18,8 +18,7 @@ FAST = [
     "split_prefix", "split_stratified", "gen_unpivot", "gen_dedup_in_row", "judge_prompt", "echo_strip",
     "json_content", "label_writeback", "classification_set", "pool_mean", "auc_by_source", "auc_global",
     "plan_incremental", "curve_stats", "score_fixed_coefs", "cosine_matrix_fixed", "cluster_routed_auc_fixed",
-    "batch_annotate", "table_best_pooling", "plan_loo", "eval_separate", "eval_all_vs_each", "eval_loo", "eval_matrix",
-    "coef_similarity", "table_matrix",
+    "batch_annotate", "table_best_pooling", "plan_loo", "eval_all_vs_each", "eval_matrix",
 ]
 
 
