@@ -22,6 +22,21 @@ def cut_chains(lengths: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def distinct_chains(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains that hold the same ``codes`` (a number a position) once: their
+    positions end to end, their lengths and how often each occurs."""
+    starts = np.cumsum(lengths) - lengths
+    at, size, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(lengths[lengths > 0]):
+        begin = starts[lengths == n]
+        rows = codes[begin[:, None] + np.arange(n)]
+        _, first, times = np.unique(np.ascontiguousarray(rows).view(f"V{n * codes.itemsize}").ravel(), return_index=True, return_counts=True)
+        at.append((begin[first][:, None] + np.arange(n)).ravel())
+        size.append(np.full(len(first), n))
+        count.append(times)
+    return np.concatenate(at), np.concatenate(size), np.concatenate(count)
+
+
 def _steps(lengths: np.ndarray):
     """Positions at step 0, 1, ... of all chains that are that long."""
     order = np.argsort(-lengths, kind="stable")
@@ -52,29 +67,35 @@ def marginals(u: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(r + s, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = 120, l2: float = 1e-3, rate: float = 0.1):
+def fit(
+    x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = 120, l2: float = 1e-3, rate: float = 0.1,
+    row: np.ndarray | None = None, times: np.ndarray | None = None,
+):
     """Weights and moves by gradient ascent (Adam) on the log-likelihood;
-    expected counts come from the forward-backward pass."""
+    expected counts come from the forward-backward pass.  Position t has the
+    features ``x[row[t]]`` (``x[t]`` without ``row``); a chain counts ``times``."""
     w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
-    n = max(min(y.sum(), len(y) - y.sum()), 1)  # the rarer state sets the scale, else the penalty outweighs it
+    c = np.ones(len(y)) if times is None else np.repeat(times.astype(float), lengths)
+    n = max(min(c @ y, c @ (1 - y)), 1)  # the rarer state sets the scale, else the penalty outweighs it
     link = np.ones(len(y), bool)
     link[np.cumsum(lengths) - 1] = False  # a chain's last position has no next
     a = np.flatnonzero(link)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[a], y[a + 1]), 1)
+    np.add.at(seen, (y[a], y[a + 1]), c[a])
     theta = np.zeros(len(w) + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         w, move = theta[:-4], theta[-4:].reshape(2, 2)
-        u = x @ w
+        u = x @ w if row is None else (x @ w)[row]
         r, s = _ratios(u, lengths, move)
         p = 1 / (1 + np.exp(-np.clip(r + s, -60, 60)))
         right = u[a + 1] + s[a + 1]
         logs = np.stack([np.full(len(a), move[0, 0]), move[0, 1] + right, r[a] + move[1, 0], r[a] + move[1, 1] + right])
         logs -= logs.max(axis=0) if len(a) else 0
         e = np.exp(logs)
-        both = (e / e.sum(axis=0)).sum(axis=1).reshape(2, 2) if len(a) else np.zeros((2, 2))
-        g = np.concatenate([x.T @ (y - p), (seen - both).ravel()]) / n - l2 * theta
+        both = ((e / e.sum(axis=0)) @ c[a]).reshape(2, 2) if len(a) else np.zeros((2, 2))
+        left = c * (y - p) if row is None else np.bincount(row, c * (y - p), minlength=len(x))
+        g = np.concatenate([x.T @ left, (seen - both).ravel()]) / n - l2 * theta
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)

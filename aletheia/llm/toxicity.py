@@ -5,7 +5,8 @@ toxic documents than in others, and a token of such a word in a toxic document
 is labelled 1.  The field sees, for a token and its neighbours, how far (in
 bins) the word leans to toxic documents.  Forward-backward marginals of all
 tokens give the offending spans and, summed, the document's score, calibrated
-on the fitting rows.
+on the fitting rows.  The field is fitted on all tokens of the fitting rows
+(``fit_on`` bounds their number, nothing bounds their tokens).
 
 Null, empty and wordless texts get the score of a text without offending
 words; without any labelled rows nothing is offending and every score is low.  Texts are taken whole, chains are cut every
@@ -27,9 +28,8 @@ FOLDS, HELD_OUT = 5, 0
 CHAIN = 64
 #: Bins of a word's log-odds between toxic and other documents.
 BINS = np.array([0.7, 1.5, 2.5, 3.5])
+K = len(BINS) + 1
 OFFENDING = 2  # from this bin on (log-odds 1.5)
-#: Chains used to fit the field (bounded sample of the fitting rows).
-MAX_FIT_TOKENS = 400_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(97, 123), *range(65, 91), *range(128, 256)]] = True
@@ -107,11 +107,12 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     lengths = _chains(d, n)
     f = _features(h, lengths, model)
     label = ((f[:, 0] >= OFFENDING) & (y[d] == 1)).astype(np.int64)
-    ends = np.cumsum(lengths)
-    use = int(np.searchsorted(ends, MAX_FIT_TOKENS, "right"))
-    m = int(ends[use - 1]) if use else 0
-    if m:
-        model["w"], model["move"] = crf.fit(_one_hot(f[:m]), label[:m], lengths[:use])
+    if len(f):
+        # every chain counts; equal ones are summed once
+        kinds, row = np.unique(f @ [K * K, K, 1], return_inverse=True)
+        at, sizes, times = crf.distinct_chains((2 * row + label).astype(np.uint16), lengths)
+        x = _one_hot(np.stack([kinds // (K * K), kinds // K % K, kinds % K], axis=1))
+        model["w"], model["move"] = crf.fit(x, label[at], sizes, row=row[at], times=times)
     p = crf.marginals(_unary(f, model), lengths, model["move"])
     model["cal"] = crf.fit_logistic(_document_features(p, d, n), y.astype(float))
     return model

@@ -314,6 +314,32 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_fit_counts_equal_chains():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    lengths = rng.integers(0, 4, 300)
+    row = rng.integers(0, 3, lengths.sum())
+    y, x = (rng.random(len(row)) < row / 3).astype(np.int64), np.eye(3)
+    at, sizes, times = crf.distinct_chains((2 * row + y).astype(np.uint8), lengths)
+    assert len(sizes) < (lengths > 0).sum() == times.sum()
+    plain = crf.fit(x[row], y, lengths[lengths > 0])
+    for a, b in zip(plain, crf.fit(x, y[at], sizes, row=row[at], times=times)):
+        assert np.allclose(a, b)
+
+
+def test_toxicity_field_sees_documents_after_long_clean_ones():
+    """The first documents are clean and one is longer than 400,000 words."""
+    import numpy as np
+
+    clean = ["fine words here and there " * 90_000] + ["some calm lines about the weather " * 3] * 30
+    toxic = ["well then you are scum and an idiot they said " * 2] * 20
+    model = toxicity.train(clean + toxic, np.array([0] * len(clean) + [1] * len(toxic)))
+    buf, offs = toxicity.text_buffer(toxicity.pa.array(["fine words and there", "you are scum and an idiot"], toxicity.pa.large_string()))
+    _, _, d, p, score = toxicity._score(buf, offs, model)
+    assert p[d == 0].max() < 0.5 < p[d == 1].max() and score[0] < 0.5 < score[1]
+
+
 @pytest.mark.parametrize("query, label, least", [("op4_toxicity", "toxic", 0.9), ("op5_quality_classifier", "quality", 0.9)])
 def test_held_out_accuracy(spark, query, label, least):
     sf = "/root/testdata/sf0.01"
