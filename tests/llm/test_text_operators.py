@@ -218,6 +218,30 @@ def test_leaks(spark):
     assert decontaminate.leaks(frame(spark, []), items).count() == 0
 
 
+def test_near_passages_equal_brute_force(spark):
+    """Passages cut at an end, at similarities of 0.80 to 0.85."""
+    rng = random.Random(12)
+    items = {i: words(rng, rng.randrange(20, 60), 10**6).split() for i in range(40)}
+
+    def alike(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    texts, want, near = {}, set(), 0
+    for i, w in items.items():
+        for _ in range(12):
+            cut = max(c for c in range(1, len(w)) if alike(w, w[: len(w) - c] + ["x"] * c) >= 0.8)
+            left = rng.choice([0, cut, rng.randrange(cut + 1)])
+            text = words(rng, 10, 10**6).split() + words(rng, left, 10**6).split() + w[left : len(w) - (cut - left)] + words(rng, 12, 10**6).split()
+            best = max(alike(w, text[j : j + len(w)]) for j in range(len(text) - len(w) + 1))
+            near += 0.8 <= best < 0.85
+            want |= {(len(texts), i)} if best >= 0.8 else set()
+            texts[len(texts)] = " ".join(text)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert near > 300
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts.items()), rows).collect()} == want
+
+
 def test_decontamination_runs_no_python(spark):
     plan = decontaminate.leaks(frame(spark, EDGE), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().toString())
