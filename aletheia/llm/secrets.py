@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A random string needs many tokens: its characters per token under a public
-byte-pair vocabulary are few.  Candidate strings (20 characters or more of the
-key alphabet, letters and digits mixed) below ``MAX_CHARS_PER_TOKEN`` are
-secrets, unless they are known digests or identifiers (UUIDs, hex digests that
+byte-pair vocabulary are few.  Candidate strings (16 characters or more of the
+key alphabet, at least one of them a letter: random digits have more characters
+per token than the limit) below ``MAX_CHARS_PER_TOKEN`` are secrets, also the
+parts of a string beside a pattern's match; strings without a digit under 20
+characters must be below ``SHORT_LETTERS``, small letters (after the first) below
+``SHORT_LOWER``, as rare words come near.  Not so if they are known digests or identifiers (UUIDs, hex digests that
 a digest name introduces, object ids of version control, data URIs, addresses).
 
 Null and empty texts give no spans.  Texts are taken whole; spans count code
@@ -31,7 +34,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
 
 MAX_CHARS_PER_TOKEN = 2.0
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORT, SHORT_LETTERS, SHORT_LOWER = 20, 1.8, 1.6
+LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}")
@@ -68,16 +73,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def random_spans(text: str, path: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
+def _parts(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Parts of a run that no base span covers, ``LEAST`` characters or longer."""
+    out = []
+    for s, e, _ in sorted(base):
+        if s < end and e > start:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST]
+
+
+def random_spans(text: str, path: str, most: float = MAX_CHARS_PER_TOKEN, base: list[tuple[int, int, str]] = []) -> list[tuple[int, int, str]]:  # noqa: B006
     out = []
     for m in _CANDIDATE.finditer(text):
-        x, before = m.group(), text[max(0, m.start() - 40) : m.start()]
-        if not (_DIGIT.search(x) and _LETTER.search(x)) or _UUID.fullmatch(x) or _ADDRESS.search(before):
-            continue
-        if _DIGEST.fullmatch(x) and _DIGEST_NAME.search(before):
+        if _UUID.fullmatch(m.group()) or _ADDRESS.search(text[max(0, m.start() - 40) : m.start()]):
             continue
-        if len(x) < most * len(_vocabulary(path).encode_ordinary(x)):
-            out.append((m.start(), m.end(), "random"))
+        for start, end in _parts(m.start(), m.end(), base):
+            x = text[start:end]
+            if not _LETTER.search(x):
+                continue
+            if _DIGEST.fullmatch(x) and _DIGEST_NAME.search(text[max(0, start - 40) : start]):
+                continue
+            limit = most
+            if len(x) < SHORT and not _DIGIT.search(x):
+                limit = min(most, SHORT_LOWER if x[1:].islower() else SHORT_LETTERS)
+            if len(x) < limit * len(_vocabulary(path).encode_ordinary(x)):
+                out.append((start, end, "random"))
     return out
 
 
@@ -90,7 +111,7 @@ def find(text: str, path: str, most: float = MAX_CHARS_PER_TOKEN) -> tuple[list,
     """``(base spans, the method's further spans)``; the method says nothing
     about places that a base span covers."""
     base = base_spans(text)
-    return base, [s for s in random_spans(text, path, most) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+    return base, random_spans(text, path, most, base)
 
 
 def secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
