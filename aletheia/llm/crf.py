@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Positions of a chain that are handled one after the other; longer chains go in pieces.
+PIECE = 64
+
 
 def cut_chains(lengths: np.ndarray, most: int) -> np.ndarray:
     """Lengths after cutting longer chains every ``most`` positions (all
@@ -47,8 +50,35 @@ def _steps(lengths: np.ndarray):
 
 
 def _ratios(u: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log-ratios over whole chains.  Long chains go in
+    pieces side by side: what a piece does to a message is a 2x2 table, the
+    tables are followed from piece to piece, so no link is lost."""
     add = np.logaddexp
     r, s = u.copy(), np.zeros_like(u)
+    if len(lengths) and lengths.max() > PIECE:
+        n_pieces, lengths = -(-lengths // PIECE), cut_chains(lengths, PIECE)
+        ends = np.cumsum(lengths)
+        starts, first = ends - lengths, np.zeros(len(lengths), bool)
+        first[(np.cumsum(n_pieces) - n_pieces)[n_pieces > 0]] = True
+        # g[i, j]: from state i before the piece to state j at its end (a chain's first piece: from nothing)
+        piece = np.repeat(np.arange(len(lengths)), lengths)
+        g = np.where(first, 0, move[:, :, None])
+        g[:, 1] += u[starts]
+        for k, at in enumerate(_steps(lengths)):
+            if k:
+                q = piece[at]
+                z, o = g[:, 0, q], g[:, 1, q]
+                g[:, 0, q], g[:, 1, q] = add(z + move[0, 0], o + move[1, 0]), u[at] + add(z + move[0, 1], o + move[1, 1])
+        out, back = add(g[0, 1], g[1, 1]) - add(g[0, 0], g[1, 0]), np.zeros(len(lengths))  # right for first pieces
+        steps = list(_steps(n_pieces))
+        for q in steps[1:]:
+            p = out[q - 1]
+            out[q] = add(g[0, 1, q], p + g[1, 1, q]) - add(g[0, 0, q], p + g[1, 0, q])
+        for q in steps[:0:-1]:
+            back[q - 1] = add(g[1, 0, q], g[1, 1, q] + back[q]) - add(g[0, 0, q], g[0, 1, q] + back[q])
+        p = out[np.flatnonzero(~first) - 1]
+        r[starts[~first]] += add(move[0, 1], p + move[1, 1]) - add(move[0, 0], p + move[1, 0])
+        s[ends - 1] = back
     steps = list(_steps(lengths))
     for at in steps[1:]:
         p = r[at - 1]

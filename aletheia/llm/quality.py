@@ -7,7 +7,7 @@ Forward-backward marginals, weighted by line length, make the document's
 quality, calibrated on the fitting rows.
 
 Null and empty texts have no lines and get the score of no evidence.  Texts are
-taken whole; chains are cut every ``CHAIN`` lines.  Rows repeat as given;
+taken whole, and so are their chains of lines.  Rows repeat as given;
 without labelled rows every score is 0.5.
 """
 
@@ -23,7 +23,6 @@ from aletheia.llm.common import NOT_SPACE, blocks, find_words, hash_words, id_te
 from aletheia.llm.fitting import fit_on, fold
 
 FOLDS, HELD_OUT = 3, 1
-CHAIN = 128
 
 _CLASSES = {
     "upper": bytes(range(65, 91)), "digit": b"0123456789", "bang": b"!?", "bar": b"|", "sign": b"#$%&*+/<=>@\\^_`{}~[]()",
@@ -106,7 +105,7 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     d = np.concatenate([x[2] + x[0] for x in parts])
     size = np.concatenate([x[3] for x in parts])
     n = len(texts)
-    lengths = crf.cut_chains(np.bincount(d, minlength=n), CHAIN)
+    lengths = np.bincount(d, minlength=n)
     if len(f):
         x = _design(f, lengths)
         model["w"], model["move"] = crf.fit(x, y[d].astype(np.int64), lengths, l2=1e-4)
@@ -131,7 +130,7 @@ def quality_scores(docs: DataFrame, model: dict) -> DataFrame:
             buf, offs = text_buffer(batch.column(1))
             for i, j in blocks(offs):
                 f, d, size = line_features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                lengths = crf.cut_chains(np.bincount(d, minlength=j - i), CHAIN)
+                lengths = np.bincount(d, minlength=j - i)
                 p = crf.marginals(_design(f, lengths) @ m["w"], lengths, m["move"])
                 z = crf.sigmoid(_document_features(p, d, size, j - i) @ m["cal"])
                 n = np.bincount(d, minlength=j - i)

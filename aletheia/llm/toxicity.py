@@ -9,8 +9,9 @@ on the fitting rows.  The field is fitted on all tokens of the fitting rows
 (``fit_on`` bounds their number, nothing bounds their tokens).
 
 Null, empty and wordless texts get the score of a text without offending
-words; without any labelled rows nothing is offending and every score is low.  Texts are taken whole, chains are cut every
-``CHAIN`` words.  Rows repeat as given.
+words; without any labelled rows nothing is offending and every score is low.  Texts are taken whole: neighbours
+and forward-backward run over whole texts.  Only the fit counts the moves of a
+text in pieces of ``FIT_CHAIN`` words (no move across a cut).  Rows repeat as given.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from aletheia.llm.common import LOWER, U64, blocks, find_words, hash_words, id_t
 from aletheia.llm.fitting import fit_on, fold
 
 FOLDS, HELD_OUT = 5, 0
-CHAIN = 64
+FIT_CHAIN = 64
 #: Bins of a word's log-odds between toxic and other documents.
 BINS = np.array([0.7, 1.5, 2.5, 3.5])
 K = len(BINS) + 1
@@ -41,7 +42,7 @@ def _tokens(buf, offs):
 
 
 def _features(h: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndarray:
-    """Bin of each token, and of the tokens before and after it in its chain."""
+    """Bin of each token, and of the tokens before and after it in its text."""
     at = np.searchsorted(model["words"], h)
     at[at == len(model["words"])] = 0
     known = model["words"][at] == h if len(model["words"]) else np.zeros(len(h), bool)
@@ -76,10 +77,6 @@ def _document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(total), most, np.log1p(100 * total / np.maximum(size, 20))], axis=1)
 
 
-def _chains(doc: np.ndarray, n: int) -> np.ndarray:
-    return crf.cut_chains(np.bincount(doc, minlength=n), CHAIN)
-
-
 def train(texts: list[str], y: np.ndarray) -> dict:
     model = {"words": np.zeros(0, U64), "bins": np.zeros(0, np.int64), "w": np.zeros(3 * (len(BINS) + 1)), "move": np.zeros((2, 2)), "cal": np.zeros(4)}
     if not len(texts) or y.min() == y.max():
@@ -104,13 +101,13 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     odds = np.log((bad + 0.5) / (n_toxic + 1)) - np.log((good + 0.5) / (n - n_toxic + 1))
     keep = (bad >= max(3, 0.01 * n_toxic)) & (odds > BINS[0])
     model["words"], model["bins"] = words[keep], np.searchsorted(BINS, odds[keep])
-    lengths = _chains(d, n)
+    lengths = np.bincount(d, minlength=n)
     f = _features(h, lengths, model)
     label = ((f[:, 0] >= OFFENDING) & (y[d] == 1)).astype(np.int64)
     if len(f):
         # every chain counts; equal ones are summed once
         kinds, row = np.unique(f @ [K * K, K, 1], return_inverse=True)
-        at, sizes, times = crf.distinct_chains((2 * row + label).astype(np.uint16), lengths)
+        at, sizes, times = crf.distinct_chains((2 * row + label).astype(np.uint16), crf.cut_chains(lengths, FIT_CHAIN))
         x = _one_hot(np.stack([kinds // (K * K), kinds // K % K, kinds % K], axis=1))
         model["w"], model["move"] = crf.fit(x, label[at], sizes, row=row[at], times=times)
     p = crf.marginals(_unary(f, model), lengths, model["move"])
@@ -128,7 +125,7 @@ SCHEMA = "doc_id long, score double, spans array<struct<start:long,end:long,p:do
 def _score(b: np.ndarray, o: np.ndarray, model: dict):
     """Of a run of texts: tokens (start, end, text), marginals, scores."""
     s, e, d, h = _tokens(b, o)
-    lengths = _chains(d, len(o) - 1)
+    lengths = np.bincount(d, minlength=len(o) - 1)
     p = crf.marginals(_unary(_features(h, lengths, model), model), lengths, model["move"])
     return s, e, d, p, crf.sigmoid(_document_features(p, d, len(o) - 1) @ model["cal"])
 

@@ -357,6 +357,45 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_marginals_of_long_chains():
+    """Against forward-backward one position after the other."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    lengths = np.array([0, 1, 64, 65, 300, 0, 128, 129, 1000, 3])
+    u, move, at = rng.normal(size=lengths.sum()) * 3, rng.normal(size=(2, 2)) * 2, 0
+    p = crf.marginals(u, lengths, move)
+    for n in lengths:
+        e, m = np.exp(np.stack([np.zeros(n), u[at : at + n]], axis=1)), np.exp(move)
+        f, b = e.copy(), np.ones((n, 2))
+        for t in range(1, n):
+            f[t] = f[t - 1] @ m * e[t]
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = m @ (e[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        assert np.allclose(p[at : at + n], (f * b / (f * b).sum(axis=1, keepdims=True))[:, 1])
+        at += n
+
+
+def test_no_word_or_line_is_judged_apart_from_its_neighbours(spark):
+    """A toxic span or a bad line gets the same marginals wherever it lies."""
+    import numpy as np
+
+    y = np.array([0, 1] * 20)
+    tox = toxicity.train([("you scum and idiot they said " if k else "some calm lines of weather ") * 3 for k in y], y)
+    seen = []
+    for before in range(150, 260):
+        buf, offs = toxicity.text_buffer(toxicity.pa.array(["calm " * before + "scum idiot scum idiot " + "calm " * 150], toxicity.pa.large_string()))
+        seen.append(toxicity._score(buf, offs, tox)[3][before - 2 : before + 6])
+    assert np.allclose(seen, seen[0], atol=1e-9)
+    good, bad = "Calm words stand in this line, as in others.\n", "$$ 77 || ## BUY !!\n"
+    qual = quality.train([(good if k else bad) * 9 for k in y], y)
+    texts = [(k, good * k + bad * 6 + good * (256 - k)) for k in range(100, 156)]
+    rows = quality.quality_scores(frame(spark, texts), qual).collect()
+    assert len({r.bad_lines for r in rows}) == 1 and np.allclose([r.score for r in rows], rows[0].score, atol=1e-9)
+
+
 def test_fit_counts_equal_chains():
     import numpy as np
 
