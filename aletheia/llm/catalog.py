@@ -53,7 +53,7 @@ def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_links")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_links_verified")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -21,7 +21,8 @@ of distinct k-word shingles; the result is the components of all links.
    verified on the exact sets, until a round adds no link; then every other pair
    that passes the bound and still lies in different components.  Boxes that hold
    one and the same component are left out too.  So a group of near copies costs
-   a few verifications a member, and no link between different texts is lost.
+   a few verifications a member, and no component is split.  Links within a
+   component already joined are not verified, so not every link is counted.
 
 Words are runs of other than white space, A-Z lower-cased.  A text of fewer
 than k words has its whole sequence as its one shingle; null, empty and blank
@@ -372,8 +373,8 @@ def shared_cells(reps: DataFrame, n_buckets: int, parts: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``;
-    ``n_links`` counts the links found (a component's links suffice to join it,
+    """``doc_id, n_shingles, component_id, n_links_verified`` for every row of ``docs``;
+    ``n_links_verified`` counts the links found (a component's links suffice to join it,
     so pairs known to be together are not tried again)."""
     if k < 1 or not 0 < percent <= 100:
         raise ValueError("k >= 1 and 0 < percent <= 100")
@@ -425,14 +426,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         if every_pair:
             break
         found, every_pair = pairs, not new
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links_verified"))
     tree = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    tree = tree.select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"), "n_links")
+    tree = tree.select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"), "n_links_verified")
     out = every.select("doc_id", "n", "d1", "d2").join(tree, ["n", "d1", "d2"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links_verified", F.lit(0)).alias("n_links_verified"),
     )
 
 

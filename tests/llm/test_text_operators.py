@@ -169,6 +169,18 @@ def test_jaccard_equals_brute_force(spark):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_verified_links_are_named_so(spark):
+    """A group of near copies: enough links to join it, not all of its pairs."""
+    rng = random.Random(16)
+    base = words(rng, 80, 10**6).split()
+    texts = [(i, " ".join([*base[:40], f"e{i}", *base[41:]])) for i in range(30)]
+    out = jaccard.jaccard_components(frame(spark, texts), 4, 85)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links_verified"]
+    rows = out.collect()
+    assert {r.component_id for r in rows} == {0}
+    assert 29 <= sum(r.n_links_verified for r in rows) / 2 <= 30 * 29 / 2 and min(r.n_links_verified for r in rows) >= 1
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.jaccard_components(frame(spark, EDGE), 4, 85).collect()
     assert len(rows) == len(EDGE)
