@@ -1,4 +1,7 @@
-"""Duplicate-substring removal by a distributed difference-cover suffix sort.
+"""Duplicate-substring removal by content-defined samples and hashed names.
+
+No suffix order is built and nothing recurses: equal strings are found by
+sampling blocks, grouping them by hash and comparing bytes, on one level.
 
 Removes every byte that lies in a ``length``-byte string which also starts
 earlier in the corpus (smaller doc_id, or same document and earlier start).
@@ -8,12 +11,12 @@ The difference cover is content-defined: in each ``length``-byte window the
 same place wherever they stand - the property that lets cover positions stand
 in for all others - at about two positions in seventy.
 
-1. Sort the sample: every sampled position carries its name (hash of its block)
+1. Group the sample: every sampled position carries its name (hash of its block)
    and the name of the text around it, the union of all windows that chose it.
    Tasks first drop repeats among their own texts, so a text that a third of all
    documents hold leaves each task once.  Samples meet by name in a bucket; all
    but the first of equal surroundings are covered whole.
-2. Recurse on what the names leave open: places whose block is shared but whose
+2. Windows of what the names leave open: places whose block is shared but whose
    surroundings differ.  Only there the windows themselves are named, by triples
    (3, 9, 27, 81 bytes, each name made of three of the last level, the last
    pair overlapping to ``length``).
