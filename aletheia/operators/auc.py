@@ -5,7 +5,7 @@ AUC = (Σ over positives of #negatives with a lower score + ½ #tied negatives)
 Two steps: aggregate to one row per (group, score) with positive/negative
 counts (partial aggregation: ties collapse map-side), then an exclusive prefix
 sum of negatives in score order (``rank.exclusive_prefix_by_score``, which
-splits every group into score buckets so no group sits on one task).
+deals the scores by range so no group sits on one task).
 NULL when the group has only one class (the library refuses such input; the
 reference records NaN).
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +34,6 @@ def grouped_auc(
         .groupBy(*keys, score_col)
         .agg(F.sum(y).alias("__p"), F.sum(F.lit(1) - y).alias("__n"))
     )
-    # Read three times (bucket sizing, cut points, prefix sums): keep the
-    # narrow aggregate (≤ 24 bytes per distinct score; spills to disk)
-    # instead of re-scanning and re-aggregating the input.  Measured: a
-    # reliable checkpoint here costs 2x locally.  Recomputation after a lost
-    # executor is exact; spark.catalog.clearCache() releases it.
-    per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
     pref = exclusive_prefix_by_score(per_score, keys, score_col, "__n", "__nb")
     agg = pref.groupBy(*keys) if keys else pref.groupBy()
     out = agg.agg(
@@ -58,5 +51,5 @@ def grouped_auc(
 
 
 def global_auc(df: DataFrame, score_col: str = "score", label_col: str = "y", auc_col: str = "auc") -> DataFrame:
-    """One AUC over all rows (no partition key; still spread over buckets)."""
+    """One AUC over all rows (no partition key; still spread over ranges)."""
     return grouped_auc(df, [], score_col, label_col, auc_col)

@@ -2,18 +2,20 @@
 
 A plain ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to
 one task; with few groups (sources × labels) or none at all (a global AUC) that
-is one task for a third of the data.  Both helpers here split every group into
-buckets that are contiguous in the order, count the buckets with a partially
-aggregated ``groupBy`` (map-side combine, so a hot group costs one row per
-bucket per map task), turn the counts into per-bucket offsets on that small
-table, and finish with a window over ``(group, bucket)`` only.  Results are
-exact: a rank is ``offset(bucket) + rank inside the bucket``.
-
-* Hash orders (random sampling/splitting) are uniform, so the bucket is just a
-  prefix of the hex digest.
-* Score orders (AUC) are not; buckets come from ``percentile_approx`` per group
-  (a mergeable sketch), and equal scores always land in the same bucket, so
-  ties never straddle two buckets.
+is one task for a third of the data.  Here the rows are dealt by range over
+``(group, order)`` instead, so a group takes as many partitions as it fills:
+
+1. ``in_range_order`` range-partitions and sorts the rows, writes them once (a
+   reliable checkpoint: Spark draws the range bounds from a sample, so they must
+   not be drawn again) and numbers them by partition and position.
+2. Totals per (group, partition) are one small table: a group lies in
+   consecutive partitions, so there are at most partitions + groups rows.
+   Their running sums are the offset of each partition.
+3. A rank is the offset plus the position inside the partition: no window over
+   rows at all.  A prefix sum adds a running sum inside ``(group, partition)``.
+
+A top-n (``limit``) does not order whole groups: it counts digest prefixes and
+drops all prefixes past the limit map-side, before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Hex digits of the order digest used as bucket: 16**3 = 4096 buckets per group.
-HASH_BUCKET_DIGITS = 3
-# Target rows per score bucket for the AUC prefix sums.
-SCORE_BUCKET_ROWS = 200_000
-# Every group is bucketed, small ones too, so one path serves all sizes.
-MIN_SCORE_BUCKETS = 4
+from aletheia.session import materialize
+
+#: Rows that one digest prefix of a group should hold in a top-n.
+PREFIX_ROWS = 50_000
 
 
 def hash_order(seed: int | str, id_col: str = "row_id") -> Column:
@@ -42,13 +42,11 @@ def hash_order(seed: int | str, id_col: str = "row_id") -> Column:
 
 
 def _small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
-    """Persist a per-group/per-bucket table and say whether it may be
+    """Write a per-group/per-partition table and say whether it may be
     broadcast (counted rows and bytes under the join limits)."""
-    from pyspark import StorageLevel
-
     from aletheia.operators.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(df)
     n = df.count()
     return df, n <= BROADCAST_MAX_ROWS and n * row_bytes <= BROADCAST_MAX_BYTES
 
@@ -69,6 +67,47 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], broa
     )
 
 
+def in_range_order(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, written once; adds
+    ``__part`` (partition) and ``__at`` (position in it).  The order should be
+    total: rows that tie in all of it share a partition."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("__pos", F.monotonically_increasing_id()))
+    return placed.select(
+        *df.columns,
+        F.shiftright("__pos", 33).alias("__part"),
+        F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
+    )
+
+
+def range_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    rank_col: str = "rn",
+    count_col: str | None = "n",
+) -> DataFrame:
+    """Add ``rank_col`` = 1-based position of each row in its group (``keys``,
+    NULL a value of its own; none: all rows) by ``order``, and optionally
+    ``count_col`` = group size.  One range shuffle; no window over rows."""
+    keys = list(keys)
+    placed = in_range_order(df, [*(F.col(k) for k in keys), *order])
+    per = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__c"))
+    group = [F.col(k) for k in keys] or [F.lit(0)]  # the table has at most partitions + groups rows
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(
+        *keys, "__part",
+        (F.coalesce(F.sum("__c").over(before), F.lit(0)) - F.col("__first")).alias("__off"),
+        F.sum("__c").over(Window.partitionBy(*group)).alias("__gn"),
+    )
+    offsets, small = _small_side(offsets, 64)
+    x = _null_safe_join(placed, offsets, [*keys, "__part"], broadcast=small)
+    x = x.withColumn(rank_col, (F.col("__off") + F.col("__at") + 1).cast("long"))
+    if count_col:
+        x = x.withColumn(count_col, F.col("__gn").cast("long"))
+    return x.drop("__part", "__at", "__off", "__gn")
+
+
 def rank_in_hash_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,32 +120,39 @@ def rank_in_hash_order(
     """Add ``rank_col`` = 1-based position of each row in ``hash_order(seed)``
     within its group (ties on the digest broken by ``id_col``), and optionally
     ``count_col`` = group size.  With ``limit`` only rows with rank <= limit are
-    returned, and whole buckets past the limit are dropped before the final
-    shuffle (a top-n that never moves a hot group to one task).
+    returned (a top-n that never moves a hot group to one task).
     """
     keys = list(keys)
-    h, b = "__h", "__b"
-    x = df.withColumn(h, hash_order(seed, id_col)).withColumn(b, F.substring(F.col(h), 1, HASH_BUCKET_DIGITS))
+    x = df.withColumn("__h", hash_order(seed, id_col))
+    if limit is None:
+        return range_rank(x, keys, ["__h", id_col], rank_col, count_col).drop("__h")
+    return _top_of_hash_order(x, keys, id_col, rank_col, count_col, limit)
+
+
+def _top_of_hash_order(x: DataFrame, keys: list[str], id_col: str, rank_col: str, count_col: str | None, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group by ``__h``.  Rows per digest
+    prefix are counted (partial aggregates); prefixes that start past the limit
+    go before the shuffle.  The prefix is as long as the largest group asks."""
+    largest = x.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    digits = 1
+    while digits < 15 and largest > PREFIX_ROWS * 16**digits:
+        digits += 1
+    b = "__b"
+    x = x.withColumn(b, F.substring("__h", 1, digits))
     counts = x.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__c"))
     wk = Window.partitionBy(*keys).orderBy(b)
     offsets = counts.select(
-        *keys,
-        b,
+        *keys, b,
         F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.sum("__c").over(Window.partitionBy(*keys)).alias("__gn"),
-    )
-    if limit is not None:
-        offsets = offsets.where(F.col("__off") < limit)
-    # one row per (group, bucket); for a top-n only the buckets it needs
+    ).where(F.col("__off") < limit)
     offsets, small = _small_side(offsets, 64)
     x = _null_safe_join(x, offsets, keys + [b], broadcast=small)
-    local = F.row_number().over(Window.partitionBy(*keys, b).orderBy(h, id_col))
-    x = x.withColumn(rank_col, (F.col("__off") + local).cast("long"))
-    if limit is not None:
-        x = x.where(F.col(rank_col) <= limit)
+    local = F.row_number().over(Window.partitionBy(*keys, b).orderBy("__h", id_col))
+    x = x.withColumn(rank_col, (F.col("__off") + local).cast("long")).where(F.col(rank_col) <= limit)
     if count_col:
         x = x.withColumn(count_col, F.col("__gn").cast("long"))
-    return x.drop(h, b, "__off", "__gn")
+    return x.drop("__h", b, "__off", "__gn")
 
 
 def exclusive_prefix_by_score(
@@ -117,31 +163,15 @@ def exclusive_prefix_by_score(
     out_col: str = "before",
 ) -> DataFrame:
     """For rows unique per ``(keys, score)``, add ``out_col`` = sum of
-    ``sum_col`` over all rows of the group with a strictly smaller score.
-
-    Buckets: ``percentile_approx`` cut points per group, with as many buckets
-    as the largest group needs for ~SCORE_BUCKET_ROWS rows each.
-    """
+    ``sum_col`` over all rows of the group with a strictly smaller score."""
     keys = list(keys)
-    if not keys:  # one global group: same path with a constant key
-        return exclusive_prefix_by_score(
-            df.withColumn("__g", F.lit(0)), ["__g"], score_col, sum_col, out_col
-        ).drop("__g")
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    n_buckets = max(MIN_SCORE_BUCKETS, -(-int(largest or 0) // SCORE_BUCKET_ROWS))
-    bcol = "__sb"
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10_000, 4 * n_buckets)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(score_col, fracs, acc).alias("__cuts"))
-    cuts, small = _small_side(cuts, 64 + 8 * n_buckets)  # one row of cut points per group
-    x = _null_safe_join(df, cuts, keys, broadcast=small)
-    # bucket = number of cut points strictly below the score (monotone in score)
-    x = x.withColumn(bcol, F.size(F.filter("__cuts", lambda c: c < F.col(score_col)))).drop("__cuts")
-    totals = x.groupBy(*keys, bcol).agg(F.sum(sum_col).alias("__t"))
-    wk = Window.partitionBy(*keys).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bcol, F.coalesce(F.sum("__t").over(wk), F.lit(0)).alias("__off"))
-    offsets, small = _small_side(offsets, 64)  # one row per (group, bucket)
-    x = _null_safe_join(x, offsets, keys + [bcol], broadcast=small)
-    wl = Window.partitionBy(*keys, bcol).orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = in_range_order(df, [*(F.col(k) for k in keys), F.col(score_col)]).drop("__at")
+    totals = placed.groupBy(*keys, "__part").agg(F.sum(sum_col).alias("__t"))
+    group = [F.col(k) for k in keys] or [F.lit(0)]
+    wk = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__part", F.coalesce(F.sum("__t").over(wk), F.lit(0)).alias("__off"))
+    offsets, small = _small_side(offsets, 64)  # at most partitions + groups rows
+    x = _null_safe_join(placed, offsets, [*keys, "__part"], broadcast=small)
+    wl = Window.partitionBy(*keys, "__part").orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn(out_col, F.col("__off") + F.coalesce(F.sum(sum_col).over(wl), F.lit(0)))
-    return x.drop(bcol, "__off")
+    return x.drop("__part", "__off")

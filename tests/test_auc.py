@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from aletheia.operators import auc as A
-from aletheia.operators import rank
 
 
 def brute_auc(pairs):
@@ -31,13 +30,28 @@ def test_grouped_auc_matches_brute_force(spark):
     assert glob == pytest.approx(brute_auc([(s, y) for _, s, y in data]), abs=1e-12)
 
 
-def test_bucketed_prefix_equals_single_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_auc_does_not_depend_on_the_ranges(spark, parts):
     data = _data(3000, 2, seed=11)
     df = spark.createDataFrame(data, "g string, score double, y int").repartition(9)
-    exact = {r.g: r.auc for r in A.grouped_auc(df, ["g"]).collect()}
-    monkeypatch.setattr(rank, "SCORE_BUCKET_ROWS", 50)  # force ~30 score buckets per group
-    bucketed = {r.g: r.auc for r in A.grouped_auc(df, ["g"]).collect()}
-    assert bucketed == pytest.approx(exact, abs=1e-12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r.auc for r in A.grouped_auc(df, ["g"]).collect()}
+        assert A.global_auc(df).first().auc == pytest.approx(brute_auc([(s, y) for _, s, y in data]), abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g in got:
+        assert got[g] == pytest.approx(brute_auc([(s, y) for gg, s, y in data if gg == g]), abs=1e-12)
+
+
+def test_auc_of_null_groups_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 0.1, 0), (None, 0.2, 1), ("a", None, 1), ("a", 0.5, None)], "g string, score double, y int")
+    assert [tuple(r) for r in A.grouped_auc(df, ["g"]).collect()] == [(None, 1, 1, 1.0)]
+    assert A.grouped_auc(df.limit(0), ["g"]).count() == 0
+    assert A.global_auc(df.limit(0)).first().auc is None
 
 
 def test_auc_edge_cases(spark):

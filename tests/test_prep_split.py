@@ -1,8 +1,10 @@
+import hashlib
+
 from tests.conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from aletheia.operators import prep
-from aletheia.operators.rank import rank_in_hash_order
+from aletheia.operators.rank import in_range_order, range_rank, rank_in_hash_order
 from aletheia.operators.split import split_prefix, split_stratified, stratified_allocation
 
 
@@ -75,21 +77,44 @@ def test_split_stratified_parts(spark):
     assert sum(r.y for r in fit) == 10  # 13 positives: 40*13/50 = 10.4 -> 10
 
 
-def test_hot_group_is_split_into_buckets(spark):
-    # one group holds ~90% of the rows: ranks stay exact and the final window
-    # is partitioned by (group, bucket), not by the group alone
+def test_hot_group_is_dealt_over_ranges(spark):
+    # one group holds ~90% of the rows: ranks stay exact, it takes several
+    # partitions, and no window runs over its rows
     df = spark.range(20000).select(
         F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g")
     )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = in_range_order(df, ["g", "row_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in placed.where("g = 'hot'").groupBy("__part").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 6000
     r = rank_in_hash_order(df, ["g"], seed=3, limit=None)
-    hot = sorted(x.rn for x in r.where("g = 'hot'").select("rn").collect())
-    assert hot == list(range(1, 18001))
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "Window [row_number()" in plan and "__b" in plan.split("Window [row_number()")[1].split("\n")[0]
+    hot = sorted((x.rn, hashlib.md5(f"3|{x.row_id}".encode()).hexdigest()) for x in r.where("g = 'hot'").collect())
+    assert [x[0] for x in hot] == list(range(1, 18001)) and [x[1] for x in hot] == sorted(x[1] for x in hot)
+    assert "Window" not in r._jdf.queryExecution().executedPlan().toString()
     top = prep.sample_by_group(df.withColumn("label", F.lit("x")), ["g", "label"], 100, seed=3)
     assert {x.g: x["count"] for x in top.groupBy("g").count().collect()} == {"hot": 100, "cold": 100}
 
 
+def test_top_n_takes_longer_prefixes_for_larger_groups(spark, monkeypatch):
+    from aletheia.operators import rank
+
+    df = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("g"))
+    want = sorted(tuple(r) for r in rank_in_hash_order(df, ["g"], 5, limit=70).collect())
+    monkeypatch.setattr(rank, "PREFIX_ROWS", 1)
+    assert sorted(tuple(r) for r in rank_in_hash_order(df, ["g"], 5, limit=70).collect()) == want and len(want) == 140
+
+
+def test_range_rank_of_null_groups_without_groups_and_empty(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(50)], "row_id long, g string").repartition(5)
+    got = {r.row_id: (r.rn, r.n) for r in range_rank(df, ["g"], ["row_id"]).collect()}
+    assert got[0] == (1, 17) and got[48] == (17, 17) and got[1] == (1, 33) and got[49] == (33, 33)
+    assert sorted((r.rn, r.row_id) for r in range_rank(df, [], [F.desc("row_id")]).collect()) == [(i + 1, 49 - i) for i in range(50)]
+    assert range_rank(df.limit(0), ["g"], ["row_id"]).count() == 0
+
+
 def test_fit_bound_cuts_train_rows_only(spark):
     from aletheia import fixtures
     from aletheia.operators.probeset import select_rows
