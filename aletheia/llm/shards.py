@@ -6,7 +6,8 @@
 2. A row's fractional rank is ``(rank - 1/2) / rows of its source``.  In the
    order of fractional ranks (ties: source, rank) every source is spread evenly.
 3. The order is cut into equal runs: shard sizes are at most one row apart (law
-   ``rows``), and a shard holds of each source its share, give or take a row.
+   ``rows``), and a shard holds of each source its share within 1 + share x
+   number of sources rows (ranks are rounded once per source at either cut).
 
 A null source is a source of its own.  Null texts count as empty: size 8,
 checksum 0.  A null doc_id is shuffled as ``-``.  Rows that repeat a doc_id stay,
