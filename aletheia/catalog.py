@@ -409,15 +409,30 @@ def q_eval_incremental(spark, sf):
 
 def q_pca3(spark, sf):
     ps = _prepared(spark, sf).where(F.col("part") == "train")
-    return CL.pca3(ps, "x", ("row_id", "y"))
+    return _rounded_pcs(CL.pca3(ps, "x", ("row_id", "y")), "y")
+
+
+def _rounded_pcs(df, *keep):
+    return df.select("row_id", *keep, *(F.round(f"PC{j}", R).alias(f"PC{j}") for j in (1, 2, 3)))
 
 
 def q_kmeans_sweep(spark, sf):
-    return CL.kmeans_sweep(_prepared(spark, sf))[0]
+    t = CL.kmeans_sweep(_prepared(spark, sf))[0]
+    return t.select("num_clusters", *(F.round(c, R).alias(c) for c in ("roc_auc_train", "roc_auc_test")))
 
 
 def q_cluster_models(spark, sf):
-    return CL.kmeans_sweep(_prepared(spark, sf), ks=[3])[1]
+    """The per-cluster probes of k = 3, one row per coefficient."""
+    coefs = CL.kmeans_sweep(_prepared(spark, sf), ks=[3])[1]
+    long = coefs.select("model_id", F.posexplode("w").alias("dim", "value"))
+    return long.select("model_id", "dim", F.round("value", R).alias("value"))
+
+
+def q_cluster_members(spark, sf):
+    """Positions per cluster of k = 3 over the train rows, one list each."""
+    rows = _prepared(spark, sf).where(F.col("part") == "train")
+    _, assign = CL.kmeans_assign(rows, 3)
+    return CL.cluster_members(assign(rows).select("row_id", "cluster"), 3)
 
 
 def q_coef_similarity(spark, sf):
@@ -469,6 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca3": q_pca3,
     "kmeans_sweep": q_kmeans_sweep,
     "cluster_models": q_cluster_models,
+    "cluster_members": q_cluster_members,
     "coef_similarity": q_coef_similarity,
 }
 
@@ -654,7 +670,7 @@ def q_pca_clusters(spark, sf, k=3):
     """PCA scatter data of the k-means assignment (PC1..PC3, cluster)."""
     rows = E.cached(_prepared(spark, sf)).where(F.col("part") == "train")
     _, assign = CL.kmeans_assign(rows, k)
-    return CL.pca3(assign(rows), "x", ("row_id", "cluster"))
+    return _rounded_pcs(CL.pca3(assign(rows), "x", ("row_id", "cluster")), "cluster")
 
 
 # Pooling grid (U1 x A9/V4): which pooling of the activations separates the
@@ -913,3 +929,113 @@ SELECT model_id AS train_source, {', '.join(f"round(max(CASE WHEN source = '{c}'
 FROM res_m GROUP BY model_id""",
     }
 )
+
+
+# ---------------------------------------------------------------------------
+# PCA and k-means
+# ---------------------------------------------------------------------------
+
+# A covariance squared again and again (over its trace) tends to the projection
+# on its first eigenvector; 24 squarings are its power of 16 million.
+SQUARINGS = 24
+_D2 = "list_reduce(list_transform(range(1, len({a}) + 1), lambda j_: ({a}[j_] - {b}[j_]) * ({a}[j_] - {b}[j_])), lambda p_, q_: p_ + q_)"
+_LUCK = "-ln((('0x' || substr(md5({parts}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def _pca_ctes(points: str, k: int = 3) -> str:
+    """CTEs: ``pcs(row_id, PC1..)`` of relation ``points(row_id, x)``."""
+    steps = [
+        f"ln_ AS MATERIALIZED (SELECT row_id, unnest(range(len(x))) AS j, unnest(x) AS v FROM {points})",
+        "mu_ AS (SELECT j, avg(v) AS m FROM ln_ GROUP BY j)",
+        "cx_ AS MATERIALIZED (SELECT ln_.row_id, ln_.j, ln_.v - mu_.m AS v FROM ln_ JOIN mu_ USING (j))",
+        "cov_0 AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM cx_ a JOIN cx_ b USING (row_id) GROUP BY a.j, b.j)",
+    ]
+    for p in range(k):
+        last = f"cov_{p}"
+        for t in range(SQUARINGS):
+            steps.append(f"sq_{p}_{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j)")
+            last = f"pw_{p}_{t}"
+            steps.append(f"{last} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM sq_{p}_{t} WHERE i = j) AS v FROM sq_{p}_{t})")
+        steps += [
+            f"dg_{p} AS (SELECT arg_max(i, v) AS i, max(v) AS v FROM {last} WHERE i = j)",
+            f"un_{p} AS (SELECT m.i, m.v / sqrt(d.v) AS v FROM {last} m JOIN dg_{p} d ON m.j = d.i)",
+            f"ev_{p} AS MATERIALIZED (SELECT i, v * (SELECT CASE WHEN arg_max(v, abs(v)) >= 0 THEN 1 ELSE -1 END FROM un_{p}) AS v FROM un_{p})",
+            f"la_{p} AS (SELECT sum(c.v * a.v * b.v) AS v FROM cov_{p} c JOIN ev_{p} a ON a.i = c.i JOIN ev_{p} b ON b.i = c.j)",
+            f"cov_{p + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT v FROM la_{p}) * a.v * b.v AS v FROM cov_{p} c JOIN ev_{p} a ON a.i = c.i JOIN ev_{p} b ON b.i = c.j)",
+        ]
+    pcs = ", ".join(f"round(sum(cx_.v * e{p}.v), 6) AS PC{p + 1}" for p in range(k))
+    joins = " ".join(f"JOIN ev_{p} e{p} ON e{p}.i = cx_.j" for p in range(k))
+    return ",\n".join(steps) + f",\npcs AS (SELECT cx_.row_id, {pcs} FROM cx_ {joins} GROUP BY cx_.row_id)"
+
+
+def _kmeans_ctes(points: str, ks: list[int]) -> str:
+    """CTEs: ``fin(k, cc)``, the centres for every k over ``points(row_id, x)``."""
+    seed, draw = CL.KMEANS_SEED, 2 * max(ks)
+    steps = [f"ch_0 AS MATERIALIZED (SELECT row_id, x, 0 AS pos FROM {points} ORDER BY {_LUCK.format(parts=f"'{seed}|0|' || row_id")}, row_id LIMIT 1)"]
+    for r in range(1, CL.ROUNDS + 1):
+        luck = _LUCK.format(parts=f"'{seed}|{r}|' || row_id")
+        steps += [
+            f"far_{r} AS (SELECT t.row_id, any_value(t.x) AS x, min({_D2.format(a='t.x', b='c.x')}) AS far FROM {points} t, ch_{r - 1} c GROUP BY t.row_id)",
+            f"dr_{r} AS (SELECT row_id, x, row_number() OVER (ORDER BY {luck} / far, row_id) AS o FROM far_{r} WHERE far > 0)",
+            f"ch_{r} AS MATERIALIZED (SELECT * FROM ch_{r - 1} UNION ALL SELECT row_id, x, {1 + (r - 1) * draw} + o - 1 FROM dr_{r} WHERE o <= {draw})",
+        ]
+    last = f"ch_{CL.ROUNDS}"
+    near = f"min(struct_pack(d := {_D2.format(a='t.x', b='c.x')}, p := c.pos)).p"
+    cc_far = f"coalesce(list_min(list_transform(p.cc, lambda z: {_D2.format(a='c.x', b='z')})), 1)"
+    luck = _LUCK.format(parts=f"'{seed}|' || p.k || '|' || p.t || '|' || c.row_id")
+    steps += [
+        f"nr_ AS (SELECT t.row_id, {near} AS pos FROM {points} t, {last} c GROUP BY t.row_id)",
+        f"cand AS MATERIALIZED (SELECT c.*, w.w FROM {last} c JOIN (SELECT pos, count(*) AS w FROM nr_ GROUP BY pos) w USING (pos))",
+        f"""pick AS (SELECT k, 0 AS t, []::DOUBLE[][] AS cc FROM (VALUES {', '.join(f'({k})' for k in ks)}) v(k)
+  UNION ALL SELECT p.k, p.t + 1, list_append(any_value(p.cc), min(struct_pack(key := {luck} / (c.w * {cc_far}), pos := c.pos, x := c.x)).x)
+  FROM pick p, cand c WHERE p.t < p.k AND {cc_far} > 0 GROUP BY p.k, p.t)""",
+        f"""st_ AS (SELECT {CL.KMEANS_TOL} * avg(v) AS stop FROM (SELECT j, var_pop(v) AS v
+  FROM (SELECT unnest(range(len(x))) AS j, unnest(x) AS v FROM {points}) GROUP BY j))""",
+        f"""lloyd AS (SELECT k, 0 AS step, cc, 1e300::DOUBLE AS moved FROM pick WHERE t = k
+  UNION ALL SELECT k, step + 1, cc2, list_sum(list_transform(range(1, k + 1), lambda i: {_D2.format(a='cc2[i]', b='cc[i]')})) FROM (
+    SELECT k, step, cc, list_transform(range(1, k + 1), lambda i: coalesce(mp[i], cc[i])) AS cc2 FROM (
+      SELECT k, step, cc, map(list(ci), list(m)) AS mp FROM (
+        SELECT k, step, cc, ci, list(m ORDER BY j) AS m FROM (
+          SELECT k, step, cc, ci, j, avg(v) AS m FROM (
+            SELECT k, step, cc, list_position(ds, list_min(ds)) AS ci, unnest(range(len(x))) AS j, unnest(x) AS v FROM (
+              SELECT l.k, l.step, l.cc, t.x, list_transform(l.cc, lambda c: {_D2.format(a='t.x', b='c')}) AS ds
+              FROM lloyd l, {points} t WHERE l.moved > (SELECT stop FROM st_) AND l.step < {CL.KMEANS_MAX_ITER}))
+          GROUP BY k, step, cc, ci, j) GROUP BY k, step, cc, ci) GROUP BY k, step, cc)))""",
+        "fin AS MATERIALIZED (SELECT k, arg_max(cc, step) AS cc FROM lloyd GROUP BY k)",
+    ]
+    return ",\n".join(steps)
+
+
+_NEAREST = f"list_position(list_transform(fin.cc, lambda c: {_D2.format(a='p.x', b='c')}), list_min(list_transform(fin.cc, lambda c: {_D2.format(a='p.x', b='c')}))) - 1"
+_TRAIN_POINTS = "tp AS MATERIALIZED (SELECT row_id, y, x FROM prep WHERE part = 'train')"
+_PREP_R = f"WITH RECURSIVE {prep_ctes().replace('prep AS (', 'prep AS MATERIALIZED (')}, {_TRAIN_POINTS}"
+
+
+def _swept(ks: list[int]) -> str:
+    return f"""{_PREP_R},
+{_kmeans_ctes("tp", ks)},
+asg AS MATERIALIZED (SELECT p.part, p.y, p.x, fin.k, 'k' || fin.k || ':c' || ({_NEAREST}) AS m FROM prep p, fin),
+{_fit_sql("SELECT m, y, x FROM asg WHERE part = 'train'", "SELECT m, '' AS source, y, x FROM asg", "SELECT DISTINCT m, '' AS source FROM asg", "_k")}"""
+
+
+ORACLE.update(
+    {
+        "pca3": f"{_PREP_R},\n{_pca_ctes('tp')}\nSELECT pcs.*, tp.y FROM pcs JOIN tp USING (row_id)",
+        "pca_clusters": f"""{_PREP_R},
+{_kmeans_ctes('tp', [3])},
+{_pca_ctes('tp')}
+SELECT pcs.*, CAST({_NEAREST} AS INTEGER) AS cluster FROM pcs JOIN tp p USING (row_id), fin""",
+        "cluster_members": f"""{_PREP_R},
+{_kmeans_ctes('tp', [3])},
+a AS (SELECT p.row_id, CAST({_NEAREST} AS INTEGER) AS cluster FROM tp p, fin)
+SELECT CAST(c.cluster AS INTEGER) AS cluster, count(a.row_id) AS n, coalesce(list(a.row_id ORDER BY a.row_id) FILTER (a.row_id IS NOT NULL), []) AS row_ids
+FROM range(3) c(cluster) LEFT JOIN a ON a.cluster = c.cluster GROUP BY c.cluster""",
+        "cluster_models": f"{_swept([3])}\nSELECT m AS model_id, CAST(unnest(range(len(w))) AS INTEGER) AS dim, round(unnest(w), 6) AS value FROM w_k_{FIT_STEPS}",
+        "kmeans_sweep": f"""{_swept([1, 2, 3, 4, 5, 6])},
+rs AS (SELECT a.k, a.part, a.y, CASE WHEN w.w IS NULL THEN 0.0 ELSE {_SIG.format(a='a.x', b='w.w')} END AS score
+       FROM asg a LEFT JOIN w_k_{FIT_STEPS} w ON w.m = a.m),
+{auc_sql('rs', ['k', 'part'], 'score').replace('auc_a', 'auc_ra').replace('auc_b', 'auc_rb').replace('auc AS', 'auc_r AS')}
+SELECT k AS num_clusters, round(max(CASE WHEN part = 'train' THEN auc END), 6) AS roc_auc_train,
+  round(max(CASE WHEN part = 'test' THEN auc END), 6) AS roc_auc_test FROM auc_r GROUP BY k""",
+    }
+)

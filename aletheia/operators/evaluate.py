@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aletheia.operators.auc import grouped_auc
-from aletheia.operators.linear import C_DEFAULT, fit_many, score
+from aletheia.operators.joins import checked_broadcast_join
+from aletheia.operators.linear import C_DEFAULT, fit_many, score_models
 from aletheia.operators.split import split_stratified
 from aletheia.plans import plans as P
 from aletheia.session import materialize
@@ -64,6 +65,18 @@ def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return r.join(p, (F.col("r.source") == F.col("p.source")) & part_ok).select("p.model_id", "r.*")
 
 
+def with_models(rows: DataFrame, plan: DataFrame, out: str = "models") -> DataFrame:
+    """J3 without copies: each row once, with the ids of all models that the
+    plan assigns it to (rows of none are left out).  The plan, folded to one row
+    per source, is broadcast behind a counted size check."""
+    folded = plan.groupBy("source").agg(F.collect_set(F.struct("model_id", "part")).alias("__plan"))
+    part = [F.col("part"), F.col("spart")] if "spart" in rows.columns else [F.col("part")]
+    fits = lambda m: m["part"].isNull() | F.coalesce(m["part"].isin(*part), F.lit(False))
+    j = checked_broadcast_join(rows, folded, "source", row_bytes=64 * max(1, plan.count()))
+    j = j.withColumn(out, F.array_sort(F.transform(F.filter("__plan", fits), lambda m: m["model_id"]))).drop("__plan")
+    return j.where(F.size(out) > 0)
+
+
 def evaluate_plans(
     rows: DataFrame,
     train_plan: DataFrame,
@@ -75,8 +88,8 @@ def evaluate_plans(
     """Fit (unless ``coefs`` given) and score; returns (scores, coefs) with
     ``scores(model_id, source, n_pos, n_neg, auc, status)``."""
     if coefs is None:
-        coefs, status = fit_many(apply_plan(rows, train_plan).select("model_id", "x", "y"), C=C)
-    scored = score(apply_plan(rows, test_plan).select("model_id", "source", "x", "y"), coefs)
+        coefs, status = fit_many(with_models(rows, train_plan), "models", C=C)
+    scored = score_models(with_models(rows, test_plan), "models", coefs, ["source", "y"])
     auc = grouped_auc(scored, ["model_id", "source"], "score", "y")
     planned = test_plan.select("model_id", "source").distinct()
     out = planned.join(auc, ["model_id", "source"], "left")
@@ -111,7 +124,7 @@ def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
     ok = [r[0] for r in h.where("split_status = 'ok'").select("source").distinct().collect()]
     tr, _ = P.separate_plans(spark, sources)
     tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
-    coefs, status = fit_many(apply_plan(h, tr).select("model_id", "x", "y"), C=C)
+    coefs, status = fit_many(with_models(h, tr), "models", C=C)
     too_few = [s for s in sources if s not in set(ok)]
     return h, sources, coefs, status, too_few
 

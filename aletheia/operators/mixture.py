@@ -1,17 +1,23 @@
 """Mixture of linear classifiers with a learned router.
 
 Model (per config): router Linear(d,H) → ReLU → Linear(H,E); E experts
-Linear(d,2).  Soft forward: weights = softmax((router + Gumbel noise) / T),
-output = Σ_e weight_e · expert_e(x).  Hard forward: the argmax expert only.
-
-Training is full batch, as the reference's experiment runs it (batch size =
-all training rows), so one epoch is ONE data-parallel Spark job: parameters
-go out by broadcast, each partition returns its gradient sums (NumPy inside
-``mapInPandas``), Spark sums them per (config, block), and the driver takes
-an SGD step with weight decay and the cosine-annealed rate.  Every config of
-the grid shares each pass over the data.  Gumbel noise comes from a counter
-hash of (seed, row_id, epoch, expert), so it does not depend on partitioning
-or on re-execution after a lost executor.
+Linear(d,2), with or without bias.  Soft forward: weights = softmax((router +
+Gumbel noise) / T), output = Σ_e weight_e · expert_e(x).  Hard forward: the
+argmax expert only.
+
+Training is SGD over mini-batches, data-parallel: parameters go out by
+broadcast, each task returns the gradient sums of its rows of the batch (NumPy
+inside ``mapInArrow``, one partial per task and config; ``partials.sum_over``
+adds them in a tree), and the driver takes an SGD step with weight decay and the scheduled
+rate.  Every config of the grid shares each pass over the data.  Rows are dealt
+to the batches of an epoch by a hash of (row_id, epoch), so batches do not depend
+on partitioning; they hold ``batch_size`` rows on average, not exactly.  With
+``batch_size=None`` a batch is the whole data, as in the reference's experiment:
+then an epoch is one Spark job.  Steps follow one another by nature, so the
+batch size, not the data, should grow with the cluster.
+
+Gumbel noise comes from a counter hash of (seed, row_id, epoch, expert), so it
+does not depend on partitioning or on re-execution after a lost executor.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from aletheia.operators.auc import grouped_auc
+from aletheia.operators.partials import matrix, sum_over
 from aletheia.plans.plans import param_grid
 from aletheia.session import materialize
 
@@ -34,7 +40,7 @@ HIDDEN = 64  # fixed value: router hidden units
 EPOCHS = 500  # fixed value: epochs per config in the experiment
 TEMPERATURE = 1.0  # forward() temperature actually used by the reference
 EPS = 1e-8  # fixed value: Gumbel epsilon
-BLOCK = 4096  # gradient doubles per output row
+BATCH_SIZE = 128  # fixed value: default rows per mini-batch
 PARAM_NAMES = ("W1", "b1", "W2", "b2", "We", "be")
 
 
@@ -43,25 +49,26 @@ PARAM_NAMES = ("W1", "b1", "W2", "b2", "We", "be")
 # ----------------------------------------------------------------------------
 
 
-def shapes(d: int, e: int, h: int = HIDDEN) -> dict[str, tuple[int, ...]]:
-    return {"W1": (h, d), "b1": (h,), "W2": (e, h), "b2": (e,), "We": (e, 2, d), "be": (e, 2)}
+def shapes(d: int, e: int, h: int = HIDDEN, bias: bool = True) -> dict[str, tuple[int, ...]]:
+    """``bias``: whether the experts have bias terms (the router always has)."""
+    out = {"W1": (h, d), "b1": (h,), "W2": (e, h), "b2": (e,), "We": (e, 2, d), "be": (e, 2)}
+    return out if bias else {k: v for k, v in out.items() if k != "be"}
 
 
-def init_params(d: int, e: int, seed: int, h: int = HIDDEN) -> dict[str, np.ndarray]:
+def init_params(d: int, e: int, seed: int, h: int = HIDDEN, bias: bool = True) -> dict[str, np.ndarray]:
     """Linear-layer default init: U(±1/sqrt(fan_in)) for weights and biases."""
     rng = np.random.default_rng(seed)
     fan = {"W1": d, "b1": d, "W2": h, "b2": h, "We": d, "be": d}
-    return {k: rng.uniform(-1, 1, s) / math.sqrt(fan[k]) for k, s in shapes(d, e, h).items()}
+    return {k: rng.uniform(-1, 1, s) / math.sqrt(fan[k]) for k, s in shapes(d, e, h, bias).items()}
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in PARAM_NAMES])
+    return np.concatenate([p[k].ravel() for k in PARAM_NAMES if k in p])
 
 
-def unflatten(v: np.ndarray, d: int, e: int, h: int = HIDDEN) -> dict[str, np.ndarray]:
+def unflatten(v: np.ndarray, d: int, e: int, h: int = HIDDEN, bias: bool = True) -> dict[str, np.ndarray]:
     out, i = {}, 0
-    for k in PARAM_NAMES:
-        s = shapes(d, e, h)[k]
+    for k, s in shapes(d, e, h, bias).items():
         n = int(np.prod(s))
         out[k] = v[i : i + n].reshape(s)
         i += n
@@ -102,7 +109,9 @@ def forward(p, X, u=None, route="gumbel", temperature=TEMPERATURE):
     pre = X @ p["W1"].T + p["b1"]
     hdn = np.maximum(pre, 0.0)
     r = hdn @ p["W2"].T + p["b2"]
-    z = np.einsum("ekd,nd->nek", p["We"], X) + p["be"][None, :, :]  # (n, E, 2)
+    z = np.einsum("ekd,nd->nek", p["We"], X)  # (n, E, 2)
+    if "be" in p:
+        z = z + p["be"][None, :, :]
     if route == "hard":
         sel = np.argmax(r, axis=1)
         return z[np.arange(len(X)), sel, :], {"sel": sel}
@@ -120,7 +129,9 @@ def grad_sums(p, X, y, u, temperature=TEMPERATURE):
     dout = prob.copy()
     dout[np.arange(len(y)), y] -= 1.0  # (n,2)
     dz = c["w"][:, :, None] * dout[:, None, :]  # (n,E,2)
-    g = {"We": np.einsum("nek,nd->ekd", dz, X), "be": dz.sum(0)}
+    g = {"We": np.einsum("nek,nd->ekd", dz, X)}
+    if "be" in p:
+        g["be"] = dz.sum(0)
     dw = np.einsum("nk,nek->ne", dout, c["z"])
     ds = c["w"] * (dw - (c["w"] * dw).sum(1, keepdims=True)) / temperature
     g["W2"] = ds.T @ c["hdn"]
@@ -141,68 +152,29 @@ def cosine_lr(lr: float, epoch: int, epochs: int, eta_min: float | None = None)
 # distributed training and scoring
 # ----------------------------------------------------------------------------
 
-_GRAD_SCHEMA = T.StructType(
-    [
-        T.StructField("config_id", T.IntegerType()),
-        T.StructField("block", T.IntegerType()),
-        T.StructField("g", T.ArrayType(T.DoubleType())),
-        T.StructField("loss", T.DoubleType()),
-        T.StructField("n", T.LongType()),
-    ]
-)
+def _gradients(batch: DataFrame, tasks: int, bc, epoch: int, seed: int) -> dict[int, tuple[np.ndarray, float, float]]:
+    """One Spark job: summed gradients, loss and rows of every config over the
+    rows of ``batch``."""
 
+    def sums(batches):
+        payload, acc = bc.value, {}
+        for rows in batches:
+            X = matrix(rows.column(2), rows.num_rows)
+            y, ids = rows.column(1).to_numpy().astype(np.int64), rows.column(0).to_numpy()
+            for cid, (e, flat) in payload["configs"].items():
+                p = unflatten(flat, payload["d"], e, payload["hidden"], payload["bias"])
+                g, loss = grad_sums(p, X, y, uniform_noise(seed + cid, ids, epoch, e))
+                v = np.concatenate((flatten(g), [loss, len(y)]))
+                acc[cid] = acc[cid] + v if cid in acc else v
+        return acc
 
-def _epoch_gradients(data: DataFrame, bc, epoch: int, seed: int) -> dict[int, tuple[np.ndarray, float, int]]:
-    """One Spark job: summed gradients of every config for this epoch."""
+    got = sum_over(batch.select("row_id", "y", "x"), tasks, sums)
+    return {cid: (v[:-2], v[-2], v[-1]) for cid, v in got.items()}
 
-    def run(batches):
-        payload = bc.value
-        d = payload["d"]
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["x"].values).astype(np.float64)
-            y = pdf["y"].values.astype(np.int64)
-            ids = pdf["row_id"].values
-            for cid, (e, flat) in payload["configs"].items():
-                p = unflatten(flat, d, e)
-                u = uniform_noise(seed + cid, ids, epoch, e)
-                g, loss = grad_sums(p, X, y, u)
-                v = flatten(g)
-                rows = []
-                for b in range(0, len(v), BLOCK):
-                    rows.append((cid, b // BLOCK, v[b : b + BLOCK], float(loss) if b == 0 else 0.0, len(y) if b == 0 else 0))
-                yield pd.DataFrame(rows, columns=["config_id", "block", "g", "loss", "n"])
-
-    parts = data.mapInPandas(run, _GRAD_SCHEMA)
-    gathered = parts.groupBy("config_id", "block").agg(
-        F.collect_list("g").alias("gs"), F.sum("loss").alias("loss"), F.sum("n").alias("n")
-    )
-    summed = gathered.select(
-        "config_id",
-        "block",
-        F.aggregate(
-            "gs",
-            F.transform(F.col("gs")[0], lambda _: F.lit(0.0)),
-            lambda acc, g: F.zip_with(acc, g, lambda a, b: a + b),
-        ).alias("g"),
-        "loss",
-        "n",
-    )
-    out: dict[int, list] = {}
-    for r in summed.collect():  # one gradient per config (parameter-sized)
-        out.setdefault(r.config_id, []).append((r.block, np.asarray(r.g), r.loss, r.n))
-    res = {}
-    for cid, blocks in out.items():
-        by_block: dict[int, np.ndarray] = {}
-        for b, g, _, _ in blocks:
-            by_block[b] = by_block[b] + g if b in by_block else g
-        res[cid] = (
-            np.concatenate([by_block[b] for b in sorted(by_block)]),
-            sum(t[2] for t in blocks),
-            sum(t[3] for t in blocks),
-        )
-    return res
+
+def dealt_batch(seed: int, epoch: int, n_batches: int) -> Column:
+    """The mini-batch of a row in an epoch: a hash of (row_id, seed, epoch)."""
+    return F.pmod(F.xxhash64(F.col("row_id"), F.lit(seed), F.lit(epoch)), F.lit(n_batches)).cast("int")
 
 
 def train_mixtures(
@@ -212,36 +184,52 @@ def train_mixtures(
     seed: int = 0,
     schedule: Callable[[float, int, int], float] | None = cosine_lr,
     x_col: str = "x",
+    batch_size: int | None = BATCH_SIZE,
+    hidden_dim: int = HIDDEN,
+    bias: bool = True,
 ) -> tuple[dict[int, dict[str, np.ndarray]], list[tuple[int, int, float]]]:
-    """Full-batch SGD (weight decay on all parameters) for every config
-    ``(config_id, num_experts, weight_decay, lr)`` in one pass per epoch.
-    Returns (params per config, loss history rows (config_id, epoch, loss))."""
+    """SGD (weight decay on all parameters) for every config ``(config_id,
+    num_experts, weight_decay, lr)``, all in the same passes.  ``batch_size`` is
+    the mean size of a mini-batch, None the whole data.  Returns (params per
+    config, loss history rows (config_id, epoch, mean loss of its steps))."""
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be positive, or None for all rows")
     spark = train.sparkSession
-    data = train.select("row_id", F.col(x_col).alias("x"), F.col("y").cast("int").alias("y"))
+    data = train.select("row_id", F.col("y").cast("int").alias("y"), F.col(x_col).alias("x"))
     n_rows = data.count()
+    if not n_rows:
+        raise ValueError("no rows to train on")
     d = len(data.select("x").first()[0])
     parts = max(spark.sparkContext.defaultParallelism, int(math.ceil(n_rows * (d * 8 + 24) / (64 * 1024 * 1024))))
-    data = data.coalesce(min(parts, max(1, data.rdd.getNumPartitions())))
-    try:  # hundreds of passes: cut lineage at a reliable checkpoint first
-        data = materialize(data)
-    except RuntimeError:  # no shared checkpoint dir: deterministic recompute
-        pass
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    params = {cid: flatten(init_params(d, e, seed + cid)) for cid, e, _, _ in grid}
+    tasks = min(parts, max(1, data.rdd.getNumPartitions()))
+    # hundreds of passes: lineage is cut at a reliable checkpoint first
+    data = materialize(data.coalesce(tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    n_batches = 1 if batch_size is None else -(-n_rows // batch_size)
+    params = {cid: flatten(init_params(d, e, seed + cid, hidden_dim, bias)) for cid, e, _, _ in grid}
     hist = []
     for epoch in range(epochs):
-        payload = {"d": d, "configs": {cid: (e, params[cid]) for cid, e, _, _ in grid}}
-        bc = spark.sparkContext.broadcast(payload)
-        grads = _epoch_gradients(data, bc, epoch, seed)
-        for cid, e, wd, lr in grid:
-            g, loss, n = grads[cid]
-            step = schedule(lr, epoch, epochs) if schedule else lr
-            grad = g / n + wd * params[cid]
-            params[cid] = params[cid] - step * grad
-            hist.append((cid, epoch, loss / n))
-        bc.unpersist()
+        dealt = data
+        if n_batches > 1:  # in memory by batch, so that a step reads its own rows only
+            dealt = data.withColumn("batch", dealt_batch(seed, epoch, n_batches)).sortWithinPartitions("batch")
+            dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+        losses: dict[int, list[float]] = {cid: [] for cid, *_ in grid}
+        for b in range(n_batches):
+            payload = {"d": d, "hidden": hidden_dim, "bias": bias, "configs": {cid: (e, params[cid]) for cid, e, _, _ in grid}}
+            bc = spark.sparkContext.broadcast(payload)
+            grads = _gradients(dealt if n_batches == 1 else dealt.where(F.col("batch") == b), tasks, bc, epoch, seed)
+            for cid, _, wd, lr in grid:
+                if cid not in grads:  # a batch without rows takes no step
+                    continue
+                g, loss, n = grads[cid]
+                step = schedule(lr, epoch, epochs) if schedule else lr
+                params[cid] = params[cid] - step * (g / n + wd * params[cid])
+                losses[cid].append(loss / n)
+            bc.unpersist()
+        if n_batches > 1:
+            dealt.unpersist()
+        hist += [(cid, epoch, sum(v) / len(v)) for cid, v in losses.items()]
     data.unpersist()
-    return {cid: unflatten(params[cid], d, e) for cid, e, _, _ in grid}, hist
+    return {cid: unflatten(params[cid], d, e, hidden_dim, bias) for cid, e, _, _ in grid}, hist
 
 
 def score_mixtures(
@@ -301,14 +289,18 @@ def mixture_grid(
     epochs: int = EPOCHS,
     seed: int = 0,
     route: str = "gumbel",
+    batch_size: int | None = None,
+    hidden_dim: int = HIDDEN,
+    bias: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train every grid config on the 'train' rows, AUC per source on
+    """Train every grid config on the 'train' rows (full batch, as the
+    experiment does, unless ``batch_size`` says otherwise), AUC per source on
     the 'test' rows.  Returns (scores(config_id, num_experts, weight_decay,
     lr, source, auc), params table)."""
     spark = rows.sparkSession
     grid_df = param_grid(spark, num_experts, weight_decays, lrs)
     grid = [(r.config_id, r.num_experts, r.weight_decay, r.lr) for r in grid_df.collect()]
-    params, _ = train_mixtures(rows.where(F.col("part") == "train"), grid, epochs, seed)
+    params, _ = train_mixtures(rows.where(F.col("part") == "train"), grid, epochs, seed, batch_size=batch_size, hidden_dim=hidden_dim, bias=bias)
     scored = score_mixtures(rows.where(F.col("part") == "test"), params, route, seed)
     auc = grouped_auc(scored, ["config_id", "source"], "score", "y")
     # every source for every config; NULL where it has no test rows

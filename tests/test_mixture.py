@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aletheia import fixtures
 from aletheia.operators import evaluate as E
 from aletheia.operators import mixture as MX
+from aletheia.operators import partials
 from aletheia.operators import report as RP
 from aletheia.operators.probeset import probe_set
 
@@ -57,18 +58,61 @@ def test_hard_routing_first_index_on_ties():
     assert (c["sel"] == 0).all()
 
 
-def test_distributed_training_equals_numpy_loop(spark):
+def numpy_training(train, batch_size, hidden, bias, seed, epochs, e=2, lr=1e-3, wd=1e-4):
+    """The same training as one NumPy loop; batches as Spark deals them."""
+    n = train.count()
+    n_batches = 1 if batch_size is None else -(-n // batch_size)
+    first = train.toPandas().sort_values("row_id")
+    X, y, ids = np.stack(first.x.values), first.y.values.astype(int), first.row_id.values
+    p = MX.flatten(MX.init_params(X.shape[1], e, seed, hidden, bias))
+    steps = 0
+    for ep in range(epochs):
+        dealt = train.select("row_id", MX.dealt_batch(seed, ep, n_batches).alias("b")).toPandas().sort_values("row_id").b.values
+        for b in range(n_batches):
+            at = dealt == b
+            if at.any():
+                shaped = MX.unflatten(p, X.shape[1], e, hidden, bias)
+                g, _ = MX.grad_sums(shaped, X[at], y[at], MX.uniform_noise(seed, ids[at], ep, e))
+                p = p - MX.cosine_lr(lr, ep, epochs) * (MX.flatten(g) / at.sum() + wd * p)
+                steps += 1
+    return p, steps
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+@pytest.mark.parametrize("n_batches,hidden,bias", [(1, 64, True), (7, 64, True), (7, 5, False)])
+def test_distributed_training_equals_numpy_loop(spark, parts, n_batches, hidden, bias):
     rows = E.cached(probe_set(fixtures.probe(spark, SF_SMALL)))
     train = rows.where("part = 'train'")
-    grid = [(0, 2, 1e-4, 1e-3)]
-    params, _ = MX.train_mixtures(train.repartition(6), grid, epochs=4, seed=0)
-    pdf = train.toPandas()
-    X, y, ids = np.stack(pdf.x.values), pdf.y.values.astype(int), pdf.row_id.values
-    p = MX.flatten(MX.init_params(8, 2, 0))
-    for ep in range(4):
-        g, _ = MX.grad_sums(MX.unflatten(p, 8, 2), X, y, MX.uniform_noise(0, ids, ep, 2))
-        p = p - MX.cosine_lr(1e-3, ep, 4) * (MX.flatten(g) / len(y) + 1e-4 * p)
-    assert np.abs(MX.flatten(params[0]) - p).max() < 1e-12
+    batch_size = None if n_batches == 1 else -(-train.count() // n_batches)
+    params, hist = MX.train_mixtures(
+        train.repartition(parts), [(0, 2, 1e-4, 1e-3)], epochs=3, seed=0, batch_size=batch_size, hidden_dim=hidden, bias=bias
+    )
+    want, steps = numpy_training(train, batch_size, hidden, bias, 0, 3)
+    assert np.abs(MX.flatten(params[0]) - want).max() < 1e-12
+    assert steps == 3 * n_batches and [h[:2] for h in hist] == [(0, 0), (0, 1), (0, 2)] and ("be" in params[0]) == bias
+
+
+def test_partials_are_added_in_a_tree(spark, monkeypatch):
+    rows = E.cached(probe_set(fixtures.probe(spark, SF_SMALL)))
+    train = rows.where("part = 'train'").repartition(7)
+    grid = [(0, 2, 1e-4, 1e-3), (3, 1, 1e-4, 1e-3)]
+    flat, _ = MX.train_mixtures(train, grid, epochs=2, batch_size=None)
+    monkeypatch.setattr(partials, "FAN_IN", 2)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 7)
+    tree, _ = MX.train_mixtures(train, grid, epochs=2, batch_size=None)
+    for cid in (0, 3):
+        assert np.abs(MX.flatten(flat[cid]) - MX.flatten(tree[cid])).max() < 1e-12
+
+
+def test_mini_batches_smaller_than_one_row_each_and_bad_input(spark):
+    train = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(5)], "row_id long, y int, x array<double>")
+    params, hist = MX.train_mixtures(train, [(0, 1, 0.0, 0.1)], epochs=2, batch_size=1)  # some batches are empty
+    want, steps = numpy_training(train, 1, 64, True, 0, 2, e=1, lr=0.1, wd=0.0)
+    assert np.abs(MX.flatten(params[0]) - want).max() < 1e-12 and 2 <= steps <= 10
+    with pytest.raises(ValueError):
+        MX.train_mixtures(train, [(0, 1, 0.0, 0.1)], batch_size=0)
+    with pytest.raises(ValueError):
+        MX.train_mixtures(train.limit(0), [(0, 1, 0.0, 0.1)])
 
 
 def test_grid_scores_and_best(spark):

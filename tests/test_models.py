@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,19 +30,55 @@ def rows(spark):
     return E.cached(probe_set(fixtures.probe(spark, SF_MID)))
 
 
-def test_block_fit_equals_separate_newton(spark, rows):
+@pytest.mark.parametrize("newton_dim", [256, 4])  # with Hessians, and by conjugate gradients
+def test_shared_passes_equal_separate_newton(spark, rows, monkeypatch, newton_dim):
+    from aletheia.operators import linear as L
+
+    monkeypatch.setattr(L, "NEWTON_DIM", newton_dim)
     pdf = rows.toPandas()
-    coefs, status = fit_many(rows.withColumn("model_id", F.col("source")).select("model_id", "x", "y"))
-    got = {r.model_id: np.array(r.w) for r in coefs.collect()}
-    assert set(got) == set(pdf.source)
-    for s, w in got.items():
-        q = pdf[pdf.source == s]
-        X, y = np.stack(q.x.values), q.y.values.astype(float)
-        ref = newton(X, y)
-        assert np.abs(w - ref).max() <= 1e-4 * np.abs(ref).max()
-        # KKT residual of the reference objective, relative to the weight scale
-        p = 1 / (1 + np.exp(-X @ w))
-        assert np.abs(w + 1e-4 * X.T @ (p - y)).max() < 1e-3 * np.abs(ref).max()
+    for C in (1e-4, 1.0):
+        coefs, status = fit_many(rows.withColumn("model_id", F.col("source")).select("model_id", "x", "y"), C=C)
+        got = {r.model_id: np.array(r.w) for r in coefs.collect()}
+        assert set(got) == set(pdf.source)
+        for s, w in got.items():
+            q = pdf[pdf.source == s]
+            ref = newton(np.stack(q.x.values), q.y.values.astype(float), C)
+            assert np.abs(w - ref).max() <= 1e-8 * np.abs(ref).max()
+        for r in status.collect():
+            assert r.fit_status == "ok" and r.steps >= 1 and 0 <= r.residual < 1e-8
+
+
+def test_rows_of_several_models_ragged_and_unfinished_fits(spark, rows, monkeypatch):
+    from aletheia.operators import linear as L
+
+    several = rows.withColumn("models", F.array(F.col("source"), F.lit("all")))
+    together = {r.model_id: np.array(r.w) for r in fit_many(several, "models")[0].collect()}
+    alone = {r.model_id: np.array(r.w) for r in fit_many(rows.withColumn("model_id", F.lit("all")))[0].collect()}
+    assert len(together) == 5 and np.abs(together["all"] - alone["all"]).max() < 1e-14
+    monkeypatch.setattr(L, "PASS_DOUBLES", 8)  # one model per pass
+    apart = {r.model_id: np.array(r.w) for r in fit_many(several, "models")[0].collect()}
+    assert set(apart) == set(together) and all(np.abs(apart[m] - together[m]).max() < 1e-14 for m in apart)
+    status = {r.model_id: r.fit_status for r in fit_many(rows.withColumn("model_id", F.col("source")), C=1.0, max_iter=1)[1].collect()}
+    assert set(status.values()) == {"not_converged"}
+    odd = spark.createDataFrame(
+        [("r", 1, [1.0]), ("r", 0, [1.0, 2.0]), ("n", 1, None), ("n", None, [1.0]), ("ok", 1, [1.0, 0.5]), ("ok", 0, [0.2, 2.0]), (None, 1, [1.0])],
+        "model_id string, y int, x array<double>",
+    )
+    coefs, status = fit_many(odd)
+    assert {r.model_id: r.fit_status for r in status.collect()} == {"r": "ragged", "ok": "ok"} and coefs.count() == 1
+    coefs, status = fit_many(odd.limit(0))
+    assert coefs.count() == status.count() == 0
+
+
+def test_scores_of_absent_models(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], [1.0, 2.0]), (2, ["b"], [0.0, 1.0]), (3, [], [1.0, 1.0]), (4, None, None)], "row_id long, m array<string>, x array<double>")
+    coefs = spark.createDataFrame([("a", [1.0, -1.0])], "model_id string, w array<double>")
+    from aletheia.operators.linear import score_models
+
+    got = score_models(rows, "m", coefs, ["row_id"], missing=0.0).collect()
+    want = 1 / (1 + np.exp(1.0))
+    assert sorted((r.row_id, r.model_id, round(r.score, 12)) for r in got) == [(1, "a", round(want, 12)), (1, "b", 0.0), (2, "b", 0.0)]
+    assert [r.model_id for r in score_models(rows, "m", coefs, ["row_id"]).collect()] == ["a"]
 
 
 def test_single_model_and_one_class_models(spark, rows):
@@ -82,15 +120,76 @@ def test_incremental_curve(spark, rows):
     assert [r.train_size for r in c] == [1, 2, 3] and all(r.std >= 0 for r in c)
 
 
-def test_pca_matches_numpy(spark, rows):
+@pytest.mark.parametrize("widest,block", [(4096, 256), (4096, 3), (4, 256)])  # Gram matrix, in blocks, range finder
+def test_pca_matches_numpy(spark, rows, monkeypatch, widest, block):
+    monkeypatch.setattr(CL, "GRAM_MAX_DIM", widest)
+    monkeypatch.setattr(CL, "GRAM_BLOCK", block)
     train = rows.where("part = 'train'")
     got = CL.pca3(train).orderBy("row_id").toPandas()
     X = np.stack(train.orderBy("row_id").toPandas().x.values)
     Xc = X - X.mean(0)
     _, _, vt = np.linalg.svd(Xc, full_matrices=False)
-    ref = Xc @ vt[:3].T
     for j in range(3):
-        assert np.allclose(np.abs(got[f"PC{j + 1}"].values), np.abs(ref[:, j]), atol=1e-9)
+        v = vt[j] * np.sign(vt[j][np.argmax(np.abs(vt[j]))])
+        assert np.allclose(got[f"PC{j + 1}"].values, Xc @ v, atol=1e-8)
+
+
+def test_pca_of_wide_vectors_and_bad_input(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 4)) * [9, 5, 2, 0.1] @ np.linalg.qr(rng.normal(size=(40, 4)))[0].T
+    df = spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(X)] + [(60, 1, None)], "row_id int, y int, x array<double>")
+    monkeypatch.setattr(CL, "GRAM_MAX_DIM", 8)
+    got = CL.pca3(df.where("x is not null")).toPandas().sort_values("row_id")
+    Xc = X - X.mean(0)
+    _, _, vt = np.linalg.svd(Xc, full_matrices=False)
+    for j in range(3):
+        assert np.allclose(np.abs(got[f"PC{j + 1}"].values), np.abs(Xc @ vt[j]), atol=1e-7)
+    with pytest.raises(ValueError):
+        CL.pca3(df.limit(0))
+    with pytest.raises(ValueError):
+        CL.pca3(df.where("x is not null"), k=41)
+
+
+def numpy_kmeans(ids, X, ks, seed=CL.KMEANS_SEED):
+    """The seeding and the steps as one NumPy program."""
+    def u(*parts):
+        return (int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    far = lambda c: ((X[:, None, :] - c[None]) ** 2).sum(2)
+    picked = []
+    for rnd in range(CL.ROUNDS + 1):
+        w = far(X[picked]).min(1) if picked else np.ones(len(X))
+        luck = sorted((-np.log(u(seed, rnd, i)) / d, i, at) for at, (i, d) in enumerate(zip(ids, w)) if d > 0)
+        picked += [at for _, _, at in luck[: 2 * max(ks) if rnd else 1]]
+    c = X[picked]
+    weight = np.bincount(far(c).argmin(1), minlength=len(c))
+    stop = CL.KMEANS_TOL * X.var(0).mean()
+    out = {}
+    for k in ks:
+        centres = CL._reduce([ids[p] for p in picked], c, weight, k, seed)
+        for _ in range(CL.KMEANS_MAX_ITER):
+            at = far(centres).argmin(1)
+            new = np.stack([X[at == j].mean(0) if (at == j).any() else centres[j] for j in range(k)])
+            moved, centres = ((new - centres) ** 2).sum(), new
+            if moved <= stop:
+                break
+        out[k] = centres
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_kmeans_equals_numpy(spark, rows, parts):
+    train = rows.where("part = 'train'")
+    pdf = train.toPandas().sort_values("row_id")
+    want = numpy_kmeans([int(i) for i in pdf.row_id], np.stack(pdf.x.values), [1, 2, 3, 5])
+    got = CL.kmeans_fit(train.repartition(parts), [1, 2, 3, 5])
+    for k in want:
+        assert np.abs(want[k] - got[k]).max() < 1e-9
+    assert np.allclose(got[1][0], np.stack(pdf.x.values).mean(0))
+    clusters = {r.row_id: r.clusters for r in CL.assign_all(train, got).collect()}
+    X = np.stack(pdf.x.values)
+    for j, k in enumerate(sorted(got)):
+        assert [clusters[i][j] for i in pdf.row_id] == ((X[:, None, :] - got[k][None]) ** 2).sum(2).argmin(1).tolist()
 
 
 def test_kmeans_k1_and_sizes(spark, rows):
@@ -99,6 +198,17 @@ def test_kmeans_k1_and_sizes(spark, rows):
     _, assign3 = CL.kmeans_assign(rows, 3)
     sizes = CL.cluster_sizes(assign3(rows), 5).orderBy("cluster").collect()
     assert len(sizes) == 5 and sizes[4].n == 0 and sum(r.n for r in sizes) == rows.count()
+    members = CL.cluster_members(assign3(rows), 5).orderBy("cluster").collect()
+    assert [r.n for r in members] == [r.n for r in sizes] and members[4].row_ids == [] and members[0].row_ids == sorted(members[0].row_ids)
+    with pytest.raises(ValueError):
+        CL.kmeans_fit(rows, [0])
+
+
+def test_kmeans_of_fewer_points_than_centres(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)] + [(9, None)], "row_id long, x array<double>")
+    got = CL.kmeans_fit(same, [1, 3])
+    assert got[3].tolist() == [[1.0, 2.0]] * 3
+    assert [(r.row_id, r.clusters) for r in CL.assign_all(same, got).orderBy("row_id").collect()] == [*((i, [0, 0]) for i in range(4)), (9, None)]
 
 
 def test_kmeans_sweep_table(spark):
@@ -127,18 +237,6 @@ def test_nearest_centre_ties_first(spark):
     assert out == [0, 0]
 
 
-def test_chunked_fit_equals_single_fit(spark, rows, monkeypatch):
-    from aletheia.operators import linear as L
-
-    train = rows.withColumn("model_id", F.col("source")).select("model_id", "x", "y")
-    whole = {r.model_id: np.array(r.w) for r in L.fit_many(train)[0].collect()}
-    monkeypatch.setattr(L, "MAX_COEFS_PER_FIT", 8)  # d = 8: one model per MLlib fit
-    chunked = {r.model_id: np.array(r.w) for r in L.fit_many(train)[0].collect()}
-    assert set(whole) == set(chunked)
-    for k in whole:
-        assert np.abs(whole[k] - chunked[k]).max() <= 1e-4 * np.abs(whole[k]).max()
-
-
 def test_separate_mode_statuses_on_natural_sources(spark):
     """20 real sources: single-class ones get NULL ('one_class'), sources the
     stratified splitter refuses get NULL ('too_few'), the rest an AUC."""
