@@ -1,5 +1,6 @@
 """Brute-force checks and edge cases of the operators over texts."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -31,10 +32,15 @@ EDGE = [(None, "lonely words of a row without an id, long enough to count " * 3)
 # --- packing -------------------------------------------------------------------
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    ids = Tokenizer.from_file(packing.vocabulary()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(packing.vocabulary())
+
+
+def reference_ids(text):
+    ids = reference_tokenizer().encode(text or "", add_special_tokens=False).ids
     return ids + [1]
 
 
@@ -68,6 +74,47 @@ def test_packing_edges_and_tables(spark):
     assert packing.pack(frame(spark, []), size=64).count() == 0
 
 
+SIGNS = ["a", "Zb", "é", "Ü", "ß", "×", "÷", "İ", "e\u0301", "\u0307", "漢", "😀", "7", "42", "٣", "'s", "'", "’", ".", "!?", "<|", "<|endoftext|>", "|>", "-", "\u00a0", "\u2028", "#", "ñandú", "don't", "&&&", " ", "\n", "\t"]
+
+
+@pytest.mark.parametrize("most,clash", [(10**6, False), (30, False), (10**6, True)])
+def test_word_ids_equal_the_tokenizer(monkeypatch, most, clash):
+    """Whole texts through the tokenizer, against parts of words: also with few
+    words kept, and with hashes that many words share."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from aletheia.llm.common import text_buffer
+
+    if clash:
+        monkeypatch.setattr(packing, "hash_words", lambda buf, s, e: (buf[s] % 5).astype(np.uint64))
+    rng = random.Random(most)
+    words_ = packing.WordIds(packing.vocabulary(), most)
+    tok = Tokenizer.from_file(packing.vocabulary())
+    for _ in range(6):
+        texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+        ids, bound = words_.of(*text_buffer(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[bound[k] : bound[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing_of_long_texts_at_the_real_size(spark):
+    rng = random.Random(8)
+    texts = [(1, words(rng, 60_000, vocab=5000)), (2, "é" * 9000), (3, None), (4, words(rng, 4000)), (4, words(rng, 30))]
+    rows = packing.pack(frame(spark, texts)).collect()
+    check_packing(rows, texts, packing.SIZE)
+    assert max(r.piece for r in rows) >= 14 and max(r.length for r in rows) == packing.SIZE
+
+
+def test_pieces_meet_few_plan_records(spark):
+    """Many records per length: a piece joins those of its stretch of ranks only."""
+    rng = random.Random(9)
+    texts = [(i, words(rng, int(rng.lognormvariate(2.5, 0.8)) + 1)) for i in range(1500)]
+    packed = packing.pack(frame(spark, texts), size=200)
+    check_packing(packed.collect(), texts, 200)
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(30):
