@@ -25,11 +25,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
-    return chat.digests(rows.unionByName(extra)).drop("valid")
+    return chat.digests(rows.unionByName(extra))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +119,17 @@ ORACLE = {
           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         marked AS (
           SELECT *, length(text) + length(text) - length(translate(text, '~<|[', '')) + length(role)
-                 + length(role) - length(translate(role, '~<|[', '')) + 8 AS formatted FROM rows)
-        SELECT conv_id, count(*) AS n_turns,
+                 + length(role) - length(translate(role, '~<|[', '')) + 8 AS formatted,
+            lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM rows),
+        ordered AS (
+          SELECT *, CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                    WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END AS legal FROM marked)
+        SELECT conv_id, count(*) AS n_turns, bool_and(legal) AS valid, min(turn) FILTER (NOT legal) AS first_bad_turn,
           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
           sum(formatted)::BIGINT AS formatted_chars
-        FROM marked GROUP BY conv_id""",
+        FROM ordered GROUP BY conv_id""",
     "op9_exact_top_k_search": """
         WITH v AS (
           SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings

@@ -114,5 +114,5 @@ def digests(conversations: DataFrame, template: ChatTemplate = ChatTemplate()) -
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "valid",
+        "valid", "first_bad_turn",
     )

@@ -13,6 +13,9 @@ from aletheia.llm.common import id_text
 
 #: Bound on labelled documents that a fit reads (fits only; scoring is over all).
 MAX_FIT_DOCS = 8_000
+#: Longer texts (in UTF-8 bytes) are not fitted on; with the bound above a fit
+#: reads at most a gigabyte, whatever the corpus.
+MAX_FIT_BYTES = 1 << 17
 
 
 def fold(folds: int) -> Column:
@@ -20,14 +23,16 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, label: str, keep: Column, train: Callable, max_docs: int = MAX_FIT_DOCS):
+def fit_on(docs: DataFrame, labels: DataFrame, label: str, keep: Column, train: Callable, max_docs: int = MAX_FIT_DOCS, max_bytes: int = MAX_FIT_BYTES):
     """``train(texts, y)`` in one task over at most ``max_docs`` labelled rows,
     those with the smallest id hash among rows for which ``keep`` holds.
-    Labels other than 0 and 1 are ignored.  Returns what ``train`` returns."""
+    Labels other than 0 and 1 are ignored, and so are texts of more than
+    ``max_bytes``.  Returns what ``train`` returns."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     chosen = y.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_docs)  # its bound lets it be broadcast
     rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = rows.where(F.octet_length("text") <= max_bytes)
 
     def run(batches):
         pdf = pd.concat(list(batches), ignore_index=True)

@@ -22,23 +22,51 @@ from aletheia.llm.common import id_text
 
 # The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Notice phrases of the method's own labels.
+# Notice phrases of the method's own labels; of phrases that start together the longest counts.
 NOTICE_PHRASES = {
-    "licensed under cc by nc": "cc-by-nc", "licensed under cc by": "cc-by", "licensed under cc0": "cc0",
-    "creative commons attribution": "cc-by", "creative commons zero": "cc0",
+    "licensed under cc by": "cc-by", "licensed under cc by sa": "cc-by-sa", "licensed under cc by nd": "cc-by-nd",
+    "licensed under cc by nc": "cc-by-nc", "licensed under cc by nc sa": "cc-by-nc-sa", "licensed under cc by nc nd": "cc-by-nc-nd",
+    "licensed under cc0": "cc0", "creative commons zero": "cc0",
+    "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa", "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd", "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc", "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd", "creative commons attribution noncommercial noderivs": "cc-by-nc-nd",
     "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "redistribution and use in source and binary forms": "bsd",
     "permission is hereby granted free of charge": "mit", "apache license version 2": "apache",
     "mozilla public license": "mpl", "lesser general public license": "lgpl", "affero general public license": "agpl",
-    "eclipse public license": "epl", "isc license": "isc", "boost software license": "bsl", "all rights reserved": "proprietary",
+    "eclipse public license": "epl", "isc license": "isc", "boost software license": "bsl", "business source license": "busl",
+    "common development and distribution license": "cddl", "zlib license": "zlib", "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-# SPDX identifier prefixes -> label.
-ID_LABELS = {
-    "mit": "mit", "apache": "apache", "lgpl": "lgpl", "agpl": "agpl", "gpl": "gpl", "bsd": "bsd", "mpl": "mpl", "epl": "epl",
-    "isc": "isc", "bsl": "bsl", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by": "cc-by", "unlicense": "unlicense",
+# Label -> whole identifiers (family and version, lower case) and what the licence asks for.
+LICENSES = {
+    "mit": (r"mit(-0|-cmu|-modern-variant)?", "notice"),
+    "apache": (r"apache(-[12](\.[01])?)?", "notice"),
+    "bsd": (r"0bsd|bsd(-[1-4]-clause(-[a-z0-9-]+)?|-source-code)?", "notice"),
+    "isc": (r"isc", "notice"),
+    "bsl": (r"bsl-1\.0", "notice"),
+    "zlib": (r"zlib(-acknowledgement)?", "notice"),
+    "unlicense": (r"unlicense", "nothing"),
+    "cc0": (r"cc0(-1\.0)?", "nothing"),
+    "cc-by": (r"cc-by(-[1-4]\.[05](-[a-z]+)?)?", "notice"),
+    "cc-by-sa": (r"cc-by-sa(-[1-4]\.[015](-[a-z]+)?)?", "share-alike"),
+    "cc-by-nd": (r"cc-by-nd(-[1-4]\.[05](-[a-z]+)?)?", "no derivatives"),
+    "cc-by-nc": (r"cc-by-nc(-[1-4]\.[05](-[a-z]+)?)?", "no commerce"),
+    "cc-by-nc-sa": (r"cc-by-nc-sa(-[1-4]\.[05](-[a-z]+)?)?", "no commerce, share-alike"),
+    "cc-by-nc-nd": (r"cc-by-nc-nd(-[1-4]\.[05](-[a-z]+)?)?", "no commerce, no derivatives"),
+    "gpl": (r"gpl(-[123](\.0)?(\+|-only|-or-later)?(-with-[a-z0-9.-]+)?)?", "share-alike"),
+    "lgpl": (r"lgpl(-(2|2\.0|2\.1|3|3\.0)(\+|-only|-or-later)?)?", "share-alike"),
+    "agpl": (r"agpl(-[13](\.0)?(\+|-only|-or-later)?)?", "share-alike"),
+    "mpl": (r"mpl(-(1\.0|1\.1|2\.0|2)(-no-copyleft-exception)?)?", "share-alike by file"),
+    "epl": (r"epl(-[12]\.0)?", "share-alike by file"),
+    "cddl": (r"cddl(-1\.[01])?", "share-alike by file"),
+    "busl": (r"busl-1\.1|bsl-1\.1", "no production use"),
 }
+#: Label of an identifier that no rule knows.
+UNKNOWN = "unknown"
 #: Labels whose terms allow reuse with notice only.
-PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense"})
+PERMISSIVE = frozenset(label for label, (_, terms) in LICENSES.items() if terms in ("notice", "nothing"))
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = bytes(
@@ -51,9 +79,13 @@ _PRIORITY = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean"
 
 
-def label_of(identifier: str) -> str | None:
-    x = identifier.lower()
-    return next((ID_LABELS[p] for p in sorted(ID_LABELS, key=len, reverse=True) if x.startswith(p)), None)
+_IDS = {label: re.compile(rule) for label, (rule, _) in LICENSES.items()}
+
+
+def label_of(identifier: str) -> str:
+    """Label of a whole identifier; ``UNKNOWN`` if no rule matches all of it."""
+    x = identifier.lower().rstrip(".:")
+    return next((label for label, rule in _IDS.items() if rule.fullmatch(x)), UNKNOWN)
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -108,7 +140,7 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
                 stack.append((left[0] | right[0], ok))
         else:
             lab = label_of(tok)
-            stack.append(({lab} if lab else set(), lab in PERMISSIVE))
+            stack.append(({lab}, lab in PERMISSIVE))
     return stack[0]
 
 
@@ -126,15 +158,17 @@ def _automaton():
 def scan_text(text: str) -> tuple:
     words = text.encode().translate(_WORDS).split()
     line = " " + b" ".join(words).decode("latin-1") + " "  # byte for byte
-    base, labels, tag, at, seen = [], set(), False, 0, 0
+    base, notices, tag, at, seen = [], {}, False, 0, 0
     for end, phrase in _automaton().iter(line):
         start = end - len(phrase)  # of the phrase's first letter
         if phrase in BASE_PHRASES:
             seen += line.count(" ", at, start)
             at = start
             base.append((seen - 1, BASE_PHRASES[phrase]))
-        labels |= {NOTICE_PHRASES[phrase]} if phrase in NOTICE_PHRASES else set()
+        if phrase in NOTICE_PHRASES:
+            notices[start] = phrase  # longer ones of the same start end later
         tag |= phrase == TAG
+    labels = {NOTICE_PHRASES[phrase] for phrase in notices.values()}
     found = [x for x in map(evaluate, _TAG_RE.findall(text)) if x] if tag else []
     for labs, _ in found:
         labels |= labs

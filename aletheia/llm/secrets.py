@@ -73,22 +73,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _parts(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Parts of a run that no base span covers, ``LEAST`` characters or longer."""
-    out = []
-    for s, e, _ in sorted(base):
-        if s < end and e > start:
-            out.append((start, s))
-            start = max(start, e)
-    return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST]
-
-
-def random_spans(text: str, path: str, most: float = MAX_CHARS_PER_TOKEN, base: list[tuple[int, int, str]] = []) -> list[tuple[int, int, str]]:  # noqa: B006
-    out = []
+class _Free:
+    """What the base spans leave free; asked for runs from left to right."""
+
+    def __init__(self, base: list[tuple[int, int, str]]):
+        self.taken: list[list[int]] = []  # apart from each other, in order
+        for s, e, _ in sorted(base):
+            if self.taken and s <= self.taken[-1][1]:
+                self.taken[-1][1] = max(self.taken[-1][1], e)
+            else:
+                self.taken.append([s, e])
+        self.at = 0
+
+    def parts(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Free parts of [start, end) of ``LEAST`` characters or more."""
+        while self.at < len(self.taken) and self.taken[self.at][1] <= start:
+            self.at += 1
+        out, k = [], self.at
+        while k < len(self.taken) and self.taken[k][0] < end:
+            out.append((start, self.taken[k][0]))
+            start = max(start, self.taken[k][1])
+            k += 1
+        return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST]
+
+
+def random_spans(text: str, path: str, most: float = MAX_CHARS_PER_TOKEN, base: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
+    out, free = [], _Free(base or [])
     for m in _CANDIDATE.finditer(text):
         if _UUID.fullmatch(m.group()) or _ADDRESS.search(text[max(0, m.start() - 40) : m.start()]):
             continue
-        for start, end in _parts(m.start(), m.end(), base):
+        for start, end in free.parts(m.start(), m.end()):
             x = text[start:end]
             if not _LETTER.search(x):
                 continue

@@ -6,7 +6,7 @@ is labelled 1.  The field sees, for a token and its neighbours, how far (in
 bins) the word leans to toxic documents.  Forward-backward marginals of all
 tokens give the offending spans and, summed, the document's score, calibrated
 on the fitting rows.  The field is fitted on all tokens of the fitting rows
-(``fit_on`` bounds their number, nothing bounds their tokens).
+(``fit_on`` bounds their number and the bytes of each).
 
 Null, empty and wordless texts get the score of a text without offending
 words; without any labelled rows nothing is offending and every score is low.  Texts are taken whole: neighbours
@@ -16,6 +16,8 @@ text in pieces of ``FIT_CHAIN`` words (no move across a cut).  Rows repeat as gi
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from aletheia.llm.common import LOWER, U64, blocks, find_words, hash_words, id_t
 from aletheia.llm.fitting import fit_on, fold
 
 FOLDS, HELD_OUT = 5, 0
+#: Words of a piece in which the fit counts moves (a parameter, ``fit_chain``).
 FIT_CHAIN = 64
 #: Bins of a word's log-odds between toxic and other documents.
 BINS = np.array([0.7, 1.5, 2.5, 3.5])
@@ -77,46 +80,69 @@ def _document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(total), most, np.log1p(100 * total / np.maximum(size, 20))], axis=1)
 
 
-def train(texts: list[str], y: np.ndarray) -> dict:
-    model = {"words": np.zeros(0, U64), "bins": np.zeros(0, np.int64), "w": np.zeros(3 * (len(BINS) + 1)), "move": np.zeros((2, 2)), "cal": np.zeros(4)}
-    if not len(texts) or y.min() == y.max():
-        model["cal"][0] = 4.0 if len(texts) and y[0] else -4.0
-        return model
+def _runs(texts: list[str]):
+    """(first text, texts, text number and word hash of every token) of runs of whole texts."""
     buf, offs = text_buffer(pa.array(texts, pa.large_string()))
-    hs, ds = [], []
     for i, j in blocks(offs):
-        o = offs[i : j + 1] - offs[i]
-        _, _, d, h = _tokens(buf[offs[i] : offs[j]], o)
-        hs.append(h)
-        ds.append(d + i)
-    h, d = np.concatenate(hs), np.concatenate(ds)
-    n, n_toxic = len(texts), int(y.sum())
-    # documents of either kind that hold a word
-    order = np.lexsort((d, h))
-    first = np.ones(len(h), bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
-    words, which = np.unique(h[order][first], return_inverse=True)
-    bad = np.bincount(which, y[d[order][first]], minlength=len(words))
-    good = np.bincount(which, minlength=len(words)) - bad
+        _, _, d, h = _tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        yield i, j - i, d, h
+
+
+def _offending_words(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (hashes, sorted) that lean to toxic documents, and their bins."""
+    found = []
+    for i, _, d, h in _runs(texts):  # documents of either kind that hold a word, run by run
+        o = np.lexsort((d, h))
+        first = np.ones(len(h), bool)
+        first[1:] = (h[o][1:] != h[o][:-1]) | (d[o][1:] != d[o][:-1])
+        words, which = np.unique(h[o][first], return_inverse=True)
+        found.append((words, np.bincount(which, minlength=len(words)), np.bincount(which, y[i + d[o][first]], minlength=len(words))))
+    words, which = np.unique(np.concatenate([w for w, _, _ in found]), return_inverse=True)
+    every, bad = (np.bincount(which, np.concatenate([f[k] for f in found]), minlength=len(words)) for k in (1, 2))
+    good, n, n_toxic = every - bad, len(texts), int(y.sum())
     odds = np.log((bad + 0.5) / (n_toxic + 1)) - np.log((good + 0.5) / (n - n_toxic + 1))
     keep = (bad >= max(3, 0.01 * n_toxic)) & (odds > BINS[0])
-    model["words"], model["bins"] = words[keep], np.searchsorted(BINS, odds[keep])
-    lengths = np.bincount(d, minlength=n)
-    f = _features(h, lengths, model)
-    label = ((f[:, 0] >= OFFENDING) & (y[d] == 1)).astype(np.int64)
-    if len(f):
+    return words[keep], np.searchsorted(BINS, odds[keep])
+
+
+def _bins_of(code: np.ndarray) -> np.ndarray:
+    return np.stack([code // (K * K), code // K % K, code % K], axis=1)
+
+
+def train(texts: list[str], y: np.ndarray, fit_chain: int = FIT_CHAIN) -> dict:
+    """The fitted field.  Texts are gone through in runs; of a token only one
+    byte stays (its features and label)."""
+    model = {"words": np.zeros(0, U64), "bins": np.zeros(0, np.int64), "w": np.zeros(3 * (len(BINS) + 1)), "move": np.zeros((2, 2)), "cal": np.zeros(4)}
+    if not len(texts) or y.min() == y.max():
+        model["cal"][0] = 4.0 if len(texts) and y[0] else -4.0
+        return model
+    model["words"], model["bins"] = _offending_words(texts, y)
+    codes, runs = [], []
+    for i, m, d, h in _runs(texts):
+        lengths = np.bincount(d, minlength=m)
+        f = _features(h, lengths, model)
+        label = (f[:, 0] >= OFFENDING) & (y[i + d] == 1)
+        codes.append((2 * (f @ [K * K, K, 1]) + label).astype(np.uint8))
+        runs.append(lengths)
+    code = np.concatenate(codes)
+    if len(code):
         # every chain counts; equal ones are summed once
-        kinds, row = np.unique(f @ [K * K, K, 1], return_inverse=True)
-        at, sizes, times = crf.distinct_chains((2 * row + label).astype(np.uint16), crf.cut_chains(lengths, FIT_CHAIN))
-        x = _one_hot(np.stack([kinds // (K * K), kinds // K % K, kinds % K], axis=1))
-        model["w"], model["move"] = crf.fit(x, label[at], sizes, row=row[at], times=times)
-    p = crf.marginals(_unary(f, model), lengths, model["move"])
-    model["cal"] = crf.fit_logistic(_document_features(p, d, n), y.astype(float))
+        at, sizes, times = crf.distinct_chains(code, crf.cut_chains(np.concatenate(runs), fit_chain))
+        kinds, row = np.unique(code[at] >> 1, return_inverse=True)
+        x = _one_hot(_bins_of(kinds.astype(np.int64)))
+        model["w"], model["move"] = crf.fit(x, (code[at] & 1).astype(np.int64), sizes, row=row, times=times)
+    features = []
+    for part, lengths in zip(codes, runs):
+        p = crf.marginals(_unary(_bins_of((part >> 1).astype(np.int64)), model), lengths, model["move"])
+        features.append(_document_features(p, np.repeat(np.arange(len(lengths)), lengths), len(lengths)))
+    model["cal"] = crf.fit_logistic(np.concatenate(features), y.astype(float))
     return model
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, **bound) -> dict:
-    return fit_on(docs, labels, "toxic", fold(FOLDS) != HELD_OUT, train, **bound)
+    """``bound``: ``max_docs`` and ``max_bytes`` of ``fit_on``, ``fit_chain`` of ``train``."""
+    chain = bound.pop("fit_chain", FIT_CHAIN)
+    return fit_on(docs, labels, "toxic", fold(FOLDS) != HELD_OUT, partial(train, fit_chain=chain), **bound)
 
 
 SCHEMA = "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>"
@@ -143,19 +169,22 @@ def toxicity_spans(docs: DataFrame, model: dict) -> DataFrame:
             for i, j in blocks(offs):
                 o, b = offs[i : j + 1] - offs[i], buf[offs[i] : offs[j]]
                 s, e, d, p, z = _score(b, o, m)
-                spans: list[list[dict]] = [[] for _ in range(j - i)]
-                last = -2
-                for t in np.flatnonzero(p >= 0.5):
-                    k = int(d[t])
-                    chars = lambda q, k=k: len(b[o[k] : q].tobytes().decode("utf-8", "replace"))
-                    if t == last + 1 and spans[k]:
-                        spans[k][-1]["end"] = chars(e[t])
-                        spans[k][-1]["p"] = max(spans[k][-1]["p"], float(p[t]))
-                    else:
-                        spans[k].append({"start": chars(s[t]), "end": chars(e[t]), "p": float(p[t])})
-                    last = t
+                chars = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))  # code points before each byte
+                t = np.flatnonzero(p >= 0.5)
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1] + 1) | (d[t[1:]] != d[t[:-1]])
+                first = np.flatnonzero(new)
+                last = np.concatenate((first[1:], [len(t)]))[: len(first)] - 1
+                own = d[t[first]]
+                zero = chars[o[own]]
+                most = np.maximum.reduceat(p[t], first) if len(first) else np.zeros(0)
+                spans = pa.StructArray.from_arrays(
+                    [pa.array(chars[s[t[first]]] - zero), pa.array(chars[e[t[last]]] - zero), pa.array(most)], fields=list(span)
+                )
+                ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=j - i))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(z, pa.float64()), pa.array(spans, pa.list_(span))], names=["doc_id", "score", "spans"]
+                    [batch.column(0).slice(i, j - i), pa.array(z, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)],
+                    names=["doc_id", "score", "spans"],
                 )
 
     return id_text(docs).mapInArrow(score, SCHEMA)
