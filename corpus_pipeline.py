@@ -5,10 +5,16 @@ best-fit packing.  The first four return the columns of ``documents``; toxic
 documents, all but one document of each near-duplicate group and documents that
 hold a benchmark item go, secrets are replaced in place; the last returns the
 packed pieces.  No SQL equivalent: a fitted model, components and packing.
+
+Null and empty texts are clean, alike to none, leak nothing and are packed as one
+end token each.  Rows that repeat a doc_id are judged each by its own text, but
+for the near-duplicate stage, which keeps or drops a doc_id as a whole; rows
+without a doc_id all pass it.  Other columns stay up to the last stage.  Without
+labels nothing is toxic; an empty table gives an empty result.
 """
 
 from aletheia.llm import decontaminate, jaccard, packing, secrets, toxicity
-from aletheia.llm.common import materialize, table
+from aletheia.llm.common import stored, table
 
 ORACLE_SQL = None
 
@@ -48,5 +54,5 @@ def run(spark, sf_dir):
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs)
+            docs = stored(docs)
     return docs
