@@ -6,6 +6,7 @@ caller (also such with clashing names) never meet an internal column.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,26 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def release_memory() -> None:
+    """Give memory that a finished task left in the allocators back to the system.
+    Python workers are reused by later tasks and stand beside the JVM meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """``run(batches)`` that releases memory once its batches are through."""
+
+    def whole(batches):
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aletheia.llm.common import blocks, id_text, text_buffer
+from aletheia.llm.common import blocks, id_text, text_buffer, tidy
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def fill_in_middle(docs: DataFrame, fmt: FimFormat = FimFormat()) -> DataFrame:
             for i, j in blocks(offs):
                 yield _transform(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], fmt)
 
-    return id_text(docs).mapInArrow(run, SCHEMA)
+    return id_text(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def restore(filled: DataFrame, fmt: FimFormat = FimFormat()) -> DataFrame:

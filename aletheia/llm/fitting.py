@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aletheia.llm.common import id_text
+from aletheia.llm.common import id_text, release_memory
 
 #: Bound on labelled documents that a fit reads (fits only; scoring is over all).
 MAX_FIT_DOCS = 8_000
@@ -39,6 +39,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, keep: Column, train:
         pdf = pdf[pdf["y"].notna()].astype({"y": "int64"})
         pdf = pdf.sort_values(["doc_id", "text", "y"], kind="stable").drop_duplicates(["text", "y"])
         yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["y"].to_numpy()))]})
+        del pdf
+        release_memory()
 
     # the row without a label keeps the task alive when nothing is labelled
     empty = docs.sparkSession.createDataFrame([(None, "", None)], "doc_id long, text string, y int")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aletheia.llm.common import LOWER, NOT_SPACE, U64, _BASE, blocks, find_words, hash_words, id_text, materialize, mix, shingles, stored, text_buffer
+from aletheia.llm.common import LOWER, NOT_SPACE, U64, _BASE, blocks, find_words, hash_words, id_text, materialize, mix, shingles, stored, text_buffer, tidy
 from aletheia.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -91,7 +91,7 @@ def hot_shingles(text: DataFrame, k: int, n_docs: int) -> np.ndarray:
             often = n >= max(2, batch.num_rows // (2 * HOT_ONE_IN))
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
-    seen = text.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    seen = text.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = max(2, n_docs // HOT_ONE_IN)
     rows = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(U64))
@@ -130,7 +130,7 @@ def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
                     names=[x.split()[0] for x in SETS.split(", ")],
                 )
 
-    return text.mapInArrow(build, SETS)
+    return text.mapInArrow(tidy(build), SETS)
 
 
 # --- cells ---------------------------------------------------------------------
@@ -282,7 +282,7 @@ def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False)
         if held:
             yield rows(found, False)
 
-    return cells.mapInArrow(search, "cell long, a long, b long, score double, star long")
+    return cells.mapInArrow(tidy(search), "cell long, a long, b long, score double, star long")
 
 
 def best_pairs(found: DataFrame, every: bool) -> DataFrame:
@@ -320,7 +320,7 @@ def verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFra
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
 
-    return both.mapInArrow(test, "u long, v long").distinct()
+    return both.mapInArrow(tidy(test), "u long, v long").distinct()
 
 
 def shared_cells(reps: DataFrame, n_buckets: int, parts: int) -> DataFrame:
@@ -368,8 +368,8 @@ def shared_cells(reps: DataFrame, n_buckets: int, parts: int) -> DataFrame:
         if held:
             yield cells(held)
 
-    packed = reps.select("doc_id", "first").mapInArrow(deal, "bucket int, postings binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cell long, doc_id long").distinct()
+    packed = reps.select("doc_id", "first").mapInArrow(tidy(deal), "bucket int, postings binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "cell long, doc_id long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

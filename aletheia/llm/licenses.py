@@ -18,7 +18,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from aletheia.llm.common import id_text
+from aletheia.llm.common import id_text, tidy
 
 # The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -192,4 +192,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*map(scan_text, part.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
-    return id_text(docs).mapInArrow(scan, SCHEMA)
+    return id_text(docs).mapInArrow(tidy(scan), SCHEMA)

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aletheia.llm.common import LOWER, NOT_SPACE, U64, blocks, byte_class, find_words, hash_words, id_text, materialize, text_buffer
+from aletheia.llm.common import LOWER, NOT_SPACE, U64, blocks, byte_class, find_words, hash_words, id_text, materialize, text_buffer, tidy
 
 SIZE = 4096
 END_ID = 1
-#: Words of which a Python worker keeps the ids (about 70 bytes each).
-MEMO_WORDS = 2_000_000
+#: Words of which a Python worker keeps the ids (about 50 bytes each).
+MEMO_WORDS = 1_000_000
 #: Plan records that may be broadcast (about 50 bytes each).
 PLAN_BROADCAST_ROWS = 500_000
 
@@ -104,9 +104,9 @@ class WordIds:
 
         self.tok, self.most = Tokenizer.from_file(path), most
         empty = lambda t: np.zeros(0, t)
-        self.hash, self.word = empty(U64), empty(np.int64)  # sorted hashes and the numbers of their words
-        self.bytes, self.byte_at, self.byte_n = empty(np.uint8), empty(np.int64), empty(np.int64)
-        self.ids, self.id_at, self.id_n = empty(np.uint32), empty(np.int64), empty(np.int64)
+        self.hash, self.word = empty(U64), empty(np.int32)  # sorted hashes and the numbers of their words
+        self.bytes, self.byte_at, self.byte_n = empty(np.uint8), empty(np.int64), empty(np.int32)
+        self.ids, self.id_at, self.id_n = empty(np.uint32), empty(np.int64), empty(np.int32)
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and how many each has.  Words go to the
@@ -130,12 +130,12 @@ class WordIds:
 
     def _remember(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, n: np.ndarray) -> None:
         ids, id_n = self._encoded([buf[a : a + k].tobytes() for a, k in zip(s.tolist(), n.tolist())])
-        number = len(self.byte_at) + np.arange(len(h))
+        number = len(self.byte_at) + np.arange(len(h), dtype=np.int32)
         at = np.searchsorted(self.hash, h)
         self.hash, self.word = np.insert(self.hash, at, h), np.insert(self.word, at, number)
         self.byte_at = np.concatenate((self.byte_at, len(self.bytes) + np.cumsum(n) - n))
         self.id_at = np.concatenate((self.id_at, len(self.ids) + np.cumsum(id_n) - id_n))
-        self.byte_n, self.id_n = np.concatenate((self.byte_n, n)), np.concatenate((self.id_n, id_n))
+        self.byte_n, self.id_n = np.concatenate((self.byte_n, n.astype(np.int32))), np.concatenate((self.id_n, id_n.astype(np.int32)))
         self.bytes, self.ids = np.concatenate((self.bytes, buf[_runs(s, n)])), np.concatenate((self.ids, ids))
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFr
                         rows.append((doc, k, at, stop - at, zlib.crc32(end, crc) if stop == n else crc))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return id_text(docs).mapInArrow(cut, PIECE)
+    return id_text(docs).mapInArrow(tidy(cut), PIECE)
 
 
 def plan_bins(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:

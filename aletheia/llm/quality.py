@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aletheia.llm import crf
-from aletheia.llm.common import NOT_SPACE, blocks, find_words, hash_words, id_text, text_buffer
+from aletheia.llm.common import NOT_SPACE, blocks, find_words, hash_words, id_text, text_buffer, tidy
 from aletheia.llm.fitting import fit_on, fold
 
 FOLDS, HELD_OUT = 3, 1
@@ -140,7 +140,7 @@ def quality_scores(docs: DataFrame, model: dict) -> DataFrame:
                     names=["doc_id", "score", "n_lines", "bad_lines"],
                 )
 
-    return id_text(docs).mapInArrow(score, "doc_id long, score double, n_lines long, bad_lines long")
+    return id_text(docs).mapInArrow(tidy(score), "doc_id long, score double, n_lines long, bad_lines long")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **bound) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aletheia.llm.common import id_text
+from aletheia.llm.common import id_text, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns and least lengths of the base kinds.
@@ -147,7 +147,7 @@ def secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [part.column(0), *(pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(cols))], names=names
                 )
 
-    return id_text(docs).mapInArrow(scan, schema)
+    return id_text(docs).mapInArrow(tidy(scan), schema)
 
 
 def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -174,7 +174,7 @@ def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") ->
                 texts = pa.array([None if t is None else clean(t) for t in part.column(k).to_pylist()], part.schema.field(k).type)
                 yield part.set_column(k, part.schema.field(k), texts)
 
-    done = docs.mapInArrow(rewrite, out)
+    done = docs.mapInArrow(tidy(rewrite), out)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(out["n_chars"].dataType))
     return done

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aletheia.llm import crf
-from aletheia.llm.common import LOWER, U64, blocks, find_words, hash_words, id_text, text_buffer
+from aletheia.llm.common import LOWER, U64, blocks, find_words, hash_words, id_text, text_buffer, tidy
 from aletheia.llm.fitting import fit_on, fold
 
 FOLDS, HELD_OUT = 5, 0
@@ -187,7 +187,7 @@ def toxicity_spans(docs: DataFrame, model: dict) -> DataFrame:
                     names=["doc_id", "score", "spans"],
                 )
 
-    return id_text(docs).mapInArrow(score, SCHEMA)
+    return id_text(docs).mapInArrow(tidy(score), SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bound) -> DataFrame:
@@ -207,4 +207,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **bound) -> DataFrame:
             z = [_score(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m)[-1] for i, j in blocks(offs)]
             yield batch.filter(pa.array(np.concatenate(z) < 0.5)) if z else batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
