@@ -8,6 +8,7 @@ are rounded to 6 decimals in both engines so results hash equal.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,12 +127,6 @@ def _judge_sql(answer: str, generation: str) -> str:
     return f"concat({_sql_str(head)}, {a}, {_sql_str(mid)}, {g}, {_sql_str(tail)})"
 
 
-STANDIN_LABEL_SQL = (
-    "CASE WHEN generation IS NULL OR Answer IS NULL OR lower({g}) = 'error' THEN NULL "
-    "WHEN lower({g}) = lower({a}) THEN 'True' ELSE 'False' END"
-).format(g=STRIP_SQL.format(c="generation"), a=STRIP_SQL.format(c="Answer"))
-
-
 # ---------------------------------------------------------------------------
 # Spark builders
 # ---------------------------------------------------------------------------
@@ -240,25 +235,23 @@ def q_json_content(spark, sf):
     return ev.select("event_id", json_content(resp).alias("content"))
 
 
-def q_label_writeback(spark, sf):
+def _labelled_gens(spark, sf):
+    """De-duplicated generations with the given responses to their prompts."""
     d = G.dedup_in_row(fixtures.gens(spark, sf, N_GEN))
-    responses = d.select("row_id", "gen_idx", I.standin_label(F.col("Answer"), F.col("generation")).alias("response"))
-    responses = responses.where(F.col("response").isNotNull())
-    return G.write_back(d, responses).select("row_id", "gen_idx", "generation", "label")
+    asked = G.judge_prompts(d).select("row_id", "gen_idx")
+    return G.write_back(d, fixtures.responses(spark, sf, N_GEN).join(asked, ["row_id", "gen_idx"], "left_semi"))
+
+
+def q_label_writeback(spark, sf):
+    return _labelled_gens(spark, sf).select("row_id", "gen_idx", "generation", "label")
 
 
 def q_classification_set(spark, sf):
-    d = G.dedup_in_row(fixtures.gens(spark, sf, N_GEN))
-    labelled = d.withColumn("label", I.standin_label(F.col("Answer"), F.col("generation")))
-    acts = fixtures.gens(spark, sf, N_GEN).select(
-        "row_id",
-        "gen_idx",
-        F.array(F.array(I.standin_activation_first(generation_prompt("Question"), F.col("gen_idx")))).alias(
-            "hidden_states"
-        ),
-    )
-    x = G.classification_set(labelled, acts)
-    return x.select("row_id", "gen_idx", "label", F.round(F.col("hidden_states")[0][0], R).alias("h_first"))
+    """Labelled generations with their vectors, one row per element."""
+    x = G.classification_set(_labelled_gens(spark, sf), fixtures.activations(spark, sf, N_GEN))
+    steps = x.select("row_id", "gen_idx", "label", F.posexplode("hidden_states").alias("step", "h"))
+    each = steps.select("row_id", "gen_idx", "label", "step", F.posexplode("h").alias("dim", "value"))
+    return each.withColumn("value", F.round("value", R))
 
 
 def _pool_query(method):
@@ -362,21 +355,106 @@ def q_cluster_routed_auc_fixed(spark, sf, k=3):
     return r.select("part", "n_pos", "n_neg", F.round("auc", R).alias("auc"))
 
 
+def _all_direction(spark, sf):
+    """One given probe: the centroid direction over all train rows."""
+    train = _prepared(spark, sf).where(F.col("part") == "train").withColumn("model_id", F.lit("all"))
+    return [float(v) for v in centroid_directions(train, "model_id").first()["w"]]
+
+
+def _probe_judge(w):
+    """A judge whose model is a linear probe: prompts are vectors as JSON."""
+
+    def make():
+        import json
+
+        import numpy as np
+        import pandas as pd
+
+        weights = np.array(w)
+
+        def fn(batch):
+            x = np.array([json.loads(p) for p in batch["prompt"]], float)
+            return pd.DataFrame({"response": np.where(x @ weights >= 0, "True", "False")})
+
+        return fn
+
+    return make
+
+
 def q_batch_annotate(spark, sf):
-    d = G.dedup_in_row(fixtures.gens(spark, sf, N_GEN))
-    responses = I.annotate(G.judge_prompts(d), I.standin_labeller)
-    return G.write_back(d, responses).select("row_id", "gen_idx", "generation", "label")
+    """U3 over the test rows: the judge is a probe fitted on the train rows."""
+    test = _prepared(spark, sf).where(F.col("part") == "test").select("row_id", F.lit(1).alias("gen_idx"), "x")
+    prompts = test.select("row_id", "gen_idx", F.to_json("x").alias("prompt"))
+    answers = I.annotate(prompts, _probe_judge(_all_direction(spark, sf)))
+    return G.write_back(test.drop("x"), answers).select("row_id", "gen_idx", "label")
+
+
+def _probe_generator(w):
+    """A generator over vector questions: pass n answers by the probe's side of
+    step n, and returns all steps as its activations."""
+
+    def make():
+        import json
+
+        import numpy as np
+        import pandas as pd
+
+        weights = np.array(w)
+
+        def fn(batch):
+            decoded, steps = [], []
+            for prompt, n in zip(batch["prompt"], batch["gen_idx"]):
+                h = np.array(json.loads(prompt[: prompt.index("]") + 1]), float).reshape(-1, len(weights))
+                decoded.append(prompt + ("True" if h[n - 1] @ weights >= 0 else "False"))
+                steps.append(h.tolist())
+            return pd.DataFrame({"decoded": decoded, "hidden_states": steps})
+
+        return fn
+
+    return make
 
 
 def q_batch_generate(spark, sf):
-    out = I.generate(fixtures.questions(spark, sf), I.standin_generator, n_generations=N_GEN)
-    return out.select(
-        "row_id",
-        "gen_idx",
-        "generation",
-        F.size("hidden_states").alias("n_steps"),
-        F.round(F.col("hidden_states")[0][0], R).alias("h_first"),
-    )
+    """U2 over all vectors: eight passes; a row per pass and step."""
+    out = I.generate(fixtures.vector_questions(spark, sf), _probe_generator(_all_direction(spark, sf)), n_generations=8)
+    each = out.select("row_id", "gen_idx", "generation", F.posexplode("hidden_states").alias("step", "h"))
+    return each.select("row_id", "gen_idx", "generation", "step", F.round(_total("h"), R).alias("total"))
+
+
+def _scratch(spark, name):
+    from aletheia.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def q_gen_resumed(spark, sf):
+    """S3: a generation run that is cut and taken up again.  The first attempt
+    finishes some units, a second dies before it is recorded; the restart runs
+    what is missing, and every generation is read back once."""
+    from aletheia.sources import resumable as RS
+
+    gens, path = fixtures.gens(spark, sf, N_GEN), _scratch(spark, "generations")
+    one_pass = lambda part, g: gens.where(F.col("gen_idx") == g).drop("gen_idx").join(part, "row_id", "left_semi")
+    ids = gens.select("row_id").distinct()
+    some = [(g, b) for g in (1, 2) for b in range(0, 8, g)]
+    first = gens.join(spark.createDataFrame(some, "gen_idx int, bucket int").withColumnRenamed("gen_idx", "g"),
+                      (F.col("gen_idx") == F.col("g")) & (RS.bucket_of("row_id", 8) == F.col("bucket"))).drop("g", "bucket")
+    RS.write_attempt(first, path, some, buckets=8)
+    RS.write_attempt(gens.where("gen_idx <= 3"), path, [], buckets=8, commit=False)
+    RS.resume(ids, path, one_pass, N_GEN, buckets=8)
+    return RS.read(spark, path).select("row_id", "Question", "Answer", "gen_idx", "generation")
+
+
+def q_scores_saved(spark, sf):
+    """Scores and coefficients saved as one run and read back."""
+    from aletheia.sources import resumable as RS
+
+    path = _scratch(spark, "runs")
+    ps = _prepared(spark, sf).withColumn("score", _total("x"))
+    RS.save_run(path, scores=A.grouped_auc(ps, ["source"], "score", "y"), coefs=_fixed_coefs(ps))
+    run = RS.load_run(spark, path)
+    width = run["coefs"].select(F.col("model_id").alias("source"), F.size("w").alias("dim"))
+    return run["scores"].join(width, "source").select("source", "n_pos", "n_neg", F.round("auc", R).alias("auc"), "dim")
 
 
 # fitted models: the SQL side runs the probes' fixed-point map (see _fit_sql)
@@ -476,6 +554,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_routed_auc_fixed": q_cluster_routed_auc_fixed,
     "batch_annotate": q_batch_annotate,
     "batch_generate": q_batch_generate,
+    "gen_resumed": q_gen_resumed,
+    "scores_saved": q_scores_saved,
     "eval_separate": q_eval_separate,
     "eval_all_vs_each": q_eval_all_vs_each,
     "eval_loo": q_eval_loo,
@@ -494,7 +574,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ---------------------------------------------------------------------------
 
 _SUFFIX = _sql_str(GENERATION_SUFFIX)
-_HEX = "'0123456789abcdef'"
 _CANON_C = "c AS (SELECT row_id, Question, Answer, " + CANON_SQL.format(c="source") + " AS source, label FROM probe)"
 _DEDUP_D = "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Question, Answer ORDER BY row_id) AS r_ FROM c) d0 WHERE r_ = 1)"
 _NAT = """nat AS (SELECT dd.doc_id AS row_id, dd.source, CASE WHEN lb.quality = 1 THEN 1 ELSE 0 END AS y
@@ -525,7 +604,11 @@ def _gen_pivot_sql() -> str:
     return f"SELECT row_id, Question, Answer,\n  {cols}\nFROM gens GROUP BY row_id, Question, Answer"
 
 
-_LABELLED = f"SELECT row_id, gen_idx, generation, {STANDIN_LABEL_SQL} AS label FROM gd"
+_LABELLED = GENS_DEDUP_CTE + f""",
+rsp AS (SELECT doc_id // {N_GEN} AS row_id, CAST(doc_id % {N_GEN} + 1 AS INTEGER) AS gen_idx,
+          CASE WHEN quality = 1 THEN 'True' ELSE 'False' END AS response FROM labels),
+lab AS (SELECT gd.row_id, gd.gen_idx, gd.generation, CASE WHEN gd.generation IS NOT NULL AND gd.Answer IS NOT NULL THEN rsp.response END AS label
+        FROM gd LEFT JOIN rsp ON rsp.row_id = gd.row_id AND rsp.gen_idx = gd.gen_idx)"""
 
 ORACLE: dict[str, str] = {
     "source_canonical": f"WITH {PROBE_CTE}\nSELECT row_id, source AS source_raw, {CANON_SQL.format(c='source')} AS source FROM probe",
@@ -566,12 +649,14 @@ t AS (SELECT row_id, gen_idx, Question || {_SUFFIX} AS p, Question || {_SUFFIX}
 SELECT row_id, gen_idx, CASE WHEN position(p IN d) > 0 THEN split_part(d, p, 2) END AS answer FROM t""",
     "json_content": """SELECT event_id, regexp_replace(json_extract_string('{"choices":[{"message":{"content":" ' || event_type || ' "}}]}',
   '$.choices[0].message.content'), '^\\s+|\\s+$', '', 'g') AS content FROM events""",
-    "label_writeback": f"WITH {GENS_DEDUP_CTE}\n{_LABELLED}",
-    "classification_set": f"""WITH {GENS_DEDUP_CTE},
-lab AS (SELECT row_id, gen_idx, Question, {STANDIN_LABEL_SQL} AS label FROM gd)
-SELECT row_id, gen_idx, label,
-  round((instr({_HEX}, substr(sha256(Question || {_SUFFIX} || '|' || CAST(gen_idx AS VARCHAR)), 1, 1)) - 1 - 7.5) / 7.5, 6) AS h_first
-FROM lab WHERE label IS NOT NULL""",
+    "label_writeback": f"WITH {_LABELLED}\nSELECT row_id, gen_idx, generation, label FROM lab",
+    "classification_set": f"""WITH {_LABELLED},
+v AS (SELECT vec_id // {N_GEN} AS row_id, CAST(vec_id % {N_GEN} + 1 AS INTEGER) AS gen_idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT lab.row_id, lab.gen_idx, lab.label, unnest(range(64)) AS i, v.e FROM lab JOIN v USING (row_id, gen_idx) WHERE lab.label IS NOT NULL)
+SELECT row_id, gen_idx, label, CAST(i // 8 AS INTEGER) AS step, CAST(i % 8 AS INTEGER) AS dim, round(e[i + 1], 6) AS value FROM u""",
+    "gen_resumed": f"WITH {GENS_CTE}\nSELECT row_id, Question, Answer, gen_idx, generation FROM gens",
+    "scores_saved": f"""WITH {prep_ctes()}, t AS (SELECT source, y, list_reduce(x, lambda a, b: a + b) AS sc FROM prep), {auc_sql('t', ['source'], 'sc')}
+SELECT source, n_pos, n_neg, round(auc, 6) AS auc, 8 AS dim FROM auc""",
     "pool_max": _pool_sql("max"),
     "pool_mean": _pool_sql("mean"),
     "pool_first": _pool_sql("first"),
@@ -613,14 +698,17 @@ sc AS (SELECT a.part, a.y, CASE WHEN c.w IS NULL THEN 0.0 ELSE {_SIG.format(a='a
        FROM asg2 a LEFT JOIN coef2 c ON c.m = a.model_id),
 {auc_sql('sc', ['part'], 'score')}
 SELECT part, n_pos, n_neg, round(auc, 6) AS auc FROM auc""",
-    "batch_annotate": f"WITH {GENS_DEDUP_CTE}\n{_LABELLED}",
-    "batch_generate": f"""WITH q AS (SELECT doc_id AS row_id, text || {_SUFFIX} AS prompt FROM documents),
-g AS (SELECT row_id, CAST(gi AS INTEGER) AS gen_idx, sha256(prompt || '|' || CAST(gi AS VARCHAR)) AS h
-      FROM q CROSS JOIN range(1, {N_GEN + 1}) t(gi))
-SELECT row_id, gen_idx,
-  list_extract([{', '.join(_sql_str(w) for w in I.STANDIN_WORDS)}], ((instr({_HEX}, substr(h, 8, 1)) - 1) % {len(I.STANDIN_WORDS)}) + 1) AS generation,
-  8 AS n_steps, round((instr({_HEX}, substr(h, 1, 1)) - 1 - 7.5) / 7.5, 6) AS h_first
-FROM g""",
+    "batch_annotate": f"""WITH {prep_ctes()},
+{_CENTROID.format(s='', m="'all'", src="prep WHERE part = 'train'")}
+SELECT row_id, 1 AS gen_idx, CASE WHEN {_DOT.format(a='p.x', b='c.w')} >= 0 THEN 'True' ELSE 'False' END AS label
+FROM prep p, coef c WHERE p.part = 'test'""",
+    "batch_generate": f"""WITH {prep_ctes()},
+{_CENTROID.format(s='', m="'all'", src="prep WHERE part = 'train'")},
+h AS (SELECT vec_id AS row_id, CAST(unnest(range(8)) AS INTEGER) AS step, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+st AS (SELECT row_id, step, e[step * 8 + 1 : step * 8 + 8] AS v FROM h),
+an AS (SELECT st.row_id, st.step + 1 AS gen_idx, CASE WHEN {_DOT.format(a='st.v', b='c.w')} >= 0 THEN 'True' ELSE 'False' END AS generation FROM st, coef c)
+SELECT an.row_id, an.gen_idx, an.generation, st.step, round(list_reduce(st.v, lambda p, q: p + q), 6) AS total
+FROM an JOIN st ON st.row_id = an.row_id""",
 }
 
 
@@ -686,7 +774,7 @@ def _pool_grid_auc(spark, sf):
     j = checked_broadcast_join(p.select("row_id", "hidden_states"), sel, "row_id")
     cfg = F.array(
         *[
-            F.struct(F.lit(m).alias("method"), F.lit(n).alias("top_n"), pool("hidden_states", m, n)[0].alias("score"))
+            F.struct(F.lit(m).alias("method"), F.lit(n).alias("top_n"), _total(pool("hidden_states", m, n)).alias("score"))
             for m, n in POOL_GRID
         ]
     )
@@ -727,11 +815,8 @@ _POOL_GRID_SQL = f"""WITH {prep_ctes(split=False)},
 sel AS (SELECT row_id, source, CASE WHEN lower(label) = 'true' THEN 1 ELSE 0 END AS y, hidden_states FROM e),
 g AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {n})" for m, n in POOL_GRID)}) v(method, top_n)),
 sc AS (SELECT s.source, s.y, g.method, g.top_n,
-    CASE g.method
-      WHEN 'max' THEN list_max(list_transform(s.hidden_states[1:g.top_n], lambda h: h[1]))
-      WHEN 'mean' THEN list_reduce(list_transform(s.hidden_states[1:g.top_n], lambda h: h[1]), lambda a, b: a + b)
-                       / len(s.hidden_states[1:g.top_n])
-      ELSE s.hidden_states[1][1] END AS score
+    list_reduce(CASE g.method WHEN 'max' THEN {POOL_SQL['max'].format(n='g.top_n')}
+      WHEN 'mean' THEN {POOL_SQL['mean'].format(n='g.top_n')} ELSE hidden_states[1] END, lambda a, b: a + b) AS score
   FROM sel s CROSS JOIN g),
 {auc_sql('sc', ['method', 'top_n', 'source'], 'score')},
 means AS (SELECT method, top_n, avg(auc) AS mean_auc FROM auc GROUP BY method, top_n),
@@ -1039,3 +1124,152 @@ SELECT k AS num_clusters, round(max(CASE WHEN part = 'train' THEN auc END), 6) A
   round(max(CASE WHEN part = 'test' THEN auc END), 6) AS roc_auc_test FROM auc_r GROUP BY k""",
     }
 )
+
+
+# ---------------------------------------------------------------------------
+# Mixture: soft forward with noise (F14, M16), mini-batch training
+# ---------------------------------------------------------------------------
+
+
+def q_moc_soft_fixed(spark, sf):
+    """The Gumbel-soft forward of the given mixture, as column expressions."""
+    from aletheia.operators import mixture as MX
+
+    rows = _prepared(spark, sf).where(F.col("part") == "test")
+    s = MX.score_mixtures_sql(rows, {0: _moc_fixed_params()}, route="gumbel")
+    return s.select("row_id", F.round("score", R).alias("score"))
+
+
+def _noise_ctes(rows: str, experts: int) -> str:
+    """CTEs: ``noise(row_id, g)``, the Gumbel draws of a scoring pass."""
+    from aletheia.functions import noise as N
+
+    word = "18446744073709551616::UHUGEINT"
+    base = (7919 * N.SEED_STEP) % (1 << 64)  # epoch -1 adds nothing
+
+    def mix(s, source, keep):
+        half = lambda k, c: f"(xor(z::UBIGINT, (z // {1 << k})::UBIGINT)::UHUGEINT * {c}::UHUGEINT) % {word}"
+        return [
+            f"{s}_1 AS (SELECT {keep}, {half(30, N.MIX_1)} AS z FROM {source})",
+            f"{s}_2 AS (SELECT {keep}, {half(27, N.MIX_2)} AS z FROM {s}_1)",
+            f"{s}_3 AS (SELECT {keep}, xor(z::UBIGINT, (z // {1 << 31})::UBIGINT)::UHUGEINT AS z FROM {s}_2)",
+        ]
+
+    eps = f"{N.EPS}::DOUBLE"
+    return ",\n".join([
+        f"nr_0 AS (SELECT row_id, ({base}::UHUGEINT + (row_id::UHUGEINT * {N.ROW_STEP}::UHUGEINT) % {word}) % {word} AS z FROM {rows})",
+        *mix("nr", "nr_0", "row_id"),
+        f"ne_0 AS (SELECT row_id, k, (z + (k::UHUGEINT * {N.EXPERT_STEP}::UHUGEINT) % {word}) % {word} AS z FROM nr_3, range({experts}) t(k))",
+        *mix("ne", "ne_0", "row_id, k"),
+        "nu AS (SELECT row_id, k, (z // 2048)::UBIGINT::DOUBLE / 9007199254740992::DOUBLE AS u FROM ne_3)",
+        f"noise AS (SELECT row_id, list(-ln(-ln(u + {eps}) + {eps}) ORDER BY k) AS g FROM nu GROUP BY row_id)",
+    ])
+
+
+def _moc_soft_sql() -> str:
+    d, e = MOC_FIXED["d"], MOC_FIXED["experts"]
+    head = _moc_hard_sql().split(",\nsl AS (")[0]  # up to the router's logits
+    return f"""{head},
+{_noise_ctes("(SELECT row_id FROM prep WHERE part = 'test')", e)},
+sf AS (SELECT rt.row_id, rt.x, list_transform(range(1, {e + 1}), lambda k: rt.r[k] + noise.g[k]) AS s FROM rt JOIN noise USING (row_id)),
+sw AS (SELECT row_id, x, list_transform(s, lambda v: exp(v - list_max(s))) AS ex FROM sf),
+zz AS (SELECT sw.row_id, list_transform(range(1, 3), lambda c: list_reduce(list_transform(range(1, {e + 1}), lambda k:
+          ex[k] / list_sum(ex) * (list_reduce(list_transform(range(1, {d + 1}), lambda j: prm.We[k][c][j] * sw.x[j]), lambda a, b: a + b) + prm.be[k][c])),
+          lambda a, b: a + b)) AS z FROM sw, prm)
+SELECT row_id, round(1.0 / (1.0 + exp(-(z[2] - z[1]))), 6) AS score FROM zz"""
+
+
+MOC_TRAIN = {"epochs": 3, "batch_size": 64, "lr": 0.5, "weight_decay": 1e-2, "seed": 4}
+
+
+def q_moc_train_fixed(spark, sf):
+    """Mini-batch training of a mixture of one expert (the router's weight is 1,
+    so SQL can follow): the expert's weights, one row per element."""
+    from aletheia.operators import mixture as MX
+
+    rows = _prepared(spark, sf).where(F.col("part") == "train")
+    t = MOC_TRAIN
+    params, _ = MX.train_mixtures(rows, [(0, 1, t["weight_decay"], t["lr"])], epochs=t["epochs"], seed=t["seed"], batch_size=t["batch_size"])
+    expert = MX.params_table(spark, {0: {k: params[0][k] for k in ("We", "be")}})
+    return expert.select("name", F.posexplode("values").alias("pos", "value")).withColumn("value", F.round("value", R))
+
+
+#: Batches that the SQL is written out for; more rows than that give would need more.
+_TRAIN_BATCHES = 64
+
+
+def _moc_train_sql() -> str:
+    from aletheia.operators import mixture as MX
+
+    t, d = MOC_TRAIN, 8
+    p = MX.init_params(d, 1, t["seed"])
+    start = [[*p["We"][0][c], p["be"][0][c]] for c in (0, 1)]
+    steps = [
+        f"n_ AS (SELECT count(*) AS n, CAST(ceil(count(*) / {t['batch_size']}.0) AS BIGINT) AS nb FROM prep WHERE part = 'train')",
+        "tr AS MATERIALIZED (SELECT row_id, y, list_append(x, 1::DOUBLE) AS v FROM prep WHERE part = 'train')",
+        f"p_0 AS (SELECT CAST({_sql_list(start[0])} AS DOUBLE[]) AS a, CAST({_sql_list(start[1])} AS DOUBLE[]) AS b)",
+    ]
+    k = 0
+    for epoch in range(t["epochs"]):
+        lr = MX.cosine_lr(t["lr"], epoch, t["epochs"])
+        steps.append(
+            f"e_{epoch} AS MATERIALIZED (SELECT y, v, ('0x' || substr(md5('{t['seed']}|{epoch}|' || row_id), 1, 13))::BIGINT % nb AS batch FROM tr, n_)"
+        )
+        for batch in range(_TRAIN_BATCHES):
+            dots = [_DOT.format(a=f"p_{k}.{w}", b="e.v") for w in ("b", "a")]
+            steps.append(
+                f"g_{k} AS (SELECT list(g ORDER BY j) AS g FROM (SELECT j, avg(r * x) AS g FROM (SELECT unnest(range({d + 1})) AS j, unnest(e.v) AS x,"
+                f" 1.0 / (1.0 + exp(-({dots[0]} - {dots[1]}))) - e.y AS r FROM e_{epoch} e, p_{k} WHERE e.batch = {batch}) GROUP BY j))"
+            )
+            move = lambda w, sign: (
+                f"CASE WHEN g IS NULL THEN {w} ELSE list_transform(range(1, {d + 2}), lambda i: {w}[i] - {lr!r}::DOUBLE * ({sign}g[i] + {t['weight_decay']}::DOUBLE * {w}[i])) END AS {w}"
+            )
+            steps.append(f"p_{k + 1} AS MATERIALIZED (SELECT {move('a', '-')}, {move('b', '')} FROM p_{k}, g_{k})")
+            k += 1
+    return f"""WITH {prep_ctes().replace('prep AS (', 'prep AS MATERIALIZED (')},
+{', '.join(steps)}
+SELECT 'We' AS name, CAST(unnest(range({2 * d})) AS INTEGER) AS pos, round(unnest(list_concat(a[1:{d}], b[1:{d}])), 6) AS value FROM p_{k}
+UNION ALL SELECT 'be', CAST(unnest(range(2)) AS INTEGER), round(unnest([a[{d + 1}], b[{d + 1}]]), 6) FROM p_{k}"""
+
+
+QUERIES.update({"moc_soft_fixed": q_moc_soft_fixed, "moc_train_fixed": q_moc_train_fixed})
+ORACLE.update({"moc_soft_fixed": _moc_soft_sql(), "moc_train_fixed": _moc_train_sql()})
+
+
+# ---------------------------------------------------------------------------
+# The evaluators over real sources: classes of one kind, sources too small
+# ---------------------------------------------------------------------------
+
+NATURAL_CTE = """probe AS (
+  SELECT d.doc_id AS row_id, concat('d', CAST(d.doc_id AS VARCHAR)) AS Question, 'a' AS Answer, d.source,
+    CASE WHEN l.toxic = 1 THEN 'True' ELSE 'False' END AS label,
+    list_transform(range(8), lambda i: CAST(e.embedding AS DOUBLE[])[i*8+1 : i*8+8]) AS hidden_states
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON d.doc_id = e.vec_id)"""
+
+
+def _natural(spark, sf):
+    return E.cached(probe_set(fixtures.natural(spark, sf, "toxic"), sample_size=None))
+
+
+def _natural_query(mode):
+    def q(spark, sf):
+        return _rounded_auc(E.roc_auc_for_group(_natural(spark, sf), mode))
+
+    return q
+
+
+def q_auc_by_natural_source(spark, sf):
+    a = A.grouped_auc(_natural(spark, sf).withColumn("score", _total("x")), ["source"], "score", "y")
+    return a.select("source", "n_pos", "n_neg", F.round("auc", R).alias("auc"))
+
+
+QUERIES.update({
+    "eval_separate_natural": _natural_query("separate"),
+    "eval_all_vs_each_natural": _natural_query("all_vs_each"),
+    "eval_loo_natural": _natural_query("leave_one_out"),
+    "auc_by_natural_source": q_auc_by_natural_source,
+})
+ORACLE.update({
+    f"{name}_natural": ORACLE[name].replace(PROBE_CTE, NATURAL_CTE) for name in ("eval_separate", "eval_all_vs_each", "eval_loo")
+})
+ORACLE["auc_by_natural_source"] = ORACLE["auc_by_source"].replace(PROBE_CTE, NATURAL_CTE)

@@ -95,6 +95,34 @@ def gens(spark: SparkSession, sf_dir: str, n_generations: int = 20) -> DataFrame
     )
 
 
+def activations(spark: SparkSession, sf_dir: str, n_generations: int = 20) -> DataFrame:
+    """Activations of the generations of ``gens``: vector ``vec_id`` belongs to the
+    event of the same number, ``(row_id, gen_idx, hidden_states)``."""
+    e = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return e.select(
+        F.floor(F.col("vec_id") / F.lit(n_generations)).cast("long").alias("row_id"),
+        (F.col("vec_id") % n_generations + 1).cast("int").alias("gen_idx"),
+        _hidden_states_from_embedding("embedding", F.lit(8)).alias("hidden_states"),
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str, n_generations: int = 20) -> DataFrame:
+    """Given answers of a judge: the labelled documents' marks, document
+    ``doc_id`` standing for the event of the same number."""
+    lab = table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    return lab.select(
+        F.floor(F.col("doc_id") / F.lit(n_generations)).cast("long").alias("row_id"),
+        (F.col("doc_id") % n_generations + 1).cast("int").alias("gen_idx"),
+        F.when(F.col("quality") == 1, "True").otherwise("False").alias("response"),
+    )
+
+
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose text is a vector as JSON: ``(row_id, Question)``."""
+    e = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return e.select(F.col("vec_id").alias("row_id"), F.to_json(F.col("embedding").cast("array<double>")).alias("Question"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question table ``(row_id, Question, Answer, source)`` from documents (whole texts)."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])

@@ -24,6 +24,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +133,7 @@ def _with_columns(df: DataFrame, x_col: str, new: Sequence[T.StructField], make:
             cols = make(matrix(b.column(at).filter(known), known.true_count), bc.value) if known.true_count else None
             if known.true_count < b.num_rows:
                 place = pa.array(np.where(known.to_numpy(zero_copy_only=False), np.cumsum(known.to_numpy(zero_copy_only=False)) - 1, -1))
-                place = pa.compute.if_else(known, place, None)
+                place = pc.if_else(known, place, None)
                 cols = [c.take(place) for c in cols] if cols else [pa.nulls(b.num_rows, T_ARROW[f.dataType.simpleString()]) for f in new]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in new)])
 
@@ -306,13 +307,9 @@ def first_rows_as_centres(rows: DataFrame, k: int, x_col: str = "x", id_col: str
 
 def nearest_centre(df: DataFrame, centres: Sequence[Sequence[float]], x_col: str = "x", out: str = "cluster") -> DataFrame:
     """M10 with given centres: index of the nearest centre (squared Euclidean,
-    first index on ties).  Centres are a literal array: no join, no shuffle."""
-    cen = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    dists = F.transform(
-        cen,
-        lambda c: F.aggregate(F.zip_with(F.col(x_col), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t),
-    )
-    return df.withColumn(out, (F.array_position(dists, F.array_min(dists)) - 1).cast("int"))
+    first index on ties).  The centres go out by broadcast: no join, no shuffle."""
+    one = assign_all(df, {len(centres): np.asarray(centres, float)}, x_col, "__c")
+    return one.withColumn(out, F.col("__c")[0]).drop("__c")
 
 
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,8 @@ and matrix modes.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +27,18 @@ HOLDOUT_SEED = 42  # fixed value: seed of the stratified per-source hold-out
 
 
 def cached(df: DataFrame) -> DataFrame:
-    """Materialise a frame that feeds several jobs (fit passes, scoring, AUC).
+    """Write a frame that feeds several jobs (fit passes, scoring, AUC) once.
 
     Lineage is cut with a reliable ``checkpoint()`` into the session's
-    ``spark.checkpoint.dir`` and the result is persisted, so a lost executor
-    re-reads the checkpoint instead of replaying the preparation plan.  If a
-    cluster session has no checkpoint directory, the frame is only persisted:
-    recomputation is still exact because every upstream step is
-    deterministic (hash orders, no RNG, no range-partition sampling)."""
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+    ``spark.checkpoint.dir``, so a lost executor re-reads the checkpoint instead
+    of replaying the preparation plan; without such a folder a cluster session
+    raises.  Nothing stays in executor memory.  A frame that was written so
+    already is returned as it is."""
+    if getattr(df, "_written_once", False):
         return df
-    try:
-        df = materialize(df)
-    except RuntimeError:
-        pass
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(df)
+    out._written_once = True
+    return out
 
 
 def sources_of(rows: DataFrame) -> list[str]:
@@ -113,14 +111,15 @@ def evaluate_plans(
     return out.select("model_id", "source", "n_pos", "n_neg", "auc", "status"), coefs
 
 
-def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
+def holdout_fits(rows: DataFrame, C: float = C_DEFAULT, sources: Sequence[str] | None = None):
     """Per-source probes on the stratified 'fit' rows (M3), the models of the
-    per-source mode and of the cross-source matrix (M6).
+    per-source mode and of the cross-source matrix (M6), which take them as
+    ``fits``.  ``sources``: the caller's list (default: all of the rows).
 
     Returns ``(rows_with_holdout, sources, coefs, status, too_few)``."""
     spark = rows.sparkSession
     h = cached(with_holdout(cached(rows)))
-    sources = sources_of(h)
+    sources = sources_of(h) if sources is None else list(dict.fromkeys(sources))
     ok = [r[0] for r in h.where("split_status = 'ok'").select("source").distinct().collect()]
     tr, _ = P.separate_plans(spark, sources)
     tr = tr.where(F.col("source").isin(ok)) if ok else tr.where(F.lit(False))
@@ -129,26 +128,32 @@ def holdout_fits(rows: DataFrame, C: float = C_DEFAULT):
     return h, sources, coefs, status, too_few
 
 
-def roc_auc_for_group(rows: DataFrame, mode: str = "separate", C: float = C_DEFAULT) -> DataFrame:
-    """M3/M4/M5: ``(mode, source, auc, status)`` for one of the three modes."""
+def roc_auc_for_group(
+    rows: DataFrame, mode: str = "separate", C: float = C_DEFAULT, sources: Sequence[str] | None = None, fits=None
+) -> DataFrame:
+    """M3/M4/M5: ``(mode, source, auc, status)`` for one of the three modes, one
+    row per source of ``sources`` (default: all of the rows).  A shorter list
+    tests fewer sources; the shared and the held-out models still train on the
+    rows of all sources.  A listed source without rows has a NULL AUC."""
+    if mode not in MODES:
+        raise ValueError(f"Unknown mode {mode}")
     spark = rows.sparkSession
     rows = cached(rows)
-    sources = sources_of(rows)
+    every = [] if mode == "separate" else sources_of(rows)
+    tested = list(dict.fromkeys(sources)) if sources is not None else every
     if mode == "separate":
-        h, sources, coefs, status, too_few = holdout_fits(rows, C)
+        h, sources, coefs, status, too_few = fits or holdout_fits(rows, C, sources)
         tr, te = P.separate_plans(spark, sources)
         scores, _ = evaluate_plans(h, tr, te, C, coefs=coefs, status=status)
         scores = scores.withColumn(
             "status", F.when(F.col("source").isin(too_few), F.lit("too_few")).otherwise(F.col("status"))
         ) if too_few else scores
     elif mode == "all_vs_each":
-        tr, te = P.all_vs_each_plans(spark, sources)
+        tr, te = P.all_vs_each_plans(spark, every, tested=tested)
         scores, _ = evaluate_plans(rows, tr, te, C)
     elif mode == "leave_one_out":
-        tr, te = P.leave_one_out_plans(spark, sources)
+        tr, te = P.leave_one_out_plans(spark, every, tested=tested)
         scores, _ = evaluate_plans(rows, tr, te, C)
-    else:
-        raise ValueError(f"Unknown mode {mode}")
     return scores.select(F.lit(mode).alias("mode"), "source", "auc", "status")
 
 
@@ -168,14 +173,16 @@ def all_modes(rows: DataFrame, modes=MODES, C: float = C_DEFAULT) -> DataFrame:
     return out
 
 
-def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """M6: long ``(train_source, test_source, auc, status)`` and the coefs.
+def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT, sources: Sequence[str] | None = None, fits=None) -> tuple[DataFrame, DataFrame]:
+    """M6: long ``(train_source, test_source, auc, status)`` and the coefs, over
+    ``sources`` (default: all of the rows); ``fits`` of ``holdout_fits`` are used
+    if given.
 
     Train on each source's stratified 'fit' rows (the per-source models of
     M3); test on all rows of the other sources, on the hold-out on the
     diagonal."""
     spark = rows.sparkSession
-    h, sources, coefs, status, too_few = holdout_fits(rows, C)
+    h, sources, coefs, status, too_few = fits or holdout_fits(rows, C, sources)
     tr, _ = P.separate_plans(spark, sources)
     te = P.matrix_test_plan(spark, sources)
     scores, coefs = evaluate_plans(h, tr, te, C, coefs=coefs, status=status)
@@ -189,12 +196,15 @@ def cross_source_matrix(rows: DataFrame, C: float = C_DEFAULT) -> tuple[DataFram
     return out, coefs
 
 
-def incremental_curve(rows: DataFrame, n_runs: int = 10, C: float = C_DEFAULT) -> tuple[DataFrame, DataFrame]:
+def incremental_curve(
+    rows: DataFrame, n_runs: int = 10, C: float = C_DEFAULT, sources: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """M7 + A8: per (run, size) mean AUC over the remaining sources, then per
-    size the mean and population std over runs.  Returns (per_run, curve)."""
+    size the mean and population std over runs, over ``sources`` (default: all
+    of the rows).  Returns (per_run, curve)."""
     spark = rows.sparkSession
     rows = cached(rows)
-    sources = sources_of(rows)
+    sources = sources_of(rows) if sources is None else list(dict.fromkeys(sources))
     tr, te, mapping = P.incremental_plans(spark, sources, n_runs)
     scores, _ = evaluate_plans(rows, tr, te, C)
     per_model = scores.groupBy("model_id").agg(F.avg("auc").alias("mean_auc"))

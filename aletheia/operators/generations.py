@@ -19,6 +19,10 @@ from pyspark.sql.window import Window
 from aletheia.functions.text import judge_prompt, strip_ws
 
 
+# Bytes of a labelled row without its vectors, for the broadcast check.
+LABELLED_ROW_BYTES = 256
+
+
 def dedup_in_row(long_df: DataFrame, id_col: str = "row_id", col: str = "generation") -> DataFrame:
     """W5 (long form): within a row, a generation whose stripped text already
     appeared at a smaller gen_idx becomes NULL; the first keeps its original
@@ -54,11 +58,23 @@ def write_back(long_df: DataFrame, responses: DataFrame, id_col: str = "row_id",
     return long_df.join(r, [id_col, "gen_idx"], "left")
 
 
-def classification_set(
-    labelled: DataFrame, activations: DataFrame, id_col: str = "row_id"
-) -> DataFrame:
+def classification_set(labelled: DataFrame, activations: DataFrame, id_col: str = "row_id") -> DataFrame:
     """X1 (inferred bridge): labelled generations joined to their own
-    activations by (row_id, gen_idx), keeping rows with a label."""
-    lab = labelled.where(F.col("label").isNotNull())
-    acts = activations.select(id_col, "gen_idx", "hidden_states")
-    return lab.join(acts, [id_col, "gen_idx"])
+    activations by (row_id, gen_idx), keeping rows with a label.
+
+    Late materialisation: the labelled ids are found first (written once, without
+    vectors) and counted.  A small set is broadcast into the scan of the
+    activations; a large one sends its bitmap there (``joins.keep_members``), so
+    that only vectors that have a label are shuffled, in the last join."""
+    from aletheia.operators import joins
+    from aletheia.session import materialize
+
+    keys = [id_col, "gen_idx"]
+    lab = materialize(labelled.where(F.col("label").isNotNull()).drop("hidden_states"))
+    acts = activations.select(*keys, "hidden_states")
+    n = lab.count()
+    if n <= joins.BROADCAST_MAX_ROWS and n * LABELLED_ROW_BYTES <= joins.BROADCAST_MAX_BYTES:
+        out = acts.join(F.broadcast(lab), keys)
+    else:
+        out = joins.keep_members(acts, lab.select(*keys), keys, n).join(lab, keys)
+    return out.select(*lab.columns, "hidden_states")

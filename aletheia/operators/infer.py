@@ -11,7 +11,6 @@ failed call).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aletheia.functions.text import echo_answer, generation_prompt
+from aletheia.session import materialize
 
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -30,16 +30,9 @@ def freeze(df: DataFrame) -> DataFrame:
     Generators and judges are expensive and usually non-deterministic
     (sampling, remote calls): re-running them on a second action or after a
     lost executor could change answers.  A reliable checkpoint writes the
-    outputs to the shared checkpoint folder; without one, they are
-    persisted (a lost block would then re-call the model for that partition)."""
-    from pyspark import StorageLevel
-
-    from aletheia.session import materialize
-
-    try:
-        return materialize(df)
-    except RuntimeError:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    outputs to the shared checkpoint folder; a cluster session without one
+    raises (a lost block must not ask a paid model again)."""
+    return materialize(df)
 
 
 def batch_infer(
@@ -111,73 +104,24 @@ def generate(
     )
 
 
+# Prompts that one task of an annotation asks about.
+PROMPTS_PER_TASK = 512
+
+
 def annotate(
     prompts: DataFrame,
     make_labeller: Callable[[], BatchFn],
     batch_size: int = 16,
 ) -> DataFrame:
     """One call per distinct prompt text (duplicates share the answer),
-    joined back to every ``(row_id, gen_idx)``: ``(row_id, gen_idx, response, error)``."""
-    distinct = prompts.select("prompt").where(F.col("prompt").isNotNull()).distinct()
+    joined back to every ``(row_id, gen_idx)``: ``(row_id, gen_idx, response, error)``.
+
+    Prompts are told apart and joined by a 256-bit digest, so the join moves no
+    texts; the calls are spread by the number of distinct prompts, not by the
+    partitions that the ``distinct`` happens to leave."""
+    keyed = prompts.withColumn("__key", F.sha2("prompt", 256))
+    distinct = materialize(keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min("prompt").alias("prompt")))
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // PROMPTS_PER_TASK))
     out = T.StructType([T.StructField("response", T.StringType())])
-    answered = freeze(batch_infer(distinct, make_labeller, out, keep=["prompt"], batch_size=batch_size))
-    return prompts.join(answered, "prompt", "left").select("row_id", "gen_idx", "response", "error")
-
-
-# ---------------------------------------------------------------------------
-# Deterministic stand-ins for the model and the judge (tests, bench, queries).
-# ---------------------------------------------------------------------------
-# Fixed vocabulary of the stand-in generator.
-STANDIN_WORDS = ("paris", "blue", "seven", "water", "true", "unknown", "1969", "einstein")
-
-
-def standin_generator() -> BatchFn:
-    """Answer word and an 8 × 8 activation list from sha256(prompt|gen_idx)."""
-
-    def fn(batch: pd.DataFrame) -> pd.DataFrame:
-        decoded, acts = [], []
-        for prompt, g in zip(batch["prompt"], batch["gen_idx"]):
-            if prompt is None:
-                raise ValueError("NULL prompt")
-            h = hashlib.sha256(f"{prompt}|{g}".encode()).hexdigest()
-            decoded.append(prompt + STANDIN_WORDS[int(h[:8], 16) % len(STANDIN_WORDS)])
-            vals = [(int(c, 16) - 7.5) / 7.5 for c in h]
-            acts.append([vals[i * 8 : i * 8 + 8] for i in range(8)])
-        return pd.DataFrame({"decoded": decoded, "hidden_states": acts})
-
-    return fn
-
-
-def standin_labeller() -> BatchFn:
-    """'True' when the generated answer equals the ground truth in the judge
-    prompt, else 'False'; fails (→ NULL) when the generated answer is 'error'."""
-
-    def fn(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for p in batch["prompt"]:
-            truth = p.split("Ground Truth Answer: ", 1)[1].split("\nGenerated Answer: ", 1)
-            answer, rest = truth[0], truth[1]
-            generated = rest.split("\n\nDoes the generated answer", 1)[0]
-            if generated == "error":
-                raise RuntimeError("judge call failed")
-            out.append("True" if generated == answer else "False")
-        return pd.DataFrame({"response": out})
-
-    return fn
-
-
-def standin_activation_first(prompt, gen_idx):
-    """Column: element [0][0] of the stand-in generator's activations, as a
-    Spark expression (used to check the activations joined downstream)."""
-    h = F.sha2(F.concat(prompt, F.lit("|"), gen_idx.cast("string")), 256)
-    return (F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) - F.lit(1) - F.lit(7.5)) / F.lit(7.5)
-
-
-def standin_label(answer, generation):
-    """Column: the stand-in judge's response as a Spark expression (J2 tests)."""
-    from aletheia.functions.text import strip_ws
-
-    a, g = F.lower(strip_ws(answer)), F.lower(strip_ws(generation))
-    return F.when(generation.isNull() | answer.isNull() | (g == "error"), F.lit(None).cast("string")).when(
-        g == a, "True"
-    ).otherwise("False")
+    answered = freeze(batch_infer(distinct.repartition(tasks, "__key"), make_labeller, out, keep=["__key"], batch_size=batch_size))
+    return keyed.join(answered, "__key", "left").select("row_id", "gen_idx", "response", "error")

@@ -31,6 +31,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aletheia.functions.noise import EPOCH_STEP, EPS, EXPERT_STEP, MIX_1, MIX_2, ROW_STEP, SEED_STEP, gumbel, uniform
+from aletheia.functions.vectors import dot, softmax2_class1
 from aletheia.operators.auc import grouped_auc
 from aletheia.operators.partials import matrix, sum_over
 from aletheia.plans.plans import param_grid
@@ -39,7 +41,6 @@ from aletheia.session import materialize
 HIDDEN = 64  # fixed value: router hidden units
 EPOCHS = 500  # fixed value: epochs per config in the experiment
 TEMPERATURE = 1.0  # forward() temperature actually used by the reference
-EPS = 1e-8  # fixed value: Gumbel epsilon
 BATCH_SIZE = 128  # fixed value: default rows per mini-batch
 PARAM_NAMES = ("W1", "b1", "W2", "b2", "We", "be")
 
@@ -79,21 +80,18 @@ def unflatten(v: np.ndarray, d: int, e: int, h: int = HIDDEN, bias: bool = True)
 # noise, forward, gradient (NumPy, run inside tasks)
 # ----------------------------------------------------------------------------
 
-_M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def _mix64(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
     return z ^ (z >> np.uint64(31))
 
 
 def uniform_noise(seed: int, row_ids: np.ndarray, epoch: int, n_experts: int) -> np.ndarray:
     """U[0,1) per (row, expert) from a counter hash (splitmix64 finaliser)."""
     with np.errstate(over="ignore"):
-        base = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(epoch + 1) * np.uint64(0xD1B54A32D192ED03)
-        r = row_ids.astype(np.uint64)[:, None] * np.uint64(0x8CB92BA72F3D8DD7)
-        k = np.arange(n_experts, dtype=np.uint64)[None, :] * np.uint64(0xABC98388FB8FAC03)
+        base = np.uint64(seed) * np.uint64(SEED_STEP) + np.uint64(epoch + 1) * np.uint64(EPOCH_STEP)
+        r = row_ids.astype(np.uint64)[:, None] * np.uint64(ROW_STEP)
+        k = np.arange(n_experts, dtype=np.uint64)[None, :] * np.uint64(EXPERT_STEP)
         z = _mix64(_mix64(base + r) + k)
     return (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
@@ -173,8 +171,9 @@ def _gradients(batch: DataFrame, tasks: int, bc, epoch: int, seed: int) -> dict[
 
 
 def dealt_batch(seed: int, epoch: int, n_batches: int) -> Column:
-    """The mini-batch of a row in an epoch: a hash of (row_id, seed, epoch)."""
-    return F.pmod(F.xxhash64(F.col("row_id"), F.lit(seed), F.lit(epoch)), F.lit(n_batches)).cast("int")
+    """The mini-batch of a row in an epoch: 52 bits of a digest of (seed, epoch, row_id)."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{epoch}|"), F.col("row_id").cast("string"))), 1, 13), 16, 10)
+    return F.pmod(bits.cast("bigint"), F.lit(n_batches)).cast("int")
 
 
 def train_mixtures(
@@ -273,6 +272,51 @@ def score_mixtures(
     return data.mapInPandas(run, schema)
 
 
+def params_rows(spark, params: dict[int, dict[str, np.ndarray]]) -> DataFrame:
+    """One row per config: its weights as nested arrays (``be`` NULL without bias)."""
+    rows = [(cid, *(p[k].tolist() if k in p else None for k in PARAM_NAMES)) for cid, p in sorted(params.items())]
+    one, two, three = "array<double>", "array<array<double>>", "array<array<array<double>>>"
+    return spark.createDataFrame(rows, f"config_id int, W1 {two}, b1 {one}, W2 {two}, b2 {one}, We {three}, be {two}")
+
+
+def score_mixtures_sql(
+    rows: DataFrame,
+    params: dict[int, dict[str, np.ndarray]],
+    route: str = "gumbel",
+    seed: int = 0,
+    x_col: str = "x",
+    temperature: float = TEMPERATURE,
+) -> DataFrame:
+    """M16/M17 as column expressions, no Python workers: the rows, columns and
+    values of ``score_mixtures``, which suits wide vectors better.  The weights
+    are a row per config, joined by broadcast (their size is the models')."""
+    if route not in ("gumbel", "soft", "hard"):
+        raise ValueError(f"Unknown route {route}")
+    linear = lambda w, b: F.zip_with(w, b, lambda v, c: dot(F.col("x"), v) + c)
+    data = rows.select(
+        "row_id", "source", F.col("y").cast("int").alias("y"), F.col(x_col).cast("array<double>").alias("x"),
+        F.explode(F.array(*(F.lit(c).cast("int") for c in sorted(params)))).alias("config_id"),
+    ).join(F.broadcast(params_rows(rows.sparkSession, params)), "config_id")
+    data = data.withColumn("hidden", F.transform(linear("W1", "b1"), lambda v: F.greatest(v, F.lit(0.0))))
+    data = data.withColumn("r", F.zip_with("W2", "b2", lambda w, c: dot(F.col("hidden"), w) + c))
+    no_bias = F.transform("We", lambda w: F.array(F.lit(0.0), F.lit(0.0)))
+    data = data.withColumn("z", F.zip_with("We", F.coalesce("be", no_bias), lambda w, c: linear(w, c)))
+    if route == "hard":
+        data = data.withColumn("selected_expert", (F.array_position("r", F.array_max("r")) - 1).cast("int"))
+        data = data.withColumn("out", F.get("z", F.col("selected_expert")))
+    else:
+        if route == "gumbel":
+            u = uniform(F.lit(seed + 7919) + F.col("config_id"), F.col("row_id"), -1, F.size("r"))
+            data = data.withColumn("r", F.zip_with("r", u, lambda a, v: a + gumbel(v)))
+        data = data.withColumn("w", F.transform("r", lambda v: F.exp((v - F.array_max("r")) / F.lit(temperature))))
+        total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
+        data = data.withColumn("w", F.transform("w", lambda v: v / total)).withColumn("selected_expert", F.lit(-1))
+        mixed = lambda k: F.aggregate(F.zip_with("w", "z", lambda w, z: w * z[k]), F.lit(0.0), lambda a, b: a + b)
+        data = data.withColumn("out", F.array(mixed(0), mixed(1)))
+    score = softmax2_class1(F.col("out")[0], F.col("out")[1])
+    return data.select("config_id", "row_id", "source", "y", score.alias("score"), "selected_expert")
+
+
 def params_table(spark, params: dict[int, dict[str, np.ndarray]]) -> DataFrame:
     """Parameters as a table ``(config_id, name, shape, values)``."""
     rows = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aletheia.functions.text import canonical_source
@@ -17,28 +17,34 @@ def with_canonical_source(df: DataFrame, col: str = "source") -> DataFrame:
     return df.withColumn(col, canonical_source(col))
 
 
+def key_digest(subset: Sequence[str]) -> list[Column]:
+    """Three 64-bit hashes of a key; NULL is a value of its own."""
+    parts = [p for c in subset for p in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *parts) for k in range(3)]
+
+
 def dedup_first(
     df: DataFrame,
     subset: Sequence[str] = ("Question", "Answer"),
     order_col: str = "row_id",
-    payload: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A1: keep the first row (smallest ``order_col``) of each ``subset`` key.
-
-    Implemented as ``min(struct(order_col, ...))`` per key: a sort aggregate
-    (a struct does not fit a hash buffer) with map-side partial aggregation, so
-    a key holding a third of all rows costs one row per map task, never a group
-    in one task.  NULL keys compare
-    equal (as in the reference).  Wide ``payload`` columns (vectors) are not
-    carried through the aggregate: they are joined back by ``order_col``.
-    """
-    subset = list(subset)
-    carry = [c for c in df.columns if c not in subset and c != order_col and (payload is None or c not in payload)]
-    agg = df.groupBy(*subset).agg(F.min(F.struct(order_col, *carry)).alias("__first"))
-    out = agg.select(*subset, *[F.col(f"__first.{c}").alias(c) for c in [order_col, *carry]])
-    if payload:
-        out = out.join(df.select(order_col, *payload), order_col)
-    return out.select(*df.columns)
+    """A1: keep the first row (smallest ``order_col``, unique) of each ``subset`` key.
+
+    Two levels.  The key is reduced to 128 bits and its least ``order_col`` is
+    found by a hash aggregate over three numbers (map-side combine: a key that
+    holds a third of all rows costs one row per map task; no text is sorted or
+    shuffled).  The rows that stay are those found, by a semi join on the number
+    and the digest; wide columns move in it only if it cannot be broadcast.  A
+    third hash guards the digest: different keys of equal 128 bits raise.  NULL
+    keys compare equal (as in the reference)."""
+    d1, d2, d3 = key_digest(subset)
+    marked = df.withColumn("__d1", d1).withColumn("__d2", d2)
+    first = marked.withColumn("__d3", d3).groupBy("__d1", "__d2").agg(
+        F.min(order_col).alias(order_col), F.min("__d3").alias("__lo"), F.max("__d3").alias("__hi")
+    )
+    alone = F.assert_true(F.col("__lo") == F.col("__hi"), F.lit("two keys share a digest")).isNull()
+    first = first.where(alone).drop("__lo", "__hi")
+    return marked.join(first, [order_col, "__d1", "__d2"], "left_semi").select(*df.columns)
 
 
 def sample_by_group(

@@ -1,28 +1,47 @@
 """Cosine similarity of probe coefficient vectors.
 
-The M x M matrix is W·Wᵀ written relationally: coefficients exploded to
-``(model, j, w_j)``, joined on the dimension index j, summed per model pair,
-divided by the norms.  Its size is M² for M fitted models (sources or
-clusters), independent of the number of data rows.  Absent models (empty
-clusters) simply have no row; no models gives an empty table.
+The M x M matrix is a blocked product W·Wᵀ: models are numbered and dealt into
+blocks of ``BLOCK``; a pair of blocks is one group, which holds at most 2 x
+``BLOCK`` vectors and is multiplied as matrices.  A vector is copied once per
+block, not once per model, and brings its norm along.  Absent models (empty
+clusters) simply have no row; no models gives an empty table; a zero vector has
+cosine 0 with every model.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aletheia.functions.vectors import l2_norm
+from aletheia.operators.rank import range_rank
 
-def cosine_matrix(coefs: DataFrame, model_col: str = "model_id", w_col: str = "w") -> DataFrame:
-    long = coefs.select(model_col, F.posexplode(w_col).alias("j", "v"))
-    a = long.select(F.col(model_col).alias("a"), "j", F.col("v").alias("va"))
-    b = long.select(F.col(model_col).alias("b"), "j", F.col("v").alias("vb"))
-    dots = a.join(b, "j").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
-    norms = dots.where(F.col("a") == F.col("b")).select(F.col("a").alias("m"), F.sqrt("dot").alias("norm"))
-    na = norms.select(F.col("m").alias("a"), F.col("norm").alias("na"))
-    nb = norms.select(F.col("m").alias("b"), F.col("norm").alias("nb"))
-    out = dots.join(na, "a").join(nb, "b")
-    denom = F.col("na") * F.col("nb")
-    return out.select(
-        "a", "b", F.coalesce(F.col("dot") / F.nullif(denom, F.lit(0.0)), F.lit(0.0)).alias("cosine")
-    )
+BLOCK = 256
+
+
+def _products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Cosines between the two blocks of a pair, both ways (within one block, once)."""
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    parts = []
+    for block in (lo, hi):
+        own = pdf[pdf["block"] == block].sort_values("number")
+        w = np.stack(own["w"].to_numpy())
+        norm = own["norm"].to_numpy()[:, None]
+        parts.append((own["model_id"].to_numpy(), np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)))
+    (a, x), (b, y) = parts
+    cos = x @ y.T
+    out = pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "cosine": cos.ravel()})
+    return out if lo == hi else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "cosine"]]])
+
+
+def cosine_matrix(coefs: DataFrame, model_col: str = "model_id", w_col: str = "w", block: int | None = None) -> DataFrame:
+    """``(a, b, cosine)`` for every ordered pair of models."""
+    size = block or BLOCK
+    rows = coefs.select(F.col(model_col).cast("string").alias("model_id"), F.col(w_col).cast("array<double>").alias("w"))
+    rows = range_rank(rows.withColumn("norm", l2_norm("w")), [], ["model_id"], "number", "n")
+    rows = rows.withColumn("block", F.expr(f"(number - 1) div {size}L")).withColumn("blocks", F.expr(f"(n + {size - 1}L) div {size}L"))
+    each = rows.select("model_id", "w", "norm", "number", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    each = each.select("model_id", "w", "norm", "number", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return each.groupBy("lo", "hi").applyInPandas(_products, "a string, b string, cosine double")

@@ -31,19 +31,26 @@ def separate_plans(spark: SparkSession, sources: Sequence[str]) -> tuple[DataFra
     )
 
 
-def all_vs_each_plans(spark: SparkSession, sources: Sequence[str], model_id: str = "all") -> tuple[DataFrame, DataFrame]:
-    """M4: one model on every source's 'train' rows, tested per source on 'test'."""
+def all_vs_each_plans(
+    spark: SparkSession, sources: Sequence[str], model_id: str = "all", tested: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """M4: one model on every source's 'train' rows, tested per source (of
+    ``tested``, default all) on 'test'."""
     return (
         _df(spark, ((model_id, s, "train") for s in sources)),
-        _df(spark, ((model_id, s, "test") for s in sources)),
+        _df(spark, ((model_id, s, "test") for s in (sources if tested is None else tested))),
     )
 
 
-def leave_one_out_plans(spark: SparkSession, sources: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """M5: model per held-out source h: train on all rows of the others, test on all of h."""
+def leave_one_out_plans(
+    spark: SparkSession, sources: Sequence[str], tested: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """M5: model per held-out source h (of ``tested``, default all): train on all
+    rows of the others, test on all of h."""
+    held = sources if tested is None else tested
     return (
-        _df(spark, ((h, s, None) for h in sources for s in sources if s != h)),
-        _df(spark, ((h, h, None) for h in sources)),
+        _df(spark, ((h, s, None) for h in held for s in sources if s != h)),
+        _df(spark, ((h, h, None) for h in held)),
     )
 
 

@@ -8,6 +8,7 @@
   replaces only its own folder (the reference wrote one file per generation).
 * S4: ``write_wide_generations`` pivots to ``Generation_1..N`` with explicit
   pivot values (no extra job to discover them) and writes one dataset.
+* A generation run that must survive a crash uses ``resumable``.
 * S5: ``save_table`` / ``load_table`` persist scores, coefficients and mixture
   parameters as Parquet instead of pickles.
 """
@@ -48,13 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] |
 
 def write_generations(long_df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3: long generations ``(row_id, gen_idx, ...)`` partitioned by gen_idx."""
-    spark = long_df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        long_df.write.mode(mode).partitionBy("gen_idx").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # the writer's own option: the session's setting stays as the caller left it
+    long_df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("gen_idx").parquet(path)
 
 
 def wide_generations(

@@ -36,6 +36,31 @@ def test_noise_is_counter_based():
     assert np.array_equal(a[[2, 0]], b) and ((a >= 0) & (a < 1)).all()
 
 
+def test_noise_of_columns_equals_numpy(spark):
+    from aletheia.functions import noise
+
+    ids = [0, 1, 5, 2**40 + 7, 2**62 + 11]
+    for seed, epoch in ((3, 0), (7919, -1), (2**33 + 1, 499)):
+        df = spark.createDataFrame([(i, seed) for i in ids], "row_id long, seed long")
+        for s in (seed, F.col("seed")):
+            got = np.array([r.u for r in df.select(noise.uniform(s, F.col("row_id"), epoch, F.lit(4)).alias("u")).collect()])
+            assert np.array_equal(got, MX.uniform_noise(seed, np.array(ids), epoch, 4))
+
+
+@pytest.mark.parametrize("route", ["gumbel", "soft", "hard"])
+@pytest.mark.parametrize("bias", [True, False])
+def test_forward_in_columns_equals_numpy(spark, route, bias):
+    rows = E.cached(probe_set(fixtures.probe(spark, SF_SMALL)))
+    params = {c: MX.init_params(8, e, c + 1, h=6, bias=bias) for c, e in ((0, 1), (2, 3))}
+    key = lambda r: (r.config_id, r.row_id)
+    want = sorted(MX.score_mixtures(rows, params, route, seed=5).collect(), key=key)
+    got = sorted(MX.score_mixtures_sql(rows, params, route, seed=5).collect(), key=key)
+    assert [tuple(r)[:4] + (r.selected_expert,) for r in got] == [tuple(r)[:4] + (r.selected_expert,) for r in want]
+    assert max(abs(a.score - b.score) for a, b in zip(got, want)) < 1e-12
+    plan = MX.score_mixtures_sql(rows, params, route)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+
+
 def test_cosine_schedule():
     assert MX.cosine_lr(1e-3, 0, 500) == pytest.approx(1e-3)
     assert MX.cosine_lr(1e-3, 250, 500) == pytest.approx((1e-3 + 1e-5) / 2)

@@ -102,6 +102,19 @@ def test_modes_and_matrix(spark, rows):
     assert m.count() == 16 and coefs.count() == 4
 
 
+def test_callers_list_of_sources_and_given_fits(spark, rows):
+    for mode in E.MODES:
+        whole = {r.source: r.auc for r in E.roc_auc_for_group(rows, mode).collect()}
+        some = {r.source: (r.auc, r.status) for r in E.roc_auc_for_group(rows, mode, sources=["src1", "src0", "absent", "src1"]).collect()}
+        assert set(some) == {"src0", "src1", "absent"} and some["absent"][0] is None and some["absent"][1] != "ok"
+        assert all(some[s] == (pytest.approx(whole[s], abs=1e-9), "ok") for s in ("src0", "src1"))
+    fits = E.holdout_fits(rows)
+    a, b = (sorted(map(tuple, E.cross_source_matrix(rows, **k)[0].collect())) for k in ({"fits": fits}, {}))
+    assert a == b
+    assert E.cross_source_matrix(rows, sources=["src0", "src_3"])[0].count() == 4
+    assert [r.train_size for r in E.incremental_curve(rows, 2, sources=["src0", "src1", "src2"])[1].orderBy("train_size").collect()] == [1, 2]
+
+
 def test_plans_shapes(spark):
     srcs = ["a", "b", "c", "d"]
     tr, te = P.leave_one_out_plans(spark, srcs)
@@ -231,6 +244,22 @@ def test_cosine_matrix_properties(spark, rows):
     assert cosine_matrix(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_cosines_by_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    w = rng.normal(size=(7, 5))
+    w[3] = 0
+    df = spark.createDataFrame([(f"m{i}", [float(v) for v in r]) for i, r in enumerate(w)], "model_id string, w array<double>").repartition(3)
+    out = cosine_matrix(df, block=block)
+    got = {(r.a, r.b): r.cosine for r in out.collect()}
+    n = np.linalg.norm(w, axis=1)
+    assert len(got) == 49 and out.count() == 49
+    for i in range(7):
+        for j in range(7):
+            want = 0.0 if 3 in (i, j) else w[i] @ w[j] / n[i] / n[j]
+            assert got[(f"m{i}", f"m{j}")] == pytest.approx(want, abs=1e-12)
+
+
 def test_nearest_centre_ties_first(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([2.0, 0.0],)], "x array<double>")
     out = [r.cluster for r in CL.nearest_centre(df, [[1.0, 0.0], [1.0, 0.0], [3.0, 0.0]]).collect()]

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tests.conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -15,10 +17,22 @@ def test_dedup_first_keeps_smallest_id(spark):
     assert got == [(1, "n1"), (2, "s2")]  # NULL keys are equal to each other
 
 
-def test_dedup_first_payload_join(spark):
-    df = spark.createDataFrame([(2, "q", "a", [1.0]), (1, "q", "a", [2.0])], "row_id long, Question string, Answer string, x array<double>")
-    r = prep.dedup_first(df, payload=["x"]).collect()
-    assert [(x.row_id, x.x) for x in r] == [(1, [2.0])]
+def test_dedup_first_keeps_wide_columns_and_sorts_no_text(spark):
+    df = spark.createDataFrame([(2, "q", "a", [2.0]), (1, "q", "a", [1.0]), (3, "q", None, [3.0]), (4, None, "q", [4.0]), (5, "q", None, [5.0])], "row_id long, Question string, Answer string, x array<double>")
+    got = prep.dedup_first(df)
+    assert sorted((r.row_id, r.x[0]) for r in got.collect()) == [(1, 1.0), (3, 3.0), (4, 4.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    sorts = [line for line in plan.split("\n") if "Sort [" in line]
+    assert not any("Question" in line.split("Sort [")[1].split("]")[0] for line in sorts)
+
+
+def test_keys_that_share_a_digest_are_told(spark, monkeypatch):
+    honest = prep.key_digest
+    monkeypatch.setattr(prep, "key_digest", lambda subset: [F.lit(1).cast("bigint"), F.lit(2).cast("bigint"), honest(subset)[2]])
+    df = spark.createDataFrame([(1, "q", "a"), (2, "other", "a")], "row_id long, Question string, Answer string")
+    with pytest.raises(Exception, match="share a digest"):
+        prep.dedup_first(df).collect()
 
 
 def test_sample_by_group_caps_and_keeps(spark):
