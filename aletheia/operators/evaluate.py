@@ -1,6 +1,6 @@
 """Evaluation modes (M3-M7): one plan-driven job per mode.
 
-rows ⋈ train_plan → one block fit for all models → rows ⋈ test_plan →
+rows ⋈ train_plan → all models fitted in shared passes → rows ⋈ test_plan →
 score with the broadcast coefficients → AUC per (model, source).
 Input rows: ``(row_id, source, y, part, x)`` from ``probeset.probe_set``
 (``part`` = the 80/20 split per (source, label)); ``with_holdout`` adds the
@@ -51,20 +51,8 @@ def with_holdout(rows: DataFrame) -> DataFrame:
     return split_stratified(rows, "source", "y", seed=HOLDOUT_SEED, part_col="spart")
 
 
-def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """One output row per (row, model) the plan assigns it to.
-
-    The plan has at most S² rows (S = sources), so it is broadcast; the join
-    is an equi-join on source with the part test as a residual filter."""
-    r, p = rows.alias("r"), F.broadcast(plan.alias("p"))
-    part_ok = F.col("p.part").isNull() | (F.col("p.part") == F.col("r.part"))
-    if "spart" in rows.columns:
-        part_ok = part_ok | (F.col("p.part") == F.col("r.spart"))
-    return r.join(p, (F.col("r.source") == F.col("p.source")) & part_ok).select("p.model_id", "r.*")
-
-
 def with_models(rows: DataFrame, plan: DataFrame, out: str = "models") -> DataFrame:
-    """J3 without copies: each row once, with the ids of all models that the
+    """Each row once, with the ids of all models that the
     plan assigns it to (rows of none are left out).  The plan, folded to one row
     per source, is broadcast behind a counted size check."""
     folded = plan.groupBy("source").agg(F.collect_set(F.struct("model_id", "part")).alias("__plan"))
