@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aletheia.operators.auc import grouped_auc
-from aletheia.operators.joins import checked_broadcast_join
 from aletheia.operators.linear import C_DEFAULT, fit_many, score_models
+from aletheia.operators.rank import _small_side
 from aletheia.operators.split import split_stratified
 from aletheia.plans import plans as P
 from aletheia.session import materialize
 
 MODES = ("separate", "all_vs_each", "leave_one_out")
+PLAN_ROW_BYTES = 16_384  # a source's row of a folded plan: some 250 model ids
 HOLDOUT_SEED = 42  # fixed value: seed of the stratified per-source hold-out
 
 
@@ -58,7 +59,8 @@ def with_models(rows: DataFrame, plan: DataFrame, out: str = "models") -> DataFr
     folded = plan.groupBy("source").agg(F.collect_set(F.struct("model_id", "part")).alias("__plan"))
     part = [F.col("part"), F.col("spart")] if "spart" in rows.columns else [F.col("part")]
     fits = lambda m: m["part"].isNull() | F.coalesce(m["part"].isin(*part), F.lit(False))
-    j = checked_broadcast_join(rows, folded, "source", row_bytes=64 * max(1, plan.count()))
+    folded, small = _small_side(folded, PLAN_ROW_BYTES)
+    j = rows.join(F.broadcast(folded) if small else folded, "source")
     j = j.withColumn(out, F.array_sort(F.transform(F.filter("__plan", fits), lambda m: m["model_id"]))).drop("__plan")
     return j.where(F.size(out) > 0)
 

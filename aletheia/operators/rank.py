@@ -1,4 +1,4 @@
-"""Exact, skew-safe ranks and prefix sums inside groups.
+"""Exact, skew-safe ranks inside groups.
 
 A plain ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to
 one task; with few groups (sources × labels) or none at all (a global AUC) that
@@ -12,7 +12,7 @@ is one task for a third of the data.  Here the rows are dealt by range over
    consecutive partitions, so there are at most partitions + groups rows.
    Their running sums are the offset of each partition.
 3. A rank is the offset plus the position inside the partition: no window over
-   rows at all.  A prefix sum adds a running sum inside ``(group, partition)``.
+   rows at all.  (``auc`` adds up prefix sums the same way, without writing.)
 
 A top-n (``limit``) does not order whole groups: it counts digest prefixes and
 drops all prefixes past the limit map-side, before anything is shuffled.
@@ -41,11 +41,20 @@ def hash_order(seed: int | str, id_col: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+# Rows of a per-group table that may go over the driver to be broadcast.
+LOCAL_ROWS = 20_000
+
+
 def _small_side(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
-    """Write a per-group/per-partition table and say whether it may be
-    broadcast (counted rows and bytes under the join limits)."""
+    """A per-group/per-partition table, computed once, and whether it may be
+    broadcast: up to ``LOCAL_ROWS`` it is taken to the driver, beyond it is
+    written and counted (rows and bytes under the join limits)."""
     from aletheia.operators.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
+    most = min(LOCAL_ROWS, BROADCAST_MAX_ROWS)
+    rows = df.take(most + 1)
+    if len(rows) <= most:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
     df = materialize(df)
     n = df.count()
     return df, n <= BROADCAST_MAX_ROWS and n * row_bytes <= BROADCAST_MAX_BYTES
@@ -153,25 +162,3 @@ def _top_of_hash_order(x: DataFrame, keys: list[str], id_col: str, rank_col: str
     if count_col:
         x = x.withColumn(count_col, F.col("__gn").cast("long"))
     return x.drop("__h", b, "__off", "__gn")
-
-
-def exclusive_prefix_by_score(
-    df: DataFrame,
-    keys: Sequence[str],
-    score_col: str,
-    sum_col: str,
-    out_col: str = "before",
-) -> DataFrame:
-    """For rows unique per ``(keys, score)``, add ``out_col`` = sum of
-    ``sum_col`` over all rows of the group with a strictly smaller score."""
-    keys = list(keys)
-    placed = in_range_order(df, [*(F.col(k) for k in keys), F.col(score_col)]).drop("__at")
-    totals = placed.groupBy(*keys, "__part").agg(F.sum(sum_col).alias("__t"))
-    group = [F.col(k) for k in keys] or [F.lit(0)]
-    wk = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__part", F.coalesce(F.sum("__t").over(wk), F.lit(0)).alias("__off"))
-    offsets, small = _small_side(offsets, 64)  # at most partitions + groups rows
-    x = _null_safe_join(placed, offsets, [*keys, "__part"], broadcast=small)
-    wl = Window.partitionBy(*keys, "__part").orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn(out_col, F.col("__off") + F.coalesce(F.sum(sum_col).over(wl), F.lit(0)))
-    return x.drop("__part", "__off")

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aletheia.operators.joins import checked_broadcast_join
-from aletheia.operators.rank import rank_in_hash_order
+from aletheia.operators.rank import _null_safe_join, _small_side, rank_in_hash_order
 
 TRAIN_SHARE = 0.8  # fixed value: share of each group used for training
 TEST_SIZE = 0.2  # fixed value: stratified hold-out share
@@ -101,7 +100,8 @@ def split_stratified(
         df.where(F.col(group).isNotNull() & F.col(y).isNotNull()), [group, y], seed, id_col, rank_col="__rn", count_col=None
     )
     # alloc has one row per (group, class): broadcast after a counted size check
-    out = checked_broadcast_join(ranked, alloc, [group, y], row_bytes=64)
+    alloc, small = _small_side(alloc, 64)
+    out = _null_safe_join(ranked, alloc, [group, y], broadcast=small)
     return out.withColumn(part_col, F.when(F.col("__rn") <= F.col("__fit"), "fit").otherwise("eval")).drop(
         "__rn", "__fit"
     )
