@@ -46,15 +46,18 @@ GROUPS = 64
 #: Groups of the finer count vectors (a byte each) of documents that have a
 #: candidate; a document with 255 or more in one group goes without.
 FINE_GROUPS = 1024
-#: A shingle held by more than one in so many documents is put last in the order.
-HOT_ONE_IN = 1000
-#: Hot shingles that may be broadcast (8 bytes each); rarer ones go first.
-HOT_MOST = 4_000_000
+#: Shingles that so many rows hold are ordered by their number of rows, behind the others.
+FREQUENT = 3
+#: Frequent shingles that may be broadcast (9 bytes each), the most frequent first.
+FREQUENT_MOST = 2_000_000
+#: Shingles that a task counts at once.
+TALLY_ROWS = 1 << 18
 LEAF = 32
 ID_BROADCAST_ROWS = 2_000_000
 
 BUCKETS_PER_PARTITION = 4
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8")])
+TALLY = np.dtype([("name", "<u4"), ("n", "<u2")])
 
 SETS = "doc_id long, n long, d1 long, d2 long, counts binary, fine binary, first array<long>"
 
@@ -79,29 +82,110 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // (100 + percent))
 
 
-def hot_shingles(text: DataFrame, k: int, n_docs: int) -> np.ndarray:
-    """Shingles of more than one in ``HOT_ONE_IN`` documents, sorted.  A task
-    reports those frequent among its own; any that is frequent overall is
-    frequent in some task.  Which are found changes the order, not the result."""
+def shingle_keys(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit name of shingles; the names of two may meet, which
+    moves both in the order alone."""
+    return (h % U64(n_buckets)).astype(np.int64), (h >> U64(32)).astype(np.uint32)
 
-    def count(batches):
+
+def count_level(n: np.ndarray) -> np.ndarray:
+    """Counts as levels of a byte, exact up to 16, then four to a doubling."""
+    n = np.maximum(n, 1)
+    return np.where(n <= 16, n, 16 + np.floor(4 * np.log2(n / 16))).astype(np.uint8)
+
+
+def frequent_shingles(text: DataFrame, k: int, n_buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (bucket << 32 | name, sorted) and levels of the shingles that
+    ``FREQUENT`` or more rows hold: all, or the most frequent levels that make
+    up ``FREQUENT_MOST`` at most.  Every shingle of every row is counted; which
+    are returned changes the order, not the result."""
+
+    def deal(batches):
+        def packed(held):
+            bucket, name = shingle_keys(np.concatenate(held), n_buckets)
+            key, n = np.unique(bucket.astype(U64) << U64(32) | name, return_counts=True)
+            r = np.empty(len(key), TALLY)
+            r["name"], r["n"] = key & U64(0xFFFFFFFF), np.minimum(n, 65535)
+            cut = np.searchsorted(key, np.arange(n_buckets + 1, dtype=U64) << U64(32))
+            keep = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keep.astype(np.int32)), pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in keep], pa.binary())], names=["bucket", "tally"]
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            for _, _, h, _ in doc_sets(batch.column(1), k):
+                held.append(h)
+                size += len(h)
+                if size >= TALLY_ROWS:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def add(batches):
+        def levels(bucket, held):
+            r = np.frombuffer(b"".join(held), TALLY)
+            r = r[np.argsort(r["name"], kind="stable")]
+            at = np.flatnonzero(np.concatenate(([True], r["name"][1:] != r["name"][:-1])))
+            n = np.add.reduceat(r["n"].astype(np.int64), at)
+            some = n >= FREQUENT
+            key, level = U64(bucket) << U64(32) | r["name"][at][some].astype(U64), count_level(n[some])
+            each = np.unique(level)
+            blobs = [key[level == x].tobytes() for x in each]
+            return pa.RecordBatch.from_arrays([pa.array(each.astype(np.int32)), pa.array([len(x) // 8 for x in blobs], pa.int64()), pa.array(blobs, pa.binary())], names=["level", "n", "keys"])
+
+        at, held = None, []
         for batch in batches:
-            parts = [h for _, _, h, _ in doc_sets(batch.column(1), k)]
-            h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
-            often = n >= max(2, batch.num_rows // (2 * HOT_ONE_IN))
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at and held:
+                    yield levels(at, held)
+                    held = []
+                at = bucket
+                held.append(blob)
+        if held:
+            yield levels(at, held)
+
+    tallies = text.mapInArrow(tidy(deal), "bucket int, tally binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = stored(tallies.mapInArrow(tidy(add), "level int, n long, keys binary"))
+    least, total = 256, 0
+    for level, n in sorted(((r.level, r.n) for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True):
+        total += n
+        if total > FREQUENT_MOST:
+            break
+        least = level
+    rows = found.where(F.col("level") >= least).select("level", "keys").collect()
+    key = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in rows)])
+    level = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(r["keys"]) // 8, r.level, np.uint8) for r in rows)])
+    order = np.argsort(key)
+    return key[order], level[order]
+
+
+def level_lookup(keys: np.ndarray, levels: np.ndarray, n_buckets: int):
+    """A function from shingles to their levels, 0 for those not frequent."""
+    size = U64(1 << min(24, max(10, (8 * len(keys)).bit_length())))
+    there = np.zeros(int(size), bool)  # most shingles are not frequent and need no search
+    there[(mix(keys) % size).astype(np.int64)] = True
+
+    def look(h):
+        out = np.zeros(len(h), np.uint8)
+        bucket, name = shingle_keys(h, n_buckets)
+        key = bucket.astype(U64) << U64(32) | name
+        some = np.flatnonzero(there[(mix(key) % size).astype(np.int64)])
+        if len(some):
+            key = key[some]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[some] = np.where(keys[at] == key, levels[at], 0)
+        return out
 
-    seen = text.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    least = max(2, n_docs // HOT_ONE_IN)
-    rows = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(U64))
+    return look
 
 
-def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    shared = text.sparkSession.sparkContext.broadcast(hot)
+def features(text: DataFrame, k: int, percent: int, keys: np.ndarray, levels: np.ndarray, n_buckets: int) -> DataFrame:
+    shared = text.sparkSession.sparkContext.broadcast((keys, levels))
 
     def build(batches):
-        last = shared.value
+        look = level_lookup(*shared.value, n_buckets)
         for batch in batches:
             for i, m, h, d in doc_sets(batch.column(1), k):
                 n = np.bincount(d, minlength=m)
@@ -112,10 +196,8 @@ def features(text: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
                 total = lambda x: np.diff(np.concatenate((np.zeros(1, U64), np.cumsum(x, dtype=U64)))[begin])
                 d1 = mix(total(mix(h ^ _BASE)) + n.astype(U64)).view(np.int64)
                 d2 = mix(total(mix(h * _BASE + U64(7))) + n.astype(U64)).view(np.int64)
-                at = np.searchsorted(last, h)
-                at[at == len(last)] = 0
-                is_hot = (last[at] == h) if len(last) else np.zeros(len(h), bool)
-                order = np.lexsort((h, is_hot, d))
+                # members are sorted within a text: stable, and least levels first
+                order = np.argsort(d * 256 + look(h), kind="stable")
                 take = n - -(-n * percent // 100) + 1
                 rank = np.arange(len(h)) - begin[d]
                 first = h[order][rank < take[d]]  # order keeps texts together
@@ -250,14 +332,18 @@ def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a), pa.array(b), pa.array(score), centre], names=["cell", "a", "b", "score", "star"])
 
     def search(batches):
-        found, held = [], 0
+        found, held, near, n_near = [], 0, [], 0
         for cell, doc, n, c, root, fine in _cells(batches):
             best, partner = np.full(len(doc), -1.0), np.zeros(len(doc), np.int64)
             if stars:
                 x, y = np.arange(len(doc)), np.full(len(doc), np.argmin(doc))
                 ok = _may((n, n, c, root, root), x, y, percent)
                 if ok.any():
-                    yield rows([(doc[x[ok]], doc[y[ok]], np.zeros(ok.sum()), np.full(ok.sum(), cell))], True)
+                    near.append((doc[x[ok]], doc[y[ok]], np.zeros(ok.sum()), np.full(ok.sum(), cell)))
+                    n_near += ok.sum()
+                if n_near > 20_000:
+                    yield rows(near, True)
+                    near, n_near = [], 0
             for x, y in cell_pairs(n, c, percent, root):
                 if fine is not None:
                     ok = _fine_may(x, y, n, *fine, percent)
@@ -281,6 +367,8 @@ def candidates(cells: DataFrame, percent: int, every: bool, stars: bool = False)
                 held += len(has)
         if held:
             yield rows(found, False)
+        if n_near:
+            yield rows(near, True)
 
     return cells.mapInArrow(tidy(search), "cell long, a long, b long, score double, star long")
 
@@ -382,8 +470,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = id_text(docs)
     known = text.where(F.col("doc_id").isNotNull())
-    hot = hot_shingles(known, k, known.count())
-    every = stored(features(text, k, percent, hot))
+    n_buckets = BUCKETS_PER_PARTITION * parts + 1
+    every = stored(features(text, k, percent, *frequent_shingles(known, k, n_buckets, parts), n_buckets))
     # one row per document, one document per class
     one = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     own = one.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
@@ -392,7 +480,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     copies = materialize(copies)
     side = F.broadcast(copies) if copies.count() <= ID_BROADCAST_ROWS else copies
     reps = one.join(side, "doc_id", "left_anti")
-    cells = shared_cells(reps, BUCKETS_PER_PARTITION * parts + 1, parts)
+    cells = shared_cells(reps, n_buckets, parts)
     one_row = lambda df, *cols: df.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", *cols)).alias("s")).select("doc_id", "s.n", *(f"s.{x}" for x in cols))
     cells = stored(cells.join(one_row(reps, "counts"), "doc_id").select("cell", "doc_id", "n", "counts"))
     sort = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")

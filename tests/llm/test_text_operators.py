@@ -8,6 +8,8 @@ import re
 import struct
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +230,42 @@ def test_verified_links_are_named_so(spark):
     assert 29 <= sum(r.n_links_verified for r in rows) / 2 <= 30 * 29 / 2 and min(r.n_links_verified for r in rows) >= 1
 
 
+def test_passages_of_a_few_documents_make_no_cells(spark, monkeypatch):
+    """Documents of mostly own words with a passage of three documents each: by
+    the number of documents that hold them, the passage's shingles come last."""
+    rng = random.Random(17)
+    passages = [words(rng, 15, 10**9) for _ in range(1400)]
+    texts = [(i, f"{words(rng, 25, 10**9)} {passages[i // 3]}") for i in range(4200)]
+    texts += [(5000 + i, " ".join([*texts[i][1].split()[:-1], "other"])) for i in range(3)]  # near copies of 0, 1 and 2
+    sizes, search = [], jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda cells, *a: sizes.append(cells.select("doc_id").distinct().count()) or search(cells, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts), 4, 85).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in texts}
+    assert sizes[0] == 6
+
+
+@pytest.mark.parametrize("most", [2_000_000, 40, 0])
+def test_frequent_shingles_are_counted_in_full(spark, monkeypatch, most):
+    """Counts over all rows and chunks; a shorter list changes no component."""
+    rng = random.Random(18)
+    texts = [(i, f"{words(rng, rng.randrange(0, 30), 12)} {words(rng, 30, 10**9)}") for i in range(60)]
+    texts += [(100 + i, texts[i][1] + " more") for i in range(20)]
+    monkeypatch.setattr(jaccard, "FREQUENT_MOST", most)
+    monkeypatch.setattr(jaccard, "TALLY_ROWS", 100)
+    docs = jaccard.id_text(frame(spark, texts))
+    keys, levels = jaccard.frequent_shingles(docs.repartition(3), 2, 7, 3)
+    h = np.concatenate([h for _, _, h, _ in jaccard.doc_sets(pa.array([t for _, t in texts]), 2)])
+    each, n = np.unique(h, return_counts=True)
+    level = np.where(n >= jaccard.FREQUENT, jaccard.count_level(n), 0)
+    found = jaccard.level_lookup(keys, levels, 7)(each)
+    if most == 2_000_000:
+        assert found.tolist() == level.tolist() and (level > 0).sum() > 40
+    else:
+        assert len(keys) <= most and found[found > 0].tolist() == level[found > 0].tolist()
+        assert not len(keys) or level[found == 0].max() < found[found > 0].min()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts), 2, 80).collect()} == brute_components(texts, 2, 80)
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.jaccard_components(frame(spark, EDGE), 4, 85).collect()
     assert len(rows) == len(EDGE)
