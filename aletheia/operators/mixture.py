@@ -5,16 +5,22 @@ Linear(d,2), with or without bias.  Soft forward: weights = softmax((router +
 Gumbel noise) / T), output = Σ_e weight_e · expert_e(x).  Hard forward: the
 argmax expert only.
 
-Training is SGD over mini-batches, data-parallel: parameters go out by
-broadcast, each task returns the gradient sums of its rows of the batch (NumPy
-inside ``mapInArrow``, one partial per task and config; ``partials.sum_over``
-adds them in a tree), and the driver takes an SGD step with weight decay and the scheduled
-rate.  Every config of the grid shares each pass over the data.  Rows are dealt
-to the batches of an epoch by a hash of (row_id, epoch), so batches do not depend
-on partitioning; they hold ``batch_size`` rows on average, not exactly.  With
-``batch_size=None`` a batch is the whole data, as in the reference's experiment:
-then an epoch is one Spark job.  Steps follow one another by nature, so the
-batch size, not the data, should grow with the cluster.
+Training is SGD over mini-batches.  Rows are dealt to the batches of an epoch by
+a hash of (row_id, epoch), so batches do not depend on partitioning; they hold
+``batch_size`` rows on average, not exactly.  Every config of the grid shares each
+pass over the data.  Steps follow one another by nature, so the batch size, not
+the data, should grow with the cluster.
+
+* Large batches are data-parallel, a Spark job each: parameters go out by
+  broadcast, each task returns the gradient sums of its rows of the batch (NumPy
+  inside ``mapInArrow``, one partial per task and config; ``partials.sum_over``
+  adds them in a tree), and the driver takes an SGD step with weight decay and the
+  scheduled rate.  With ``batch_size=None`` a batch is the whole data, as in the
+  reference's experiment: then an epoch is one Spark job.
+* Batches up to ``STEP_BYTES`` hold less work than a job costs.  An epoch's rows
+  are shuffled once into stretches of consecutive batches (``STRETCH_BYTES`` each,
+  sorted in parallel); a job per stretch takes all its steps in one task and hands
+  the parameters on to the next.
 
 Gumbel noise comes from a counter hash of (seed, row_id, epoch, expert), so it
 does not depend on partitioning or on re-execution after a lost executor.
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from aletheia.functions.noise import EPOCH_STEP, EPS, EXPERT_STEP, MIX_1, MIX_2, ROW_STEP, SEED_STEP, gumbel, uniform
 from aletheia.functions.vectors import dot, softmax2_class1
 from aletheia.operators.auc import grouped_auc
-from aletheia.operators.partials import matrix, sum_over
+from aletheia.operators.partials import PARTIAL, matrix, partial_row, sum_over
 from aletheia.plans.plans import param_grid
 from aletheia.session import materialize
 
@@ -42,6 +48,8 @@ HIDDEN = 64  # fixed value: router hidden units
 EPOCHS = 500  # fixed value: epochs per config in the experiment
 TEMPERATURE = 1.0  # forward() temperature actually used by the reference
 BATCH_SIZE = 128  # fixed value: default rows per mini-batch
+STEP_BYTES = 8 * 1024 * 1024  # mini-batches up to this size share a task, step after step
+STRETCH_BYTES = 64 * 1024 * 1024  # rows whose steps one task takes
 PARAM_NAMES = ("W1", "b1", "W2", "b2", "We", "be")
 
 
@@ -176,6 +184,88 @@ def dealt_batch(seed: int, epoch: int, n_batches: int) -> Column:
     return F.pmod(bits.cast("bigint"), F.lit(n_batches)).cast("int")
 
 
+class _Chain:
+    """One config's steps over mini-batches that follow one another.  A batch may
+    come in pieces; its step is taken when the next one begins."""
+
+    def __init__(self, e: int, flat: np.ndarray, wd: float, rate: float, payload: dict):
+        self.e, self.wd, self.rate = e, wd, rate
+        self.flat = np.array(flat)
+        self.p = unflatten(self.flat, payload["d"], e, payload["hidden"], payload["bias"])  # views: they follow the steps
+        self.batch, self.sums, self.rows = None, 0.0, 0
+        self.loss, self.steps = 0.0, 0
+
+    def add(self, batch: int, X: np.ndarray, y: np.ndarray, u: np.ndarray) -> None:
+        if batch != self.batch:
+            self.step()
+            self.batch = batch
+        g, loss = grad_sums(self.p, X, y, u)
+        self.sums = self.sums + np.append(flatten(g), loss)
+        self.rows += len(y)
+
+    def step(self) -> None:
+        if not self.rows:
+            return
+        mean = self.sums / self.rows
+        self.flat -= self.rate * (mean[:-1] + self.wd * self.flat)
+        self.loss += mean[-1]
+        self.steps += 1
+        self.sums, self.rows = 0.0, 0
+
+
+def _take_stretch(dealt: DataFrame, k: int, bc, epoch: int, seed: int) -> dict[int, tuple[np.ndarray, float, int]]:
+    """One Spark job of one task: all steps of stretch ``k`` in order.  Parameters
+    after them, sum of the steps' mean losses and number of steps of every config."""
+
+    def run(batches):
+        payload = bc.value
+        chains = {cid: _Chain(*config, payload) for cid, config in payload["configs"].items()}
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            X = matrix(rows.column(2), rows.num_rows)
+            y, ids = rows.column(1).to_numpy().astype(np.int64), rows.column(0).to_numpy()
+            batch = rows.column(3).to_numpy()
+            if batch[0] // payload["stretch"] != k or batch[-1] // payload["stretch"] != k:
+                raise RuntimeError(f"mini-batches {batch[0]} to {batch[-1]} are not of stretch {k}")
+            cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(batch)]
+            for cid, chain in chains.items():
+                u = uniform_noise(seed + cid, ids, epoch, chain.e)
+                for lo, hi in zip(cuts, cuts[1:]):
+                    chain.add(int(batch[lo]), X[lo:hi], y[lo:hi], u[lo:hi])
+        for cid, chain in chains.items():
+            chain.step()
+            yield partial_row(cid, k, np.append(chain.flat, (chain.loss, chain.steps)))
+
+    taken = dealt.select("row_id", "y", "x", "batch").mapInArrow(run, PARTIAL).rdd
+    got = {r.key: np.frombuffer(r.v) for r in dealt.sparkSession.sparkContext.runJob(taken, list, [k])}
+    return {cid: (v[:-2], float(v[-2]), int(v[-1])) for cid, v in got.items()}
+
+
+def _chained_epoch(
+    data: DataFrame, n_batches: int, n_stretches: int, configs: dict[int, tuple], shared: dict, epoch: int, seed: int
+) -> dict[int, tuple[np.ndarray, float]]:
+    """The steps of an epoch of small mini-batches.  ``configs``: per id (experts,
+    parameters, weight decay, rate).  Returns per id (parameters, mean loss of its steps)."""
+    sc = data.sparkSession.sparkContext
+    stretch = -(-n_batches // n_stretches)
+    n_stretches = -(-n_batches // stretch)
+    dealt = data.withColumn("batch", dealt_batch(seed, epoch, n_batches)).where(F.col("batch").isNotNull())
+    dealt = dealt.repartitionById(n_stretches, F.floor(F.col("batch") / stretch).cast("int")).sortWithinPartitions("batch", "row_id")
+    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    dealt.count()  # all stretches are sorted in parallel, before the first is taken
+    told = {cid: [0.0, 0] for cid in configs}
+    for k in range(n_stretches):
+        bc = sc.broadcast({**shared, "stretch": stretch, "configs": configs})
+        for cid, (flat, loss, steps) in _take_stretch(dealt, k, bc, epoch, seed).items():
+            configs = {**configs, cid: (configs[cid][0], flat, *configs[cid][2:])}
+            told[cid][0] += loss
+            told[cid][1] += steps
+        bc.unpersist()
+    dealt.unpersist()
+    return {cid: (configs[cid][1], loss / steps) for cid, (loss, steps) in told.items()}
+
+
 def train_mixtures(
     train: DataFrame,
     grid: Sequence[tuple[int, int, float, float]],
@@ -195,33 +285,44 @@ def train_mixtures(
         raise ValueError("batch_size must be positive, or None for all rows")
     spark = train.sparkSession
     data = train.select("row_id", F.col("y").cast("int").alias("y"), F.col(x_col).alias("x"))
+    # hundreds of passes: lineage is cut at a reliable checkpoint first, and all
+    # that is asked of the rows before training is asked of it
+    data = materialize(data)
     n_rows = data.count()
     if not n_rows:
         raise ValueError("no rows to train on")
     d = len(data.select("x").first()[0])
-    parts = max(spark.sparkContext.defaultParallelism, int(math.ceil(n_rows * (d * 8 + 24) / (64 * 1024 * 1024))))
+    row_bytes = d * 8 + 24
+    parts = max(spark.sparkContext.defaultParallelism, int(math.ceil(n_rows * row_bytes / (64 * 1024 * 1024))))
     tasks = min(parts, max(1, data.rdd.getNumPartitions()))
-    # hundreds of passes: lineage is cut at a reliable checkpoint first
-    data = materialize(data.coalesce(tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     n_batches = 1 if batch_size is None else -(-n_rows // batch_size)
+    chained = n_batches > 1 and batch_size * row_bytes <= STEP_BYTES
+    shared = {"d": d, "hidden": hidden_dim, "bias": bias}
     params = {cid: flatten(init_params(d, e, seed + cid, hidden_dim, bias)) for cid, e, _, _ in grid}
     hist = []
     for epoch in range(epochs):
+        rates = {cid: schedule(lr, epoch, epochs) if schedule else lr for cid, _, _, lr in grid}
+        if chained:
+            n_stretches = min(n_batches, int(math.ceil(n_rows * row_bytes / STRETCH_BYTES)))
+            configs = {cid: (e, params[cid], wd, rates[cid]) for cid, e, wd, _ in grid}
+            for cid, (flat, loss) in _chained_epoch(data, n_batches, n_stretches, configs, shared, epoch, seed).items():
+                params[cid] = flat
+                hist.append((cid, epoch, loss))
+            continue
         dealt = data
         if n_batches > 1:  # in memory by batch, so that a step reads its own rows only
             dealt = data.withColumn("batch", dealt_batch(seed, epoch, n_batches)).sortWithinPartitions("batch")
             dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
         losses: dict[int, list[float]] = {cid: [] for cid, *_ in grid}
         for b in range(n_batches):
-            payload = {"d": d, "hidden": hidden_dim, "bias": bias, "configs": {cid: (e, params[cid]) for cid, e, _, _ in grid}}
-            bc = spark.sparkContext.broadcast(payload)
+            bc = spark.sparkContext.broadcast({**shared, "configs": {cid: (e, params[cid]) for cid, e, _, _ in grid}})
             grads = _gradients(dealt if n_batches == 1 else dealt.where(F.col("batch") == b), tasks, bc, epoch, seed)
-            for cid, _, wd, lr in grid:
+            for cid, _, wd, _ in grid:
                 if cid not in grads:  # a batch without rows takes no step
                     continue
                 g, loss, n = grads[cid]
-                step = schedule(lr, epoch, epochs) if schedule else lr
-                params[cid] = params[cid] - step * (g / n + wd * params[cid])
+                params[cid] = params[cid] - rates[cid] * (g / n + wd * params[cid])
                 losses[cid].append(loss / n)
             bc.unpersist()
         if n_batches > 1:

@@ -28,7 +28,8 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64, copy=False)
 
 
-def _row(key: int, task: int, v: np.ndarray) -> pa.RecordBatch:
+def partial_row(key: int, task: int, v: np.ndarray) -> pa.RecordBatch:
+    """A vector as a row of ``PARTIAL``."""
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((key, task, v.tobytes()), _ARROW)], schema=_ARROW)
 
 
@@ -42,10 +43,10 @@ def _add_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 total = total + v
                 continue
             if at:
-                yield _row(at[1], at[0], total)
+                yield partial_row(at[1], at[0], total)
             at, total = (r["group"], r["key"]), v
     if at:
-        yield _row(at[1], at[0], total)
+        yield partial_row(at[1], at[0], total)
 
 
 def sum_over(df: DataFrame, tasks: int, sums: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
@@ -54,7 +55,7 @@ def sum_over(df: DataFrame, tasks: int, sums: Callable[[Iterator[pa.RecordBatch]
 
     def run(batches):
         for key, v in sums(b for b in batches if b.num_rows).items():
-            yield _row(key, TaskContext.get().partitionId(), np.asarray(v, np.float64))
+            yield partial_row(key, TaskContext.get().partitionId(), np.asarray(v, np.float64))
 
     parts = df.mapInArrow(run, PARTIAL)
     while tasks > FAN_IN:

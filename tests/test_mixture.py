@@ -140,6 +140,62 @@ def test_mini_batches_smaller_than_one_row_each_and_bad_input(spark):
         MX.train_mixtures(train.limit(0), [(0, 1, 0.0, 0.1)])
 
 
+def small_rows(spark, n=600):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 2)), rng.normal(size=3).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, y int, x array<double>").repartition(3)
+
+
+def test_small_mini_batches_share_their_jobs(spark):
+    train = E.cached(small_rows(spark))
+    sc = spark.sparkContext
+    sc.setJobGroup("steps", "mini-batches of 4 rows")
+    try:
+        params, hist = MX.train_mixtures(train, [(0, 2, 1e-3, 0.1)], epochs=2, batch_size=4)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    want, steps = numpy_training(train, 4, 64, True, 0, 2, lr=0.1, wd=1e-3)
+    assert np.abs(MX.flatten(params[0]) - want).max() < 1e-12 and len(hist) == 2
+    assert steps > 250 and len(sc.statusTracker().getJobIdsForGroup("steps")) < 40  # a job per step before
+
+
+def test_stretches_of_mini_batches_equal_numpy_loop(spark, monkeypatch):
+    train = E.cached(small_rows(spark, 200))
+    grid = [(0, 2, 1e-3, 0.1), (3, 1, 1e-2, 0.2)]
+    monkeypatch.setattr(MX, "STRETCH_BYTES", 2400)  # four stretches
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")  # mini-batches reach a task in pieces
+    try:
+        params, hist = MX.train_mixtures(train, grid, epochs=2, seed=2, batch_size=20)
+        plain, _ = MX.train_mixtures(train, grid[:1], epochs=2, seed=2, batch_size=20, schedule=None)
+        monkeypatch.setattr(MX, "STEP_BYTES", 0)  # data-parallel steps
+        spread, told = MX.train_mixtures(train, grid, epochs=2, seed=2, batch_size=20)
+    finally:
+        spark.conf.set(key, before)
+    want, _ = numpy_training(train, 20, 64, True, 2, 2, lr=0.1, wd=1e-3)
+    for got in (params, spread):
+        assert np.abs(MX.flatten(got[0]) - want).max() < 1e-12
+    assert np.abs(MX.flatten(params[3]) - MX.flatten(spread[3])).max() < 1e-12
+    assert [h[:2] for h in hist] == [h[:2] for h in told] == [(0, 0), (3, 0), (0, 1), (3, 1)]
+    assert [h[2] for h in hist] == pytest.approx([h[2] for h in told])
+    assert np.abs(MX.flatten(plain[0]) - want).max() > 1e-6  # no schedule: another rate
+
+
+def test_repeated_and_null_ids_in_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    ids = [None if i % 11 == 0 else 5 if i % 3 == 0 else i for i in range(150)]  # one id holds a third of the rows
+    rows = [(i, int(rng.integers(0, 2)), rng.normal(size=3).tolist()) for i in ids]
+    train = E.cached(spark.createDataFrame(rows, "row_id long, y int, x array<double>"))
+    args = dict(epochs=2, seed=1, batch_size=10)
+    monkeypatch.setattr(MX, "STRETCH_BYTES", 2400)
+    params, hist = MX.train_mixtures(train, [(0, 2, 1e-3, 0.1)], **args)
+    monkeypatch.setattr(MX, "STEP_BYTES", 0)
+    want, told = MX.train_mixtures(train, [(0, 2, 1e-3, 0.1)], **args)
+    assert np.abs(MX.flatten(params[0]) - MX.flatten(want[0])).max() < 1e-12
+    assert [h[2] for h in hist] == pytest.approx([h[2] for h in told])
+
+
 def test_grid_scores_and_best(spark):
     rows = E.cached(probe_set(fixtures.probe(spark, SF_SMALL)))
     scores, ptab = MX.mixture_grid(rows, num_experts=(1, 2), epochs=3)
